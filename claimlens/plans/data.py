@@ -1,12 +1,14 @@
-"""The registered queries' view of the tables: provider-payment facts, list events and enrolment segments derived from
-the test tables, once as DataFrames and once as the SQL that mirrors them.
+"""The registered queries' view of the tables: provider-payment facts, list events, enrolment segments and registry rows
+derived from the test tables, once as DataFrames and once as the SQL that mirrors them.
 
-npi is the supplier key, hcpcs the part's brand, month the month of shipment, paid the extended price; a list event is
-a supplier's first returned shipment, and its window ends 18 months later for even keys."""
+npi is the supplier key, servicing the customer key, state the region of the supplier, hcpcs the part's brand, family
+its type, minutes its size, month the month of shipment, paid the extended price in whole cents. A list event is a
+supplier's first returned shipment; its window ends 18 months later for even keys. Money is summed as whole cents, so
+no result depends on the order of a sum."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.operators.temporal import month_of
@@ -16,35 +18,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cents(c) -> Column:
+    return F.round(F.col(c) * 100 if isinstance(c, str) else c * 100).cast("long")
+
+
+def r4(c: Column) -> Column:
+    return F.round(c, 4)
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """npi, state, nation, entity_type, name, taxonomy, enum_date of suppliers."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("s_suppkey")
+    return s.select(
+        key.alias("npi"), F.col("r_name").alias("state"), F.col("n_name").alias("nation"), F.when(key % 3 == 0, "2").otherwise("1").alias("entity_type"), F.col("s_name").alias("name"),
+        F.concat(F.lit("T"), (key % 4).cast("string")).alias("taxonomy"), F.date_add(F.lit("1994-01-01").cast("date"), ((key * 37) % 2500).cast("int")).alias("enum_date"), F.col("s_acctbal").alias("balance"),
+    )
+
+
+STATES = """states AS (
+  SELECT s_suppkey AS npi, r_name AS state, n_name AS nation, CASE WHEN s_suppkey % 3 = 0 THEN '2' ELSE '1' END AS entity_type, s_name AS name,
+    'T' || CAST(s_suppkey % 4 AS VARCHAR) AS taxonomy, DATE '1994-01-01' + CAST((s_suppkey * 37) % 2500 AS INTEGER) AS enum_date, s_acctbal AS balance
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+)"""
+
+
 def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claim lines: npi, servicing, hcpcs, family, month_start, lines, paid."""
-    li = table(spark, sf_dir, "lineitem")
+    """Claim lines: npi, servicing, hcpcs, family, minutes, month_start, year, lines, paid_c, patients."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_linenumber")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     df = li.join(part, li.l_partkey == part.p_partkey).join(orders, li.l_orderkey == orders.o_orderkey)
     return df.select(
-        F.col("l_suppkey").alias("npi"), F.col("o_custkey").alias("servicing"), F.col("p_brand").alias("hcpcs"), F.col("p_type").alias("family"),
-        F.col("p_size").alias("minutes"), month_of("l_shipdate").alias("month_start"), F.col("l_quantity").alias("lines"), F.col("l_extendedprice").alias("paid"),
+        F.col("l_suppkey").alias("npi"), F.col("o_custkey").alias("servicing"), F.col("p_brand").alias("hcpcs"), F.col("p_type").alias("family"), F.col("p_size").cast("int").alias("minutes"),
+        month_of("l_shipdate").alias("month_start"), F.year("l_shipdate").alias("year"), F.col("l_quantity").cast("long").alias("lines"), cents("l_extendedprice").alias("paid_c"), F.col("l_linenumber").cast("int").alias("patients"),
     )
 
 
 SPEND = """spend AS (
-  SELECT l_suppkey AS npi, o_custkey AS servicing, p_brand AS hcpcs, p_type AS family, p_size AS minutes,
-    CAST(date_trunc('month', l_shipdate) AS DATE) AS month_start, l_quantity AS lines, l_extendedprice AS paid
+  SELECT l_suppkey AS npi, o_custkey AS servicing, p_brand AS hcpcs, p_type AS family, CAST(p_size AS INTEGER) AS minutes,
+    CAST(date_trunc('month', l_shipdate) AS DATE) AS month_start, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(l_quantity AS BIGINT) AS lines,
+    CAST(round(l_extendedprice * 100) AS BIGINT) AS paid_c, CAST(l_linenumber AS INTEGER) AS patients
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
 )"""
 
 
 def bill_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """npi by month: paid (whole cents), lines."""
-    li = table(spark, sf_dir, "lineitem")
-    paid = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100
-    return li.groupBy(F.col("l_suppkey").alias("npi"), month_of("l_shipdate").alias("month_start")).agg(paid.alias("paid"), F.sum("l_quantity").alias("lines"), F.count("*").alias("n"))
+    """npi by month: paid_c, lines, n."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    return li.groupBy(F.col("l_suppkey").alias("npi"), month_of("l_shipdate").alias("month_start")).agg(F.sum(cents("l_extendedprice")).alias("paid_c"), F.sum(F.col("l_quantity").cast("long")).alias("lines"), F.count("*").alias("n"))
 
 
 BILL_MONTH = """bill_month AS (
   SELECT l_suppkey AS npi, CAST(date_trunc('month', l_shipdate) AS DATE) AS month_start,
-    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100 AS paid, sum(l_quantity) AS lines, count(*) AS n
+    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS paid_c, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS lines, count(*) AS n
   FROM lineitem GROUP BY 1, 2
 )"""
 
@@ -65,7 +93,7 @@ EVENTS = """events_list AS (
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enrolment segments of customers: npi, state, start_dt, end_dt (null for finished orders), status_cd."""
+    """Enrolment segments of customers: npi, state, start_dt, end_dt (null for finished orders), status_cd, segment_id."""
     o = table(spark, sf_dir, "orders")
     days = F.pmod(F.floor("o_totalprice").cast("long"), F.lit(700)).cast("int")
     start = F.to_date("o_orderdate")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES: name -> (function of (spark, sf_dir), SQL or None).
-MODULES: tuple[str, ...] = ("paid_after",)
+MODULES: tuple[str, ...] = ("paid_after", "cleaning", "aggregates")
 
 
 def _all() -> dict:
