@@ -48,7 +48,7 @@ def mad(spark, sf_dir):
 
 MAD = """WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS med FROM orders GROUP BY 1 HAVING count(*) >= 20),
 d AS (SELECT o_orderpriority, max(med) AS med, median(abs(o_totalprice - med)) AS mad FROM orders JOIN m USING (o_orderpriority) GROUP BY 1)
-SELECT o_orderkey, o_orderpriority, round(med, 4) AS med, round(mad, 4) AS mad, round(0.6745::DOUBLE * (o_totalprice - med) / nullif(mad, 0), 4) AS z FROM orders JOIN d USING (o_orderpriority)"""
+SELECT o_orderkey, o_orderpriority, round(med, 4) AS med, round(mad, 4) AS mad, round(0.6745::DOUBLE * (o_totalprice - med) / nullif(mad, 0), 4) + 0.0::DOUBLE AS z FROM orders JOIN d USING (o_orderpriority)"""
 
 
 def lists(spark, sf_dir):
