@@ -52,7 +52,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """docs without the rows whose text a row with a smaller doc_id has; columns and their order stay."""
     gone = exact_duplicates(docs, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__gone")).distinct()
     gone = materialize(gone, "exact-gone")
-    return docs.join(limited(gone, gone.count()), docs[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = limited(gone, gone.count())
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]), "left_anti")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,8 +83,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     first unit, then the first licence by name; line 0 is the whole text, lines count from 1) of every row; null
     licence, dice and line without a hit, so also for null and empty texts. Other columns aren't read."""
     sets = template_sets(templates)
-    low = min(threshold / (2 - threshold) * len(b) for _, _, b in sets)
-    high = max((2 - threshold) / threshold * len(b) for _, _, b in sets)
+    low = min(threshold / (2 - threshold) * len(b) for _, _, b in sets) - 1e-9
+    high = max((2 - threshold) / threshold * len(b) for _, _, b in sets) + 1e-9
     all_bigrams = F.array(*map(F.lit, sorted({x for _, _, b in sets for x in b})))
     cues = cue_words(sets, threshold)
 
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
         found = []
         for name, _, b in sets:
             n = F.size(u["b"])
-            fits = (n >= threshold / (2 - threshold) * len(b)) & (n <= (2 - threshold) / threshold * len(b))
+            fits = (n >= threshold / (2 - threshold) * len(b) - 1e-9) & (n <= (2 - threshold) / threshold * len(b) + 1e-9)
             dice = 2.0 * F.size(F.array_intersect(u["b"], F.array(*map(F.lit, b)))) / (n + len(b))
             found.append(F.when(fits, F.struct(dice.alias("dice"), (-u["line"]).alias("line"), F.lit(name).alias("license"))))
         return F.filter(F.array(*found), lambda x: F.coalesce(x["dice"] >= threshold, F.lit(False)))

@@ -28,6 +28,10 @@ BUCKET_ROWS = 4_096
 TEMPERATURE = 0.5
 
 
+def _name(source: str | None) -> str:
+    return "0" if source is None else f"1{source}"
+
+
 def quanta(weights: dict, total: int = QUANTA) -> dict:
     """Whole quanta by largest remainder, at least one each; the total grows to twice the number of sources if need be."""
     total = max(total, 2 * len(weights))
@@ -35,7 +39,7 @@ def quanta(weights: dict, total: int = QUANTA) -> dict:
     spare = total - len(weights)
     exact = {k: w / s * spare for k, w in weights.items()}
     out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], str(k)))[: total - sum(out.values())]:
+    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], _name(k)))[: total - sum(out.values())]:
         out[k] += 1
     return out
 
@@ -48,7 +52,7 @@ def period(shares: dict) -> list[tuple[object, int, int, int]]:
     def window(k: int, a: int) -> tuple[int, int]:
         return (k - 1) * total // a, -(-k * total // a)
 
-    coming = [(0, str(s), s, 1) for s in shares]
+    coming = [(0, _name(s), s, 1) for s in shares]
     heapq.heapify(coming)
     ready, out = [], []
     for slot in range(total):
@@ -137,8 +141,8 @@ def mixed(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id",
     placed = materialize(schedule(docs, weights, doc_id, source).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position")), "mix-positions")
     # rows that repeat an id share its first position
     placed = placed.groupBy("__id").agg(F.min("__position").alias("__position"))
-    both = docs.join(placed, docs[doc_id].eqNullSafe(F.col("__id")))
-    return both.repartitionByRange(F.col("__position")).sortWithinPartitions("__position").select(docs["*"])
+    both = docs.join(placed, docs[doc_id].eqNullSafe(placed["__id"]))
+    return both.repartitionByRange(placed["__position"]).sortWithinPartitions(placed["__position"]).select(docs["*"])
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

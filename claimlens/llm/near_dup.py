@@ -384,10 +384,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents of which a near duplicate (or a copy) has a smaller id; columns and their order stay."""
+    """docs without the documents of which a near duplicate (or a copy) has a smaller id; columns and their order stay.
+    Rows without an id stay, and so do all rows of an id that repeats with its smallest."""
     gone = near_duplicates(docs, doc_id, text).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
     gone = materialize(gone, "near-gone")
-    return docs.join(limited(gone, gone.count()), docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
+    return _anti(docs, gone, doc_id)
+
+
+def _anti(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
+    gone = limited(gone, gone.count())
+    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
