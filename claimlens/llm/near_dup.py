@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm.common import documents, limited
-from claimlens.llm.textcols import shingle_sets
+from claimlens.llm.textcols import mix, shingle_sets
 from claimlens.operators.graph import components
 from claimlens.session import discard, materialize, partitions, sweep
 
@@ -170,34 +170,54 @@ def _shared_counts(batches):
 
 
 def _set_blobs(batches, width: int):
-    """Whole sets: kind 0 has sorted hashes of a block and the document of each."""
-    hs, ids, waiting = [], [], 0
+    """Whole sets: kind 0 has sorted hashes of a block and the document of each, kind 1 documents and their set sizes."""
+    hs, ids, waiting, sent = [], [], 0, 0
 
     def flush():
-        nonlocal hs, ids, waiting
+        nonlocal hs, ids, waiting, sent
         if hs:
-            h, d = np.concatenate(hs), np.concatenate(ids)
+            h, n = np.concatenate(hs), np.array([len(x) for x in hs], np.int64)
+            reps = np.array(ids, np.int64)
+            d = np.repeat(reps, n)
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
-            yield from _blobs([(i, 0, h[a:b].tobytes(), d[a:b].tobytes(), b"", b"") for i, a, b in _by_block(h, width)])
-        hs, ids, waiting = [], [], 0
+            yield from _blobs([(-1 - sent % 997, 1, reps.tobytes(), n.tobytes(), b"", b""), *((i, 0, h[a:b].tobytes(), d[a:b].tobytes(), b"", b"") for i, a, b in _by_block(h, width))])
+        hs, ids, waiting, sent = [], [], 0, sent + 1
 
     for x in batches:
         for doc_id, s in zip(x.column(0).to_pylist(), shingle_sets(x.column(1)), strict=True):
             hs.append(s)
-            ids.append(np.full(len(s), doc_id, np.int64))
+            ids.append(doc_id)
             waiting += len(s)
             if waiting >= GROUP:
                 yield from flush()
     yield from flush()
 
 
-SHARED = pa.schema([("rep", pa.int64()), ("h", pa.binary()), ("df", pa.binary())])
-
-
-def _frequencies(batches):
-    """For each document of a block, its hashes that other documents have too, and their document frequency."""
+def _to_owners(kind: int, owners: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of arrays, dealt to buckets of the documents they belong to."""
+    if not len(owners):
+        return
+    to = (mix(owners.astype(np.uint64)) % U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+    last = np.append(first[1:], len(to))
+    columns = [c[order] for c in (owners, *columns)]
+    empty = [b""] * (4 - len(columns))
+    yield from _blobs([(int(to[i]), kind, *(c[i:j].tobytes() for c in columns), *empty) for i, j in zip(first.tolist(), last.tolist(), strict=True)])
+
+
+def _frequencies(batches, buckets: int):
+    """The hashes of a block that several documents have, with their document frequency, sent to those documents
+    (kind 0); set sizes are passed on to theirs (kind 1)."""
     for _, rows in _blocks(batches):
+        for r in rows:
+            if r[1] == 1:
+                yield from _to_owners(1, np.frombuffer(r[2], np.int64), [np.frombuffer(r[3], np.int64)], buckets)
+        rows = [r for r in rows if r[1] == 0]
+        if not rows:
+            continue
         h = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
         d = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
         order = np.argsort(h, kind="stable")
@@ -205,14 +225,8 @@ def _frequencies(batches):
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         runs = np.diff(np.append(first, len(h)))
         df = np.repeat(runs, runs)
-        h, d, df = h[df > 1], d[df > 1], df[df > 1].astype(np.int32)
-        order = np.argsort(d, kind="stable")
-        h, d, df = h[order], d[order], df[order]
-        first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(d))
-        for i in range(0, len(first), 4096):
-            j = list(zip(first[i : i + 4096].tolist(), last[i : i + 4096].tolist(), strict=True))
-            yield pa.record_batch([pa.array(d[first[i : i + 4096]], pa.int64()), pa.array([h[a:b].tobytes() for a, b in j], pa.binary()), pa.array([df[a:b].tobytes() for a, b in j], pa.binary())], schema=SHARED)
+        several = df > 1
+        yield from _to_owners(0, d[several], [h[several], df[several].astype(np.int32)], buckets)
 
 
 ROWS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("prefix", pa.list_(pa.int64()))])
@@ -220,17 +234,28 @@ ROWS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("
 
 def _ordered(batches):
     """Shared hashes of each class, sorted for the exact overlap, and those of its prefix, rarest first."""
-    for x in batches:
+    for _, rows in _blocks(batches):
+        sizes: dict[int, int] = {}
+        for r in rows:
+            if r[1] == 1:
+                sizes.update(zip(np.frombuffer(r[2], np.int64).tolist(), np.frombuffer(r[3], np.int64).tolist(), strict=True))
+        rows = [r for r in rows if r[1] == 0]
+        if not rows:
+            continue
+        d, h, df = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((2, np.int64), (3, np.uint64), (4, np.int32)))
+        order = np.lexsort((h, d))
+        d, h, df = d[order], h[order], df[order]
+        first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
         out = []
-        for rep, n, hs, dfs in zip(*(c.to_pylist() for c in x.columns), strict=True):
-            h, df = (np.frombuffer(b"".join(y), t) for y, t in ((hs, np.uint64), (dfs, np.int32)))
-            # the lists come from two columns of one aggregate, so they are in the same order
-            most = n // 4 + 1 - (n - len(h))
+        for a, b in zip(first.tolist(), np.append(first[1:], len(d)).tolist(), strict=True):
+            n = sizes[int(d[a])]
+            most = n // 4 + 1 - (n - (b - a))
             if most > 0:
-                order = np.lexsort((h, df))[:most]
-                out.append((rep, n, np.sort(h).tobytes(), h[order].view(np.int64)))
-        if out:
-            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), ROWS, strict=True)], schema=ROWS)
+                rare = np.argsort(df[a:b], kind="stable")[:most]
+                out.append((int(d[a]), n, h[a:b].tobytes(), h[a:b][rare].view(np.int64)))
+            if len(out) == 1024 or out and b == len(d):
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), ROWS, strict=True)], schema=ROWS)
+                out = []
 
 
 def _overlaps(batches):
@@ -274,7 +299,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_byt
     counted = dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared_counts, "kind byte, doc_id long, d1 long, d2 long, n long")
     counted = materialize(counted, "near-counts")
     rows = counted.where("kind = 2")
-    reps = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    # written first, so that the join back has a shuffle of its own, which Spark can split where one set has many copies
+    reps = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "near-reps")
     shared = counted.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("shared"))
     left = materialize(reps.join(shared, "d1").where("32 * shared >= 3 * n").select("rep", "n"), "near-left")
     classes = rows.where("n > 0").join(reps.drop("n"), ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep")
@@ -284,12 +310,11 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_byt
     sweep(spark)
 
     chosen = base.join(limited(left.select(F.col("rep").alias("doc_id")), left.count()), "doc_id", "left_semi")
-    freq = chosen.mapInArrow(lambda it: _set_blobs(it, width), BLOB_SQL).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_frequencies, "rep long, h binary, df binary")
-    # one struct keeps a block's hashes and frequencies in step
-    freq = freq.groupBy("rep").agg(F.collect_list(F.struct("h", "df")).alias("x"))
-    freq = freq.join(left, "rep").select("rep", "n", F.col("x.h").alias("h"), F.col("x.df").alias("df"))
-    sets = materialize(freq.mapInArrow(_ordered, "rep long, n long, h binary, prefix array<long>"), "near-sets")
-    del chosen, freq
+    buckets = parts * BLOCKS
+    freq = chosen.mapInArrow(lambda it: _set_blobs(it, width), BLOB_SQL).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lambda it: _frequencies(it, buckets), BLOB_SQL)
+    owned = freq.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_ordered, "rep long, n long, h binary, prefix array<long>")
+    sets = materialize(owned, "near-sets")
+    del chosen, freq, owned
     sweep(spark)
 
     entries = sets.select("rep", "n", F.explode("prefix").alias("h"))
