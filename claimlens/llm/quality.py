@@ -2,7 +2,7 @@
 updates (FTRL-proximal) and scored as sparse dot products.
 
 Tokens are runs of letters and digits and runs of other visible characters; features are token unigrams and bigrams
-hashed to 2**BITS weights, each with the value 1 / sqrt(number of features). The model is fitted on the driver on at
+hashed to 2**BITS weights (bigrams of a word and itself share one), each with the value 1 / sqrt(number of features). The model is fitted on the driver on at
 most MAX_TRAIN labelled texts (those with the smallest hash of their id), whose features the executors compute; its
 weights are of a fixed size and go to the executors as a broadcast. Every text is scored whole."""
 
@@ -22,6 +22,8 @@ MAX_TRAIN = 8_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
 THRESHOLD = 0.3
+#: The feature of every bigram of a word and itself, whatever the word.
+REPEAT = 0
 
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -48,7 +50,7 @@ def features(col: pa.Array):
         starts, ends = starts[seen], ends[seen]
         h = span_hashes(part, starts, ends, CODES)
         one = (h >> U(64 - BITS)).astype(np.int64)
-        two = (mix(h[:-1] * U(3) + h[1:]) >> U(64 - BITS)).astype(np.int64)
+        two = np.where(h[:-1] == h[1:], REPEAT, (mix(h[:-1] * U(3) + h[1:]) >> U(64 - BITS)).astype(np.int64))
         at = np.searchsorted(starts, off)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             yield np.concatenate((one[a:b], two[a : b - 1])) if b > a else np.zeros(0, np.int64)
