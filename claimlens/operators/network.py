@@ -176,3 +176,31 @@ def precision_at(df: DataFrame, score: str, unique: str, label: str, ks: list[in
         tail = sum(comb(m, i) * base**i * (1 - base) ** (m - i) for i in range(hits, m + 1))
         out.append({"k": k, "hits": hits, "precision": hits / m if m else 0.0, "base_rate": base, "p_value": min(1.0, tail)})
     return out
+
+
+def plazas(places: DataFrame, place: str, least: int = 8) -> DataFrame:
+    """Places that host at least `least` members: members, kinds, new and labelled members. places has place, member,
+    kind, is_new, labelled."""
+    x = places.where(F.col(place).isNotNull()).groupBy(place).agg(F.countDistinct("member").alias("members"), F.countDistinct("kind").alias("kinds"), F.count_if("is_new").alias("new"), F.count_if("labelled").alias("labelled"))
+    return x.where(F.col("members") >= least)
+
+
+def dominant(members: DataFrame, community: str, columns: list[str]) -> DataFrame:
+    """The most frequent value of each column per community (the smaller value among equals; nulls don't count)."""
+    out = members.select(community).distinct()
+    for c in columns:
+        n = members.where(F.col(c).isNotNull()).groupBy(community, c).agg(F.count("*").alias("n"))
+        out = out.join(n.groupBy(community).agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias(c)), community, "left")
+    return out
+
+
+def family_flags(structure: list[Column], label: list[Column], context: list[Column]) -> dict[str, Column]:
+    """Whether any sign of each kind of evidence holds, and how many kinds do."""
+    any_of = lambda cs: reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in cs], F.lit(False))
+    out = {"structure_family": any_of(structure), "label_family": any_of(label), "context_family": any_of(context)}
+    return out | {"families": sum((c.cast("int") for c in out.values()), F.lit(0))}
+
+
+def eligible(chain: Column, organisations: Column, families: Column, new: Column) -> Column:
+    """Not a chain, at least three organisations, evidence of two kinds, something new."""
+    return F.coalesce(~chain & (organisations >= 3) & (families >= 2) & (new >= 1), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES: name -> (function of (spark, sf_dir), SQL or None).
-MODULES: tuple[str, ...] = ("paid_after", "cleaning", "aggregates", "windows", "joins", "setops", "scalars", "volume", "listed", "procedures", "network", "predictive", "serve", "feed")
+MODULES: tuple[str, ...] = ("paid_after", "cleaning", "aggregates", "windows", "joins", "setops", "scalars", "volume", "listed", "procedures", "network", "predictive", "serve", "feed", "network_features")
 
 
 def _all() -> dict:

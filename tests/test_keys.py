@@ -88,3 +88,12 @@ def test_similarity():
     assert jaro_winkler_py("", "A") == 0 and jaro_winkler_py("A", "A") == 1
     assert token_set_ratio_py("sunrise hospice care", "care sunrise hospice llc") == 100
     assert token_set_ratio_py("", "x") == 0
+
+
+def test_validators_and_dates(spark):
+    assert one(spark, keys.is_uuid(F.lit("123e4567-e89b-12d3-a456-426614174000"))) and not one(spark, keys.is_uuid(F.lit("x")))
+    assert one(spark, keys.is_cluster_id(F.lit("N-0012"))) and not one(spark, keys.is_cluster_id(F.lit(None).cast("string")))
+    assert not one(spark, keys.is_decision(F.lit("maybe")))
+    assert one(spark, keys.district_state(F.lit("Southern District of Texas"), {"Texas": "TX", "New York": "NY"})) == "TX"
+    assert one(spark, keys.district_state(F.lit("elsewhere"), {"Texas": "TX"})) is None
+    assert [str(one(spark, keys.press_date(F.lit(d)))) for d in ("Jan. 5, 2024", "January 5, 2024", "Sept. 3, 2023", "soon")] == ["2024-01-05", "2024-01-05", "2023-09-03", "None"]

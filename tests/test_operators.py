@@ -162,3 +162,23 @@ def test_serve(spark):
     got = {r.id: (r.flagged, len(r.hits or [])) for r in serve.verify_claims(claims, ev).collect()}
     assert got == {"c1": (True, 1), "c2": (False, 0), "c3": (False, 0)}
     assert tuple(serve.verify_totals(serve.verify_claims(claims, ev)).first()) == (3, 1, 5.0)
+
+
+def test_precision_and_similar_orgs(spark):
+    from claimlens.operators.resolve import similar_orgs
+
+    df = spark.createDataFrame([(i, float(i), i >= 90) for i in range(100)], "id int, s double, y boolean")
+    got = net.precision_at(df, "s", "id", "y", [10, 20])
+    assert (got[0]["hits"], got[0]["precision"], got[1]["hits"]) == (10, 1.0, 10) and got[0]["p_value"] < 1e-6 < got[1]["p_value"] * 1e9
+    orgs = spark.createDataFrame([(1, "SUNRISE HOSPICE CARE", "CA"), (2, "SUNRISE HOSPICE CARE LLC", "CA"), (3, "SUNRISE HOSPICE CARE", "TX"), (4, "SUNSET DENTAL", "CA")], "id int, name string, state string")
+    assert [(r.a, r.b) for r in similar_orgs(orgs, "id", "name", "state").collect()] == [(1, 2)]
+
+
+def test_profile_and_payload(spark):
+    reg = spark.createDataFrame([("1", "A"), ("2", "B")], "npi string, name string")
+    pay = spark.createDataFrame([("1", 5), ("1", 3)], "npi string, v int")
+    r = serve.profile(reg, "1", {"pay": pay}).first()
+    assert r.name == "A" and [x.v for x in r.pay] == [3, 5]
+    m = spark.createDataFrame([("provider:1", "c"), ("provider:2", "c")], "node string, community string")
+    e = spark.createDataFrame([("provider:1", "provider:2", "addr", 0.6)], "src string, dst string, rel string, weight double")
+    assert '"src":"provider:1"' in net.payload(m, e).first().graph
