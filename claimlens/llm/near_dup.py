@@ -40,7 +40,7 @@ from claimlens.session import discard, materialize, partitions, sweep
 #: Entries that a task holds before it sends them to their blocks.
 GROUP = 600_000
 #: Blocks of columns for each shuffle partition; more blocks spread evener and need less memory each.
-BLOCKS = 3
+BLOCKS = 2
 #: Candidate groups with more bytes of shared hashes than this are not solved within one task.
 GROUP_BYTES = 24_000_000
 #: Pivot rounds go on while more pairs than this, for each class, are left.
@@ -310,7 +310,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_byt
     sweep(spark)
 
     chosen = base.join(limited(left.select(F.col("rep").alias("doc_id")), left.count()), "doc_id", "left_semi")
-    buckets = parts * BLOCKS
+    buckets = parts
     freq = chosen.mapInArrow(lambda it: _set_blobs(it, width), BLOB_SQL).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lambda it: _frequencies(it, buckets), BLOB_SQL)
     owned = freq.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_ordered, "rep long, n long, h binary, prefix array<long>")
     sets = materialize(owned, "near-sets")
