@@ -327,6 +327,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_byt
     edges = materialize(mine.where("not large").select("grp", "rep", "n", "h", "prefix").groupBy("grp").applyInArrow(_solved, "a long, b long"), "near-edges")
     if size.where("large").limit(1).count():
         edges = edges.unionByName(_large_groups(materialize(mine.where("large").select("rep", "n", "h", "prefix"), "near-large")))
+    discard(sets, left, reps, size, groups)
     return classes, edges
 
 
