@@ -40,7 +40,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     small-star steps alternate, so a round halves long paths and no node's neighbours are ever gathered in a task:
     each step is a min aggregate and a join back, which Spark splits when one node has most of the links. Links
     with a null end are ignored."""
-    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null")
+    e = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     kind = ", ".join(f"{n} {t}" for n, t in e.dtypes)
     e = materialize(e, "cc-links")
     own = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
