@@ -31,7 +31,7 @@ def jaro(a: str, b: str) -> float:
 
 
 def jaro_winkler_py(a: str, b: str, weight: float = 0.1, floor: float = 0.7) -> float:
-    """The prefix counts only above the floor, as in the reference implementation of the measure."""
+    """The common prefix counts only for strings above the floor."""
     s = jaro(a, b)
     if s <= floor:
         return s
