@@ -305,7 +305,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_byt
     left = materialize(reps.join(shared, "d1").where("32 * shared >= 3 * n").select("rep", "n"), "near-left")
     classes = rows.where("n > 0").join(reps.drop("n"), ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep")
     classes = materialize(classes.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("rep"))), "near-classes")
-    del dealt, rows, reps, shared
+    del dealt, rows, shared
     discard(counted)
     sweep(spark)
 
