@@ -20,6 +20,8 @@ from claimlens.llm.common import crc_mod, documents, unit_hash
 from claimlens.session import materialize
 
 PER_LANGUAGE = 300
+#: Rows of the sample over all languages; with very many languages each gives fewer.
+MAX_TRAIN = 6_000
 LANDMARKS = 40
 RIDGE = 0.05
 SIZE = 64 + 64**2 + 64**3
@@ -111,11 +113,12 @@ def train(rows: list[tuple[int, str, np.ndarray]]) -> Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from the rows of docs (doc_id, text, lang) that have a text with characters and a language. Each language gives up
-    to per_language rows, those with the smallest hash of their id; the number of languages bounds the sample."""
+    to per_language rows, those with the smallest hash of their id, and all together MAX_TRAIN."""
     docs = docs.where("lang is not null and doc_id is not null and length(text) > 0")
     counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([])
+    per_language = max(1, min(per_language, MAX_TRAIN // len(counts)))
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(2.0 * per_language / n if n > 4 * per_language else 1.0))])
     u = unit_hash("doc_id", 11)
     sample = docs.where(u < share[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")

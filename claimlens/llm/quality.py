@@ -19,6 +19,8 @@ from claimlens.session import materialize
 
 BITS = 20
 MAX_TRAIN = 8_000
+#: Distinct features that the sample's texts may have together; beyond it the sample ends earlier, so it fits the driver.
+MAX_FEATURES = 12_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
 THRESHOLD = 0.3
@@ -98,7 +100,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
             yield pa.record_batch([x.column(0), x.column(1), pa.array([i.astype(np.int32) for i, _ in pairs], schema.field(2).type), pa.array([c.astype(np.int32) for _, c in pairs], schema.field(3).type)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "quality", "text")
-    rows = rows.mapInArrow(sparse, "doc_id long, quality int, idx array<int>, n array<int>").toArrow()
+    rows = materialize(rows.mapInArrow(sparse, "doc_id long, quality int, idx array<int>, n array<int>"), "quality-features")
+    order = F.xxhash64(F.lit(7), "doc_id")
+    total, last = 0, None
+    for r in rows.select(order.alias("o"), F.size("idx").alias("n")).orderBy("o").collect():  # two numbers a text
+        total += r.n
+        if total > MAX_FEATURES and last is not None:
+            break
+        last = r.o
+    rows = rows.where(order <= F.lit(last)).toArrow()
     ids, y = rows.column("doc_id").to_numpy(), rows.column("quality").to_numpy()
     idx, n = (rows.column(c).combine_chunks() for c in ("idx", "n"))
     order = np.lexsort((y, ids, mix(ids.astype(np.uint64))))
