@@ -24,7 +24,7 @@ from claimlens.session import materialize
 BLOCK_ROWS = 64
 QUANTA = 240
 #: Rows that a bucket of the order holds on average, over all sources.
-BUCKET_ROWS = 4_096
+BUCKET_ROWS = 1_024
 TEMPERATURE = 0.5
 
 
