@@ -31,8 +31,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     apart), keep_id (smallest doc_id of the equal texts), group_size. Rows that repeat a doc_id count each; a null
     doc_id is larger than any other."""
     keys = materialize(_keyed(docs, doc_id, text).drop("t"), "exact-keys")
-    by_length = keys.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length")
-    by_prefix = keys.join(by_length.hint("merge"), "length", "left_semi").groupBy("length", "prefix_hash").agg(F.count("*").alias("n")).where("n > 1").select("length", "prefix_hash", F.lit(True).alias("again"))
+    # written first, so that no aggregate stands under the join, which Spark can then split where many texts have one length
+    by_length = materialize(keys.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length"), "exact-lengths")
+    # grouped by one struct, so that rows are counted per task before they are dealt anew, not where the join put a length
+    by_prefix = keys.join(limited(by_length, by_length.count()), "length", "left_semi").groupBy(F.struct("length", "prefix_hash").alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k.length", "k.prefix_hash", F.lit(True).alias("again"))
     marked = materialize(keys.join(by_prefix.hint("merge"), ["length", "prefix_hash"], "left"), "exact-marked")
     open_ids = marked.where("again").select("doc_id").distinct()
     again = marked.where("again").select("length", "prefix_hash").distinct()
