@@ -50,20 +50,43 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return same.unionByName(alone)
 
 
+def _digested(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return _keyed(docs, doc_id, text).select(F.col("doc_id").alias("id_"), F.col("length").alias("length_"), F.col("prefix_hash").alias("prefix_"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose text a row with a smaller doc_id has; columns and their order stay."""
-    gone = exact_duplicates(docs, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialize(gone, "exact-gone")
-    gone = limited(gone, gone.count())
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]), "left_anti")
+    """One row of docs, one with the smallest doc_id, for each group of equal texts; columns and their order stay. Rows
+    are told apart by doc_id and text, so a row stays whatever other rows of its doc_id (or without one) hold. Of
+    several rows with the smallest doc_id and equal texts the one with the smallest hash over all columns stays."""
+    found = exact_duplicates(docs, doc_id, text).where("group_size > 1").select(F.col("doc_id").alias("__gone"), F.col("full_hash").alias("__hash"), "keep_id")
+    found = found.groupBy("__gone", "__hash", "keep_id").agg(F.count("*").alias("n"))
+    found = materialize(found.select("__gone", "__hash", F.col("__gone").eqNullSafe(F.col("keep_id")).alias("first"), "n").where("n > 1 or not first"), "exact-gone")
+    digest = F.sha2(normalised(text).cast("binary"), 256)
+
+    def matches(keys: DataFrame):
+        return docs[doc_id].eqNullSafe(keys["__gone"]) & (digest == keys["__hash"])
+
+    found_rows = limited(found.select("__gone", "__hash"), found.count())
+    kept = docs.join(found_rows, matches(found_rows), "left_anti")
+    # ids that repeat with one text: all their rows are left out above, and one is put back
+    several = found.where("first").select("__gone", "__hash")
+    n = several.count()
+    if not n:
+        return kept
+    several = limited(several, n)
+    again = docs.join(several, matches(several), "left_semi")
+    row = F.struct(*[again[c] for c in docs.columns])
+    one = again.groupBy(again[doc_id].alias("__gone"), digest.alias("__hash")).agg(F.min_by(row, F.xxhash64(*[again[c] for c in docs.columns])).alias("__row"))
+    return kept.unionByName(one.select("__row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = exact_duplicates(docs)
     # the contract wants every row's digest, also of those that the refinement need not hash
-    digests = _keyed(docs, "doc_id", "text").select("doc_id", "length", "prefix_hash", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256")).distinct()
-    return found.join(digests, ["doc_id", "length", "prefix_hash"]).where("full_hash is null or full_hash = text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    digests = _digested(docs, "doc_id", "text").distinct()
+    same = found["doc_id"].eqNullSafe(digests["id_"]) & (found["length"] == digests["length_"]) & (found["prefix_hash"] == digests["prefix_"])
+    return found.join(digests, same).where("full_hash is null or full_hash = text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 OP5_SQL = r"""

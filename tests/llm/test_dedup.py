@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +42,18 @@ def test_exact_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a "), (3, "b"), (None, "a"), (None, None), (4, "")], "doc_id long, text string")
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.keep_id or 0, r.group_size) for r in exact_dup.exact_duplicates(df).collect()))
     assert got == [(False, 1, 1, 2), (False, 1, 1, 3), (False, 1, 1, 3), (False, 2, 2, 1), (False, 3, 1, 2), (False, 4, 4, 2), (True, 0, 1, 3), (True, 0, 4, 2)]
+
+
+def test_keep_first_tells_rows_apart(spark):
+    rows = [(1, "a", "p"), (1, "a", "p"), (2, "b", "p"), (2, "a", "p"), (None, "a", "p"), (None, "own", "p"), (None, "two", "p"), (None, "two", "q"), (3, "b", "p"), (4, None, "p"), (4, "", "p")]
+    kept = exact_dup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "own"), (0, "two"), (1, "a"), (2, "b"), (4, "")]
+
+
+def test_exact_query_keeps_null_ids(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (None, "a"), (None, "own"), (None, None), (2, "b"), (2, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("a", "own", "", "b", "c")}
+    got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept, r.text_sha256) for r in exact_dup.op5_exact_dedup(spark, str(tmp_path)).collect())
+    want = [(0, 0, 1, None, sha["own"]), (0, 0, 1, None, sha[""]), (0, 1, 3, None, sha["a"]), (1, 1, 3, True, sha["a"]), (1, 1, 3, True, sha["a"]), (2, 2, 1, True, sha["b"]), (2, 2, 1, True, sha["c"])]
+    assert sorted(got, key=str) == sorted(want, key=str)
