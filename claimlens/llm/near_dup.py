@@ -58,6 +58,16 @@ def _blobs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*part, strict=True), BLOB, strict=True)], schema=BLOB)
 
 
+def _class(s: np.ndarray) -> tuple[int, int]:
+    """The two halves of a set's digest; the first names its class."""
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little") | 1, int.from_bytes(digest[8:], "little")
+
+
+def _signed(d1: int) -> int:
+    return d1 - (1 << 64) if d1 >> 63 else d1
+
+
 def _by_block(h: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
     """Blocks of sorted hashes: number, from, to. width: the hashes that a block spans."""
     if not len(h):
@@ -106,8 +116,7 @@ def _prefix_blobs(batches, width: int, salt: int):
             if not n:
                 rows.append((doc_id, 0, 0, 0))
                 continue
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            d1, d2 = int.from_bytes(digest[:8], "little") | 1, int.from_bytes(digest[8:], "little")
+            d1, d2 = _class(s)
             rows.append((doc_id, d1, d2, n))
             if d1 not in seen:
                 seen.add(d1)
@@ -170,8 +179,11 @@ def _shared_counts(batches):
 
 
 def _set_blobs(batches, width: int):
-    """Whole sets: kind 0 has sorted hashes of a block and the document of each, kind 1 documents and their set sizes."""
+    """Whole sets of (doc_id, text, class): kind 0 has sorted hashes of a block and the class of each, kind 1 classes and
+    their set sizes. A row whose set is of another class than asked for is left out, and a class that several rows have
+    is sent once."""
     hs, ids, waiting, sent = [], [], 0, 0
+    seen: set[int] = set()
 
     def flush():
         nonlocal hs, ids, waiting, sent
@@ -185,9 +197,12 @@ def _set_blobs(batches, width: int):
         hs, ids, waiting, sent = [], [], 0, sent + 1
 
     for x in batches:
-        for doc_id, s in zip(x.column(0).to_pylist(), shingle_sets(x.column(1)), strict=True):
+        for asked, s in zip(x.column(2).to_pylist(), shingle_sets(x.column(1)), strict=True):
+            if asked in seen or not len(s) or _signed(_class(s)[0]) != asked:
+                continue
+            seen.add(asked)
             hs.append(s)
-            ids.append(doc_id)
+            ids.append(asked)
             waiting += len(s)
             if waiting >= GROUP:
                 yield from flush()
@@ -209,8 +224,8 @@ def _to_owners(kind: int, owners: np.ndarray, columns: list[np.ndarray], buckets
 
 
 def _frequencies(batches, buckets: int):
-    """The hashes of a block that several documents have, with their document frequency, sent to those documents
-    (kind 0); set sizes are passed on to theirs (kind 1)."""
+    """The hashes of a block that several classes have, with the number of those classes, sent to them (kind 0); set
+    sizes are passed on to theirs (kind 1). A class that came from several tasks counts once."""
     for _, rows in _blocks(batches):
         for r in rows:
             if r[1] == 1:
@@ -220,8 +235,10 @@ def _frequencies(batches, buckets: int):
             continue
         h = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
         d = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((d, h))
         h, d = h[order], d[order]
+        once = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
+        h, d = h[once], d[once]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         runs = np.diff(np.append(first, len(h)))
         df = np.repeat(runs, runs)
@@ -287,10 +304,11 @@ def _width(spark: SparkSession) -> int:
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(classes, edges). classes: doc_id, n_shingles, rep (the smallest doc_id with the same set; itself without
-    words). edges (a, b): pairs of reps that link, enough of them that documents have a path of edges and common
-    reps exactly if they have a path of links. Null text is empty; rows without doc_id are left out; other columns
-    aren't read, so their names don't matter."""
+    """(classes, edges). classes: a row for each row of docs with doc_id, n_shingles, rep (the smallest doc_id with the
+    same set; itself without words) and class (of its set; null without words). edges (a, b): pairs of classes that
+    link, enough of them that rows have a path of edges and common classes exactly if they have a path of links. Rows
+    that repeat a doc_id count by their own texts. Null text is empty; rows without doc_id are left out; other
+    columns aren't read, so their names don't matter."""
     spark = docs.sparkSession
     width, parts = _width(spark), partitions(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -302,14 +320,15 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_byt
     # written first, so that the join back has a shuffle of its own, which Spark can split where one set has many copies
     reps = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "near-reps")
     shared = counted.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("shared"))
-    left = materialize(reps.join(shared, "d1").where("32 * shared >= 3 * n").select("rep", "n"), "near-left")
-    classes = rows.where("n > 0").join(reps.drop("n"), ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep")
-    classes = materialize(classes.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("rep"))), "near-classes")
+    left = materialize(reps.join(shared, "d1").where("32 * shared >= 3 * n").select("rep", "d1"), "near-left")
+    classes = rows.where("n > 0").join(reps.drop("n"), ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep", F.col("d1").alias("class"))
+    classes = materialize(classes.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("rep"), F.lit(None).cast("long").alias("class"))), "near-classes")
     del dealt, rows, shared
     discard(counted)
     sweep(spark)
 
-    chosen = base.join(limited(left.select(F.col("rep").alias("doc_id")), left.count()), "doc_id", "left_semi")
+    # from here on a class goes by its own number, as an id may stand on rows of several classes
+    chosen = base.join(limited(left.select(F.col("rep").alias("doc_id"), F.col("d1").alias("class")), left.count()), "doc_id").select("doc_id", "text", "class")
     buckets = parts
     freq = chosen.mapInArrow(lambda it: _set_blobs(it, width), BLOB_SQL).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lambda it: _frequencies(it, buckets), BLOB_SQL)
     owned = freq.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_ordered, "rep long, n long, h binary, prefix array<long>")
@@ -405,16 +424,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id (smallest doc_id reachable by links of Jaccard similarity 0.75 or more, itself included) of every
     document. Texts without words, empty and null ones link with nothing."""
     classes, edges = links(docs, doc_id, text, group_bytes)
-    found = components(edges).withColumnRenamed("node", "rep")
-    return classes.join(found, "rep", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"))
+    return _labelled(classes, edges).drop("class")
+
+
+def _labelled(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    found = components(edges).withColumnRenamed("node", "class")
+    reps = found.join(classes.groupBy("class").agg(F.min("rep").alias("rep")), "class")
+    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialize(found.join(least, "component").select("class", "component_id"), "near-named")
+    return classes.join(named, "class", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component_id", "rep").alias("component_id"), "class")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents of which a near duplicate (or a copy) has a smaller id; columns and their order stay.
-    Rows without an id stay, and so do all rows of an id that repeats with its smallest."""
-    gone = near_duplicates(docs, doc_id, text).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    gone = materialize(gone, "near-gone")
-    return _anti(docs, gone, doc_id)
+    """docs without the rows of which a near duplicate (or a copy) has a smaller id; columns and their order stay.
+    Rows without an id stay, and so do all rows of an id that repeats with its smallest. An id on rows of several texts
+    loses those only that have a near duplicate."""
+    classes, edges = links(docs, doc_id, text)
+    found = _labelled(classes, edges).select(F.col("doc_id").alias("__gone"), "class", (F.col("doc_id") != F.col("component_id")).alias("gone"))
+    found = materialize(found, "near-found")
+    gone = found.where("gone").groupBy("__gone").agg(F.lit(1).alias("one")).drop("one")
+    mixed = found.groupBy("__gone").agg(F.min("gone").alias("lo"), F.max("gone").alias("hi")).where("lo != hi").select("__gone")
+    mixed = materialize(mixed, "near-mixed-ids")
+    kept = _anti(docs, materialize(gone, "near-gone"), doc_id)
+    n = mixed.count()
+    if not n:
+        return kept
+    # ids with rows that stay and rows that go: the latter by their class
+    rows = docs.join(limited(mixed, n), docs[doc_id].cast("long") == mixed["__gone"], "left_semi")
+    stay = found.where("not gone").join(limited(mixed, n), "__gone", "left_semi").select(F.col("__gone").alias("__id"), F.coalesce("class", F.lit(0)).alias("__class")).distinct()
+    stay = materialize(stay, "near-stay")
+    names = F.udf(_class_of, "long")
+    rows = rows.withColumn("__of", names(rows[text].cast("string")))
+    stay = limited(stay, stay.count())
+    rows = rows.join(stay, (rows[doc_id].cast("long") == stay["__id"]) & (rows["__of"] == stay["__class"]), "left_semi")
+    return kept.unionByName(rows.drop("__of"))
+
+
+def _class_of(text: str | None) -> int:
+    """The class of one text, 0 without words."""
+    s = next(iter(shingle_sets(pa.array([text], pa.string()))))
+    return _signed(_class(s)[0]) if len(s) else 0
 
 
 def _anti(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:

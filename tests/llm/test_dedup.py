@@ -1,3 +1,4 @@
+import collections
 import hashlib
 
 import pytest
@@ -57,3 +58,21 @@ def test_exact_query_keeps_null_ids(spark, tmp_path):
     got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept, r.text_sha256) for r in exact_dup.op5_exact_dedup(spark, str(tmp_path)).collect())
     want = [(0, 0, 1, None, sha["own"]), (0, 0, 1, None, sha[""]), (0, 1, 3, None, sha["a"]), (1, 1, 3, True, sha["a"]), (1, 1, 3, True, sha["a"]), (2, 2, 1, True, sha["b"]), (2, 2, 1, True, sha["c"])]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("group_bytes", [near_dup.GROUP_BYTES, 1])
+def test_near_repeated_rows(spark, docs, rows, group_bytes):
+    sets = {r[0]: brute.shingles(r[1]) for r in rows}
+    want = {(k, len(sets[k]), c): 2 for k, c in brute.components(sets).items()}
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs.union(docs), group_bytes=group_bytes).collect())
+    assert got == want
+
+
+def test_near_repeated_rows_below_threshold(spark):
+    words = [f"w{i}" for i in range(300)]
+    a, b, near, own = " ".join(words[:104]), " ".join(words[60:164]), " ".join(words[:103]), " ".join(words[200:])
+    twice = spark.createDataFrame([(1, a), (2, b)] * 2, "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(twice).collect()} == {(1, 1), (2, 2)}
+    # an id with a near copy of another text and one of its own loses the near copy only
+    mixed = spark.createDataFrame([(1, a), (2, near), (2, own)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in near_dup.keep_one(mixed).collect()) == [(1, a), (2, own)]
