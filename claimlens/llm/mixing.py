@@ -2,27 +2,29 @@
 from the source's weight, and earliest-deadline-first fills the slots, so at any slot a source is less than one block
 away from its share.
 
-A source's k-th block is released at slot floor((k - 1) / w) and due by slot ceil(k / w). With weights that are whole
-numbers of quanta the schedule repeats after QUANTA slots, so only one period is scheduled (by the driver, over
-sources and quanta, never over rows) and blocks find their slots by arithmetic and a join with that small table. When
-a source runs out, a period is cut short and the next phase goes on with the weights of the sources left; every row
-is placed. Rows are dealt to blocks by an order that depends on a hash of their id: ranks are counted within (source,
-hash bucket), buckets hold a bounded share of the rows, and sums over buckets give the rest."""
+A source's k-th block is released at slot floor((k - 1) / w) and due by slot ceil(k / w), w being its exact weight
+among the sources left. The schedule repeats where the weights are small whole numbers to each other; else it is made
+block by block, in one task that holds one entry for each source and sends its rows on as it goes (blocks, not rows).
+When a source runs out, the next phase starts with the weights of the sources left; every row is placed. Rows are dealt
+to blocks by an order that depends on a hash of their id: ranks are counted within (source, hash bucket), buckets
+hold a bounded share of the rows, and sums over buckets give the rest."""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from math import gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimlens.llm.common import documents
+from claimlens.llm.common import documents, limited
 from claimlens.session import materialize
 
 BLOCK_ROWS = 64
-QUANTA = 240
 #: Rows that a bucket of the order holds on average, over all sources.
 BUCKET_ROWS = 1_024
 TEMPERATURE = 0.5
@@ -32,19 +34,16 @@ def _name(source: str | None) -> str:
     return "0" if source is None else f"1{source}"
 
 
-def quanta(weights: dict, total: int = QUANTA) -> dict:
-    """Whole quanta by largest remainder, at least one each; the total grows to twice the number of sources if need be."""
-    total = max(total, 2 * len(weights))
-    s = sum(weights.values())
-    spare = total - len(weights)
-    exact = {k: w / s * spare for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], _name(k)))[: total - sum(out.values())]:
-        out[k] += 1
-    return out
+def quanta(weights: dict) -> dict:
+    """The smallest whole numbers that are to each other as the weights, a float counting as the decimal it is written as."""
+    exact = {k: Fraction(w) if isinstance(w, (int, Fraction)) else Fraction(str(float(w))) for k, w in weights.items()}
+    common = lcm(*(x.denominator for x in exact.values()))
+    whole = {k: int(x * common) for k, x in exact.items()}
+    least = gcd(*whole.values())
+    return {k: x // least for k, x in whole.items()}
 
 
-def period(shares: dict) -> list[tuple[object, int, int, int]]:
+def period(shares: dict) -> Iterator[tuple[object, int, int, int]]:
     """One period as (source, k, release, deadline) by slot: at each slot the released block with the earliest
     deadline; ties go to the block whose window overlaps the next one of its source, then to the larger weight."""
     total = sum(shares.values())
@@ -54,45 +53,72 @@ def period(shares: dict) -> list[tuple[object, int, int, int]]:
 
     coming = [(0, _name(s), s, 1) for s in shares]
     heapq.heapify(coming)
-    ready, out = [], []
-    for slot in range(total):
+    ready, slot = [], 0
+    while slot < total:
         while coming and coming[0][0] <= slot:
             release, name, s, k = heapq.heappop(coming)
             due = window(k, shares[s])[1]
             heapq.heappush(ready, (due, -(k * total % shares[s] != 0), -shares[s], name, s, k, release))
         due, _, _, name, s, k, release = heapq.heappop(ready)
-        out.append((s, k, release, due))
+        yield s, k, release, due
+        slot += 1
         if k < shares[s]:
             heapq.heappush(coming, (window(k + 1, shares[s])[0], name, s, k + 1))
-    return out
 
 
-def plan(blocks: dict, weights: dict) -> list[tuple]:
+def plan(blocks: dict, weights: dict) -> Iterator[tuple]:
     """(source, phase, first block, last block, share, period length, rank within the period's blocks, slot, start,
     release, deadline) for each block of each phase's period: a phase runs whole periods while all its sources last,
-    then one period of what is left."""
+    then as much of one as there is until a source runs out, whose blocks stand alone."""
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
-    out, start, phase = [], 0, 0
+    start, phase = 0, 0
     while left:
         shares = quanta({s: weights[s] for s in left})
-        one = period(shares)
+        total = sum(shares.values())
         whole = min(left[s] // a for s, a in shares.items())
-        for times, cut in ((whole, False), (1, True)):
-            if not times:
-                continue
-            rows = [r for r in one if not cut or r[1] <= left[r[0]]]
-            for slot, (s, k, release, due) in enumerate(rows):
-                n = times * shares[s] if not cut else min(left[s], shares[s])
-                out.append((s, phase, done[s], done[s] + n, shares[s], len(rows), k - 1, slot, start, release, due))
-            start += times * len(rows)
+        if whole:
+            for slot, (s, k, release, due) in enumerate(period(shares)):
+                yield s, phase, done[s], done[s] + whole * shares[s], shares[s], total, k - 1, slot, start, release, due
+            start += whole * total
             phase += 1
             for s, a in shares.items():
-                n = times * a if not cut else min(left[s], a)
+                done[s] += whole * a
+                left[s] -= whole * a
+        if all(left.values()):
+            placed = dict.fromkeys(left, 0)
+            for s, k, release, due in period(shares):
+                yield s, phase, done[s] + k - 1, done[s] + k, 1, 1, 0, 0, start, release, due
+                start += 1
+                placed[s] = k
+                if k == left[s]:
+                    break
+            phase += 1
+            for s, n in placed.items():
                 done[s] += n
                 left[s] -= n
         left = {s: n for s, n in left.items() if n}
-    return out
+
+
+TURNS = pa.schema([("number", pa.int32()), ("block", pa.int64()), ("slot", pa.int64()), ("release", pa.int32()), ("deadline", pa.int32()), ("phase", pa.int32())])
+TURNS_SQL = "number int, block long, slot long, release int, deadline int, phase int"
+#: Turns that are sent on at once.
+TURN_ROWS = 1 << 16
+#: A light source's first deadline may lie further off than a column of the contract's type reaches.
+LAST = (1 << 31) - 1
+
+
+def _turns(blocks: dict, weights: dict) -> Iterator[pa.RecordBatch]:
+    """A row for each block; sources go by number."""
+    rows: list[tuple] = []
+    for s, phase, lo, hi, share, length, k, turn, start, release, due in plan(blocks, weights):
+        for i, block in enumerate(range(lo + k, hi, share)):
+            rows.append((s, block, start + i * length + turn, min(release, LAST), min(due, LAST), phase))
+            if len(rows) == TURN_ROWS:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TURNS, strict=True)], schema=TURNS)
+                rows = []
+    if rows:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TURNS, strict=True)], schema=TURNS)
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
@@ -112,8 +138,11 @@ def schedule(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id
         own = {s: weights.get(s, own[s] / least * named) for s in counts}
     if min(own.values(), default=1) <= 0:
         raise ValueError("weights must be positive")
-    table = plan({s: -(-n // block_rows) for s, n in counts.items()}, own)
-    table = spark.createDataFrame([(s, *map(int, x)) for s, *x in table], "source string, phase int, lo long, hi long, share int, length int, k int, turn int, start long, release int, deadline int")
+    sources = sorted(counts, key=_name)
+    blocks = {i: -(-counts[x] // block_rows) for i, x in enumerate(sources)}
+    heavy = {i: own[x] for i, x in enumerate(sources)}
+    turns = materialize(spark.range(0, 1, 1, 1).mapInArrow(lambda it: (y for _ in it for y in _turns(blocks, heavy)), TURNS_SQL), "mix-turns")
+    numbers = F.broadcast(spark.createDataFrame([(x, i) for i, x in enumerate(sources)], "s_ string, number int"))
 
     order = F.xxhash64(F.lit(5), "doc_id")
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
@@ -126,14 +155,9 @@ def schedule(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id
     ranked = ranked.join(sizes, F.col("source").eqNullSafe(F.col("s_")) & (F.col("bucket") == F.col("b_")))
     rank = F.col("r") + F.col("before")
     ranked = ranked.select("doc_id", "source", F.floor(rank / block_rows).alias("block"), (rank % block_rows).cast("int").alias("place"))
-    # the table has QUANTA rows for each phase, and a phase ends a source: its size depends on the sources alone
-    parts = table.groupBy("source", "phase", "lo", "hi", "share").agg(F.array_sort(F.collect_list(F.struct("k", "turn", "release", "deadline", "length", "start"))).alias("turns"))
-    parts = F.broadcast(parts.withColumnRenamed("source", "s_"))
-    placed = ranked.join(parts, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
-    i = F.col("block") - F.col("lo")
-    placed = placed.withColumn("x", F.element_at("turns", (i % F.col("share")).cast("int") + 1)).withColumn("round", F.floor(i / F.col("share")))
-    placed = placed.withColumn("slot", F.col("x.start") + F.col("round") * F.col("x.length") + F.col("x.turn"))
-    return placed.select("doc_id", "source", "block", "place", "slot", (F.col("slot") * block_rows + F.col("place")).alias("position"), F.col("x.release").alias("release"), F.col("x.deadline").alias("deadline"), "phase")
+    ranked = ranked.join(numbers, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
+    placed = ranked.join(limited(turns, sum(blocks.values())), ["number", "block"])
+    return placed.select("doc_id", "source", "block", "place", "slot", (F.col("slot") * block_rows + F.col("place")).alias("position"), "release", "deadline", "phase")
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:

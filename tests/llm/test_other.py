@@ -97,6 +97,20 @@ def test_plan_places_every_block():
     assert all([x for _, x in sorted(v)] == sorted(x for _, x in v) for v in slots.values())
 
 
+@pytest.mark.parametrize("weights", [{"a": 9, "b": 1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {"hot": 333_333**0.5} | {f"s{i}": 33_333**0.5 for i in range(20)}, {"hot": 100.0} | {f"s{i}": 1.0 for i in range(200)}])
+def test_plan_follows_the_given_weights(weights):
+    blocks = {s: 2_000 if s in ("a", "hot") else 700 for s in weights}
+    table = mixing.plan(blocks, weights)
+    turns = sorted((start + (block - lo) // share * length + turn, s) for s, _, lo, hi, share, length, k, turn, start, _, _ in table for block in range(lo + k, hi, share))
+    total, seen = sum(weights.values()), collections.Counter()
+    for slot, s in turns:
+        seen[s] += 1
+        assert all(abs(seen[x] - (slot + 1) * w / total) < 1 + 1e-9 for x, w in weights.items())
+        if seen[s] == blocks[s]:
+            break
+    assert slot > 700
+
+
 def test_urls(spark):
     urls = ["http://www.Spam.example.net:80/a/?utm_x=1&b=2&a=1#f", "http://spam.example.net/a?a=1&b=2", "http://x.com/fr/1", "https://com/de/", "http://a.example.org/en/12", "http://a.example.org/es", "no scheme", None, "", "http://", "ftp://é.net?q", "http://ok.net/\n?x"] + ["http://hot.net/x"] * 20
     pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)] + [(None, "http://x.com/de/1", "", "")], "page_id long, url string, host string, verdict string")
