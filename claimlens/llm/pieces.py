@@ -96,7 +96,9 @@ def _each(batches, model: bytes, make, schema: pa.Schema):
                 part.append(texts[lo + len(part)].as_py() or "")
                 size += len(part[-1])
             out = [make(encoder, r) for r in (encoder.encode(part) if make is not _text else part)]
-            yield pa.record_batch([ids.slice(lo, len(part)).cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
+            passed = [x.column(j).slice(lo, len(part)) for j in range(2, x.num_columns)]
+            made = list(schema)[1 : len(schema) - len(passed)]
+            yield pa.record_batch([ids.slice(lo, len(part)).cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made, strict=True)), *passed], schema=schema)
             lo += len(part)
 
 
@@ -109,12 +111,14 @@ def _ids(encoder: Encoder, rows):
     return len(ids), ids
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None, position: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (array of int, an end id last) of every row, as the library encodes the whole text; null
-    counts as empty, whose only id is the end id. Other columns aren't read."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    counts as empty, whose only id is the end id. position: a column of long that is carried along as position. Other
+    columns aren't read."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("position", pa.int64())] * bool(position))
     data = load(model or default_model())
-    return docs.selectExpr(f"cast(`{doc_id}` as long)", f"`{text}`").mapInArrow(lambda it: _each(it, data, _ids, schema), "doc_id long, n_tokens long, ids array<int>")
+    columns = [f"cast(`{doc_id}` as long)", f"`{text}`"] + [f"cast(`{position}` as long)"] * bool(position)
+    return docs.selectExpr(*columns).mapInArrow(lambda it: _each(it, data, _ids, schema), "doc_id long, n_tokens long, ids array<int>" + ", position long" * bool(position))
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", model: str | None = None) -> DataFrame:

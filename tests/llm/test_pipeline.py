@@ -1,5 +1,5 @@
 import corpus_pipeline
-from claimlens.llm import quality
+from claimlens.llm import mixing, quality
 
 import brute
 
@@ -35,3 +35,19 @@ def test_empty(spark, none, labels, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, str(tmp_path))
         assert frame.count() == 0
+
+
+def test_encoded_rows_follow_the_mix(spark, docs, tmp_path):
+    """Many files of unequal size: Spark reads them in another order than they were written."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        corpus_pipeline.mix_stage(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    stored = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(stored.inputFiles()) > 1
+    got = {r.position: r.doc_id for r in corpus_pipeline.encode_stage(spark, stored, "").collect()}
+    want = [r.doc_id for r in sorted(mixing.schedule(docs).collect(), key=lambda r: r.position)]
+    assert sorted(got) == list(range(len(want))) and [got[i] for i in range(len(want))] == want
