@@ -115,14 +115,61 @@ def _local_moving(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: i
         a, b, n = com[a], com[b], len(names)
 
 
-def communities(e: DataFrame, members: DataFrame, split_over: int = 120, most_edges: int = 2_000_000) -> DataFrame:
-    """(node, community): components with more than `split_over` providers are split by modularity, each in one task;
-    the others, and those of more than `most_edges` links, stay whole. The objective is the usual one; no particular
-    partition is promised beyond it."""
+def _moved(links: DataFrame, rounds: int) -> DataFrame:
+    """(node, community) by rounds of local moves over all tasks: each round, a third of the nodes go to the community
+    of a neighbour with the best gain in modularity. The labels of the round with the best modularity are returned."""
+    both = links.where("src != dst").select("src", "dst", "weight")
+    both = materialize(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.sum("weight").alias("w")), "net-both")
+    ends = links.select("component", F.explode(F.array("src", "dst")).alias("node"), "weight")
+    total = links.groupBy("component").agg(F.sum("weight").alias("total")).where("total > 0")
+    labels = materialize(ends.groupBy("component", "node").agg(F.sum("weight").alias("k")).join(total, "component").withColumn("community", F.col("node")), "net-labels")
+    best, most = labels, None
+    for r in range(rounds + 1):
+        near = both.join(labels.select(F.col("node").alias("to"), "community"), "to").groupBy("node", "community").agg(F.sum("w").alias("w"))
+        size = labels.groupBy("community").agg(F.sum("k").alias("size"), F.first("total").alias("total"))
+        own = labels.select("node", "component", "k", "total", F.col("community").alias("now"))
+        # a node's own community is a choice also without a neighbour in it
+        choice = near.unionByName(labels.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+        choice = choice.join(own, "node").join(size.drop("total"), "community")
+        gain = F.col("w") - F.col("k") * (F.col("size") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / (2 * F.col("total"))
+        choice = choice.withColumn("gain", gain)
+        inside = materialize(choice.groupBy("node", "component", "k", "total", "now").agg(F.max_by("w", F.col("community") == F.col("now")).alias("w"), F.max_by("gain", F.col("community") == F.col("now")).alias("stay"), F.min_by(F.struct("community", "gain"), F.struct(-F.col("gain"), "community")).alias("go")), "net-moves")
+        value = (inside.agg(F.sum(F.col("w") / (2 * F.col("total")))).first()[0] or 0.0) - (size.agg(F.sum((F.col("size") / (2 * F.col("total"))) ** 2)).first()[0] or 0.0)
+        if most is None or value > most + 1e-12:
+            best, most = labels, value
+        better = F.col("go.gain") > F.col("stay") + 1e-12
+        if r == rounds or not inside.where(better).limit(1).count():
+            break
+        turn = F.pmod(F.xxhash64("node") + r, F.lit(3)) == 0
+        labels = materialize(inside.select("component", "node", "k", "total", F.when(better & turn, F.col("go.community")).otherwise(F.col("now")).alias("community")), "net-labels")
+    return best.select("component", "node", "community")
+
+
+def _coarser(links: DataFrame, most_edges: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(names, links): local moves and aggregation until every component has at most most_edges links between the
+    aggregated nodes, or no move helps. names: node, component and the aggregated node it stands in."""
+    names, size = None, None
+    while True:
+        step = materialize(_moved(links, rounds), "net-step")
+        to = step.drop("component")
+        names = step.withColumnRenamed("community", "name") if names is None else materialize(names.join(to.withColumnRenamed("node", "name"), "name").select("component", "node", F.col("community").alias("name")), "net-names")
+        src, dst = (to.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in ("src", "dst"))
+        links = links.join(src, "src").join(dst, "dst").select("component", F.least("csrc", "cdst").alias("src"), F.greatest("csrc", "cdst").alias("dst"), "weight")
+        links = materialize(links.groupBy("component", "src", "dst").agg(F.sum("weight").alias("weight")), "net-coarse")
+        n = links.count()
+        if n == size or not links.groupBy("component").count().where(F.col("count") > most_edges).limit(1).count():
+            return names, links
+        size = n
+
+
+def communities(e: DataFrame, members: DataFrame, split_over: int = 120, most_edges: int = 2_000_000, rounds: int = 30) -> DataFrame:
+    """(node, community): components with more than `split_over` providers are split by modularity, the others stay
+    whole. A component of up to `most_edges` links is split in one task; a larger one is first made smaller by rounds of
+    local moves over all tasks. The objective is the usual one; no particular partition is promised beyond it."""
     p = members.groupBy("component").agg(F.count_if(kind_of("node") == "provider").alias("p"))
     links = e.join(members.select(F.col("node").alias("src"), "component"), "src")
     many = links.groupBy("component").agg(F.count("*").alias("n"))
-    large = materialize(p.join(many, "component").where((F.col("p") > split_over) & (F.col("n") <= most_edges)).select("component"), "net-large")
+    large = materialize(p.join(many, "component").where(F.col("p") > split_over).select("component", "n"), "net-large")
 
     def split(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["src", "dst"])
@@ -132,9 +179,20 @@ def communities(e: DataFrame, members: DataFrame, split_over: int = 120, most_ed
         first = {c: nodes[label == c][0] for c in np.unique(label)}
         return pd.DataFrame({"node": nodes, "community": [first[c] for c in label]})
 
-    cut = links.join(large, "component", "left_semi").select("component", "src", "dst", "weight").groupBy("component").applyInPandas(split, "node string, community string")
+    links = links.select("component", "src", "dst", F.col("weight").cast("double").alias("weight"))
+    cut = links.join(large.where(F.col("n") <= most_edges), "component", "left_semi").groupBy("component").applyInPandas(split, "node string, community string")
     whole = members.join(large, "component", "left_anti").select("node", F.col("component").alias("community"))
-    return whole.unionByName(cut)
+    out = whole.unionByName(cut)
+    wide = large.where(F.col("n") > most_edges)
+    if not wide.limit(1).count():
+        return out
+    names, coarse = _coarser(materialize(links.join(wide, "component", "left_semi"), "net-wide"), most_edges, rounds)
+    small = coarse.groupBy("component").count().where(F.col("count") <= most_edges).select("component")
+    merged = coarse.join(small, "component", "left_semi").groupBy("component").applyInPandas(split, "node string, community string")
+    named = names.join(merged.select(F.col("node").alias("name"), F.col("community").alias("merged")), "name", "left").select("component", "node", F.coalesce("merged", "name").alias("name"))
+    named = materialize(named, "net-named")
+    first = named.groupBy("component", "name").agg(F.min("node").alias("community"))
+    return out.unionByName(named.join(first, ["component", "name"]).select("node", "community"))
 
 
 def share_features(e: DataFrame, membership: DataFrame, kinds: list[str]) -> DataFrame:

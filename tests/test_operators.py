@@ -121,6 +121,20 @@ def test_communities_refine_components(spark):
     assert len({r.community for r in net.communities(e, m, split_over=100).collect()}) == 1
 
 
+def test_communities_split_components_beyond_one_task(spark):
+    # three cliques of eight, linked in a ring
+    links = [(f"provider:{c}{i}", f"provider:{c}{j}", 1.0) for c in "abc" for i in range(8) for j in range(i)]
+    links += [("provider:a0", "provider:b1", 1.0), ("provider:b0", "provider:c1", 1.0), ("provider:c0", "provider:a1", 1.0)]
+    e = spark.createDataFrame(links, "src string, dst string, weight double")
+    nodes = sorted({x for a, b, _ in links for x in (a, b)})
+    m = spark.createDataFrame([(x, nodes[0]) for x in nodes], "node string, component string")
+    for most_edges in (1000, 50, 1):
+        c = {r.node: r.community for r in net.communities(e, m, split_over=10, most_edges=most_edges).collect()}
+        assert sorted(c) == nodes
+        assert {c[x] for x in nodes} == {f"provider:{x}0" for x in "abc"} and all(c[x][9] == x[9] for x in nodes)
+
+
+
 def test_sets(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string")
