@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A frame of at most so many rows of a few small values may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 _own: dict[str, str] = {}
 
@@ -33,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="claimlens-")
@@ -46,6 +52,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def limited(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if its rows, which the caller has counted, are at most BROADCAST_ROWS; else Spark joins
+    it by a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+def counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """df written (see materialize) and marked for a broadcast if it is small, with its number of rows. Where it is not,
+    nothing but the scan stands under its side of a join, so that Spark can split a large key of the other side."""
+    df = materialize(df, tag)
+    n = df.count()
+    return limited(df, n), n
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind frames made by materialize() that nothing reads any more."""
     for df in frames:
