@@ -2,16 +2,17 @@
 is hashed only for rows whose length and prefix hash another row has too.
 
 Texts are equal when identical after each run of [\\x20\\x09-\\x0D] becomes one space; null counts as empty. Groups
-are found by aggregates that combine before the shuffle; the joins back are sort-merge joins, whose large keys
-Spark splits, so a group may hold any share of the rows."""
+are found by aggregates that combine before the shuffle and are written; the joins back broadcast them if they are few,
+else they are sort-merge joins, whose large keys Spark splits, so a group may hold any share of the rows. Texts are
+read twice: once for lengths and prefixes, once for the full hashes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import documents, limited
-from claimlens.session import materialize
+from claimlens.llm.common import documents
+from claimlens.session import BROADCAST_ROWS, counted, discard, materialize
 
 PREFIX_CHARS = 256
 
@@ -26,67 +27,63 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return base.select("doc_id", F.length("t").cast("long").alias("length"), F.xxhash64(F.substring("t", 1, PREFIX_CHARS)).alias("prefix_hash"), "t")
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, length, prefix_hash, full_hash (null for rows that the first two tell
-    apart), keep_id (smallest doc_id of the equal texts), group_size. Rows that repeat a doc_id count each; a null
-    doc_id is larger than any other."""
-    keys = materialize(_keyed(docs, doc_id, text).drop("t"), "exact-keys")
-    # written first, so that no aggregate stands under the join, which Spark can then split where many texts have one length
-    by_length = materialize(keys.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length"), "exact-lengths")
+def _hashed(docs: DataFrame, doc_id: str, text: str, every: bool) -> DataFrame:
+    """doc_id, length, prefix_hash, full_hash and again (whether another row has the same length and prefix hash, else
+    null) of every row, written. full_hash is null where again is, unless every is set."""
+    keys = materialize(_keyed(docs, doc_id, text).select("length", "prefix_hash"), "exact-keys")
+    by_length, _ = counted(keys.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length"), "exact-lengths")
     # grouped by one struct, so that rows are counted per task before they are dealt anew, not where the join put a length
-    by_prefix = keys.join(limited(by_length, by_length.count()), "length", "left_semi").groupBy(F.struct("length", "prefix_hash").alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k.length", "k.prefix_hash", F.lit(True).alias("again"))
-    marked = materialize(keys.join(by_prefix.hint("merge"), ["length", "prefix_hash"], "left"), "exact-marked")
-    open_ids = marked.where("again").select("doc_id").distinct()
-    again = marked.where("again").select("length", "prefix_hash").distinct()
-    rows = _keyed(docs, doc_id, text)
-    ids = open_ids.withColumnRenamed("doc_id", "id_")
-    full = rows.join(limited(ids, ids.count()), rows["doc_id"].eqNullSafe(ids["id_"]), "left_semi")
-    full = full.select("doc_id", "length", "prefix_hash", F.sha2(F.col("t").cast("binary"), 256).alias("full_hash"))
-    # a doc_id that stands on several rows may have brought rows along that no other row resembles
-    full = materialize(full.join(again.hint("merge"), ["length", "prefix_hash"], "left_semi"), "exact-full")
-    groups = full.groupBy("length", "full_hash").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    same = full.join(groups.hint("merge"), ["length", "full_hash"]).select("doc_id", "length", "prefix_hash", "full_hash", "keep_id", "group_size")
-    alone = marked.where("again is null").select("doc_id", "length", "prefix_hash", F.lit(None).cast("string").alias("full_hash"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return same.unionByName(alone)
+    by_prefix = keys.join(by_length, "length", "left_semi").groupBy(F.struct("length", "prefix_hash").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    again, n = counted(by_prefix.select("k.length", "k.prefix_hash", F.lit(True).alias("again")), "exact-again")
+    rows, digest = _keyed(docs, doc_id, text), F.sha2(F.col("t").cast("binary"), 256)
+    if n > BROADCAST_ROWS:  # the rows are dealt by their keys, and a digest is lighter to send than a text
+        rows, digest = rows.withColumn("t", digest), F.col("t")
+    wanted = digest if every else F.when(F.col("again"), digest)
+    hashed = materialize(rows.join(again, ["length", "prefix_hash"], "left").select("doc_id", "length", "prefix_hash", "again", wanted.alias("full_hash")), "exact-hashed")
+    discard(keys, by_length, again)
+    return hashed
+
 
+def _groups(hashed: DataFrame) -> DataFrame:
+    """length, full_hash, keep_id, group_size and firsts (how many rows have keep_id) of the texts that rows share."""
+    by_id = hashed.where("again").groupBy("length", "full_hash", "doc_id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id")
+    return by_id.groupBy("length", "full_hash").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.min_by("n", order).alias("firsts"))
 
-def _digested(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return _keyed(docs, doc_id, text).select(F.col("doc_id").alias("id_"), F.col("length").alias("length_"), F.col("prefix_hash").alias("prefix_"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
+
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, length, prefix_hash, full_hash (null for rows that the first two tell
+    apart, unless every is set), keep_id (smallest doc_id of the equal texts), group_size. Rows that repeat a doc_id
+    count each; a null doc_id is larger than any other. Other columns aren't read."""
+    hashed = _hashed(docs, doc_id, text, every)
+    groups, _ = counted(_groups(hashed).drop("firsts"), "exact-groups")
+    same = hashed.where("again").join(groups, ["length", "full_hash"]).select("doc_id", "length", "prefix_hash", "full_hash", "keep_id", "group_size")
+    alone = hashed.where("again is null").select("doc_id", "length", "prefix_hash", "full_hash", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return same.unionByName(alone)
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs, one with the smallest doc_id, for each group of equal texts; columns and their order stay. Rows
     are told apart by doc_id and text, so a row stays whatever other rows of its doc_id (or without one) hold. Of
     several rows with the smallest doc_id and equal texts the one with the smallest hash over all columns stays."""
-    found = exact_duplicates(docs, doc_id, text).where("group_size > 1").select(F.col("doc_id").alias("__gone"), F.col("full_hash").alias("__hash"), "keep_id")
-    found = found.groupBy("__gone", "__hash", "keep_id").agg(F.count("*").alias("n"))
-    found = materialize(found.select("__gone", "__hash", F.col("__gone").eqNullSafe(F.col("keep_id")).alias("first"), "n").where("n > 1 or not first"), "exact-gone")
-    digest = F.sha2(normalised(text).cast("binary"), 256)
-
-    def matches(keys: DataFrame):
-        return docs[doc_id].eqNullSafe(keys["__gone"]) & (digest == keys["__hash"])
-
-    found_rows = limited(found.select("__gone", "__hash"), found.count())
-    kept = docs.join(found_rows, matches(found_rows), "left_anti")
-    # ids that repeat with one text: all their rows are left out above, and one is put back
-    several = found.where("first").select("__gone", "__hash")
-    n = several.count()
-    if not n:
+    hashed = _hashed(docs, doc_id, text, False)
+    dups, _ = counted(_groups(hashed).where("group_size > 1").drop("group_size"), "exact-groups")
+    discard(hashed)
+    t = normalised(text)
+    # the texts of one group may be any share of the rows; Spark splits such a key, as its other side is just a scan
+    both = docs.join(dups, (F.length(t).cast("long") == dups["length"]) & (F.sha2(t.cast("binary"), 256) == dups["full_hash"]), "left")
+    first = docs[doc_id].eqNullSafe(dups["keep_id"])
+    kept = both.where(dups["full_hash"].isNull() | (first & (dups["firsts"] == 1))).select(docs["*"])
+    if not dups.where("firsts > 1").limit(1).count():
         return kept
-    several = limited(several, n)
-    again = docs.join(several, matches(several), "left_semi")
-    row = F.struct(*[again[c] for c in docs.columns])
-    one = again.groupBy(again[doc_id].alias("__gone"), digest.alias("__hash")).agg(F.min_by(row, F.xxhash64(*[again[c] for c in docs.columns])).alias("__row"))
-    return kept.unionByName(one.select("__row.*"))
+    again = both.where(first & (dups["firsts"] > 1)).select(F.struct(docs["*"]).alias("__row"), dups["full_hash"].alias("__hash"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("__order"))
+    return kept.unionByName(again.groupBy("__hash").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    found = exact_duplicates(docs)
     # the contract wants every row's digest, also of those that the refinement need not hash
-    digests = _digested(docs, "doc_id", "text").distinct()
-    same = found["doc_id"].eqNullSafe(digests["id_"]) & (found["length"] == digests["length_"]) & (found["prefix_hash"] == digests["prefix_"])
-    return found.join(digests, same).where("full_hash is null or full_hash = text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    found = exact_duplicates(documents(spark, sf_dir), every=True)
+    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("full_hash").alias("text_sha256"))
 
 
 OP5_SQL = r"""
