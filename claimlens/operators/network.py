@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.operators.graph import components
+from claimlens.operators.robust import median_mad
 from claimlens.session import materialize
 
 # How much a kind of link says.
@@ -212,12 +213,49 @@ def propagate(e: DataFrame, membership: DataFrame, labelled: DataFrame, through:
     return own.unionByName(near).groupBy("community", "node").agg(F.max("credit").alias("credit")).groupBy("community").agg(F.sum("credit").alias("credit"))
 
 
-def payload(membership: DataFrame, e: DataFrame) -> DataFrame:
-    """Per community its members, and its links among members, as JSON. Communities are bounded by the split."""
+def owner_degrees(e: DataFrame, membership: DataFrame, kinds: list[str], least: float = 0.8, many: int = 3) -> DataFrame:
+    """Per community: owners (nodes of these kinds), owner_multi (those with `many` member providers or more by links of at
+    least `least`, so owning or managing ones), max_owner_degree, and governance_multi (those with as many by any link,
+    but not by such)."""
+    owners = membership.where(kind_of("node").isin(*kinds)).select("community", F.col("node").alias("src"))
+    members = membership.where(kind_of("node") == "provider").select("community", F.col("node").alias("dst"), F.lit(True).alias("__in"))
+    links = _both(e).select("src", "dst", "weight")
+    x = owners.join(links, "src", "left").join(members, ["community", "dst"], "left")
+    d = x.groupBy("community", "src").agg(F.count_if(F.col("__in") & (F.col("weight") >= least)).alias("owned"), F.count("__in").alias("governed"))
+    return d.groupBy("community").agg(F.count("*").alias("owners"), F.count_if(F.col("owned") >= many).alias("owner_multi"), F.max("owned").alias("max_owner_degree"), F.count_if((F.col("governed") >= many) & (F.col("owned") < many)).alias("governance_multi"))
+
+
+def chain_share(e: DataFrame, membership: DataFrame, chains: DataFrame, kinds: list[str]) -> DataFrame:
+    """Per community: providers, those linked to a node of chains (node: known chains, and hubs) of these kinds, their
+    share, and whether most are. e has the links to hubs too."""
+    p = membership.where(kind_of("node") == "provider")
+    hit = _both(e).where(kind_of("dst").isin(*kinds)).join(chains.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("node")).distinct().withColumn("__chain", F.lit(True))
+    g = p.join(hit, "node", "left").groupBy("community").agg(F.count("*").alias("n_prov"), F.count("__chain").alias("chain_members"))
+    share = F.col("chain_members") / F.col("n_prov")
+    return g.select("community", "n_prov", "chain_members", share.alias("chain_share"), (share >= 0.5).alias("is_chain"))
+
+
+def market_z(rates: DataFrame, service: str, place: str, value: str) -> DataFrame:
+    """rates with z: the robust z of log(1 + value) among all places with the service; a service whose places are all alike
+    has its tiny deviations blown up rather than hidden."""
+    x = rates.withColumn("__v", F.log1p(value))
+    base = median_mad(x, [service], "__v").select(service, "med", "mad")
+    z = 0.6745 * (F.col("__v") - F.col("med")) / F.when(F.col("mad") > 0, F.col("mad")).otherwise(1e-9)
+    return x.join(base, service).withColumn("z", z).drop("__v", "med", "mad")
+
+
+def payload(membership: DataFrame, e: DataFrame, hubs_: DataFrame | None = None) -> DataFrame:
+    """Per community its members, its links among members and, of hubs_ (node), the hubs that its providers are linked to,
+    as JSON. Communities are bounded by the split; hubs aren't followed further."""
     m = membership.groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     x = e.join(membership.select(F.col("node").alias("src"), "community"), "src").join(membership.select(F.col("node").alias("dst"), F.col("community").alias("c2")), "dst").where("community = c2")
     links = x.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "rel"))).alias("links"))
-    return m.join(links, "community", "left").select("community", F.to_json(F.struct("nodes", "links")).alias("graph"))
+    m = m.join(links, "community", "left")
+    if hubs_ is None:
+        return m.select("community", F.to_json(F.struct("nodes", "links")).alias("graph"))
+    near = _both(e).where(kind_of("src") == "provider").join(membership.select(F.col("node").alias("src"), "community"), "src").join(hubs_.select(F.col("node").alias("dst")), "dst", "left_semi")
+    near = near.groupBy("community").agg(F.array_sort(F.collect_set("dst")).alias("hubs"), F.array_sort(F.collect_list(F.struct("src", "dst", "rel"))).alias("hub_links"))
+    return m.join(near, "community", "left").select("community", F.to_json(F.struct("nodes", "links", "hubs", "hub_links")).alias("graph"))
 
 
 def precision_at(df: DataFrame, score: str, unique: str, label: str, ks: list[int]) -> list[dict]:

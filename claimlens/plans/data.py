@@ -45,21 +45,29 @@ STATES = """states AS (
 
 
 def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claim lines: npi, servicing, hcpcs, family, minutes, month_start, year, lines, paid_c, patients."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_linenumber")
+    """Claim lines: npi, servicing, hcpcs, family, minutes, month_start, year, lines, paid_c, patients, charge_c, allowed_c."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("servicing"))
+    df = lines(spark, sf_dir)
+    return df.join(orders, df.l_orderkey == orders.o_orderkey).drop("l_orderkey", "o_orderkey")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spend without servicing, but with l_orderkey: an inner join can't be pruned, so who needs no orders reads none."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_linenumber", "l_tax", "l_discount")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    df = li.join(part, li.l_partkey == part.p_partkey).join(orders, li.l_orderkey == orders.o_orderkey)
+    df = li.join(part, li.l_partkey == part.p_partkey)
     return df.select(
-        F.col("l_suppkey").alias("npi"), F.col("o_custkey").alias("servicing"), F.col("p_brand").alias("hcpcs"), F.col("p_type").alias("family"), F.col("p_size").cast("int").alias("minutes"),
+        "l_orderkey", F.col("l_suppkey").alias("npi"), F.col("p_brand").alias("hcpcs"), F.col("p_type").alias("family"), F.col("p_size").cast("int").alias("minutes"),
         month_of("l_shipdate").alias("month_start"), F.year("l_shipdate").alias("year"), F.col("l_quantity").cast("long").alias("lines"), cents("l_extendedprice").alias("paid_c"), F.col("l_linenumber").cast("int").alias("patients"),
+        cents(F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("charge_c"), cents(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("allowed_c"),
     )
 
 
 SPEND = """spend AS (
   SELECT l_suppkey AS npi, o_custkey AS servicing, p_brand AS hcpcs, p_type AS family, CAST(p_size AS INTEGER) AS minutes,
     CAST(date_trunc('month', l_shipdate) AS DATE) AS month_start, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(l_quantity AS BIGINT) AS lines,
-    CAST(round(l_extendedprice * 100) AS BIGINT) AS paid_c, CAST(l_linenumber AS INTEGER) AS patients
+    CAST(round(l_extendedprice * 100) AS BIGINT) AS paid_c, CAST(l_linenumber AS INTEGER) AS patients,
+    CAST(round(l_extendedprice * (1 + l_tax) * 100) AS BIGINT) AS charge_c, CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) AS allowed_c
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
 )"""
 
@@ -106,3 +114,30 @@ SEGMENTS = """segments AS (
     o_orderstatus AS status_cd, o_orderkey AS segment_id
   FROM orders
 )"""
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases resolved to numbers: urgent orders, of a customer each."""
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    k = F.col("o_orderkey")
+    names = lambda by, *words: F.element_at(F.array(*map(F.lit, words)), (k % by + 1).cast("int"))
+    return o.select(
+        F.col("o_custkey").alias("npi"), F.concat(F.lit("r"), k.cast("string")).alias("source_id"), names(3, "DOJ", "OIG", "OIG").alias("source"), names(4, "adjudicated", "alleged", "administrative", "alleged").alias("tier"),
+        names(4, "pleaded_guilty", "charged", "civil_settlement", "indicted").alias("action_type"), F.to_date("o_orderdate").alias("event_dt"), (F.col("o_custkey") % 50).cast("string").alias("state"), F.concat(F.lit("PARTY "), (k % 7).cast("string")).alias("name"),
+        F.concat(F.lit("Release "), k.cast("string")).alias("title"), F.concat(F.lit("https://r.example/"), k.cast("string")).alias("url"), (k % 5 != 0).alias("same_entity"), names(7, "low", *["high"] * 6).alias("confidence"), F.when(k % 9 < 7, k % 9 != 0).alias("is_subject"),
+    )
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return o.select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("source_id"), F.when(F.col("o_orderkey") % 6 == 0, "State Enforcement Agencies").when(F.col("o_orderkey") % 6 < 5, "Criminal").alias("category"))
+
+
+MATCHES = """matches AS (
+  SELECT o_custkey AS npi, 'r' || o_orderkey AS source_id, ['DOJ', 'OIG', 'OIG'][o_orderkey % 3 + 1] AS source, ['adjudicated', 'alleged', 'administrative', 'alleged'][o_orderkey % 4 + 1] AS tier,
+    ['pleaded_guilty', 'charged', 'civil_settlement', 'indicted'][o_orderkey % 4 + 1] AS action_type, CAST(o_orderdate AS DATE) AS event_dt, CAST(o_custkey % 50 AS VARCHAR) AS state, 'PARTY ' || o_orderkey % 7 AS name,
+    'Release ' || o_orderkey AS title, 'https://r.example/' || o_orderkey AS url, o_orderkey % 5 <> 0 AS same_entity, CASE WHEN o_orderkey % 7 = 0 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN o_orderkey % 9 < 7 THEN o_orderkey % 9 <> 0 END AS is_subject
+  FROM orders WHERE o_orderpriority = '1-URGENT'
+), actions AS (
+  SELECT 'r' || o_orderkey AS source_id, CASE WHEN o_orderkey % 6 = 0 THEN 'State Enforcement Agencies' WHEN o_orderkey % 6 < 5 THEN 'Criminal' END AS category FROM orders WHERE o_orderpriority = '1-URGENT'
+)"""

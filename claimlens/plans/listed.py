@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.operators import listed as d3
-from claimlens.plans.data import BILL_MONTH, EVENTS, SEGMENTS, STATES, bill_month, events, r4, segments, states
+from claimlens.plans.data import BILL_MONTH, EVENTS, MATCHES, SEGMENTS, STATES, actions, bill_month, events, matches, r4, segments, states, table
+from claimlens.session import materialize
 
 
 def _events(spark, sf_dir):
@@ -18,8 +19,8 @@ def _events(spark, sf_dir):
 
 EV = f"""{EVENTS}, {STATES}, ev0 AS (SELECT npi, 'RETURNS' AS source, event_dt, window_end, 'tier ' || tier AS reason, tier, CAST(NULL AS VARCHAR) AS source_name FROM events_list
   UNION SELECT npi, 'BALANCE', DATE '1997-01-15' + CAST(npi % 700 AS INTEGER), NULL, 'low balance', 'A', CASE WHEN npi % 4 = 0 THEN 'OTHER' ELSE nation END FROM states WHERE balance < 3000),
-ev AS (SELECT ev0.* EXCLUDE (source_name), nation || ' CLINIC' AS registry_name, CASE WHEN source_name IS NOT NULL THEN source_name = nation END AS name_agrees,
-  CASE WHEN source_name IS NULL THEN 'exact_npi' WHEN source_name = nation THEN 'exact_npi_name_verified' ELSE 'exact_npi_name_differs' END AS id_match, 'x' AS pad FROM ev0 JOIN states USING (npi))"""
+ev AS (SELECT ev0.* EXCLUDE (source_name, tier), CASE WHEN source_name <> nation THEN 'C' ELSE tier END AS tier, nation || ' CLINIC' AS registry_name, CASE WHEN source_name IS NOT NULL THEN source_name = nation END AS name_agrees,
+  CASE WHEN source_name IS NULL THEN 'exact_npi_unnamed_source' WHEN source_name = nation THEN 'exact_npi_name_verified' ELSE 'exact_npi_name_conflict' END AS id_match FROM ev0 JOIN states USING (npi))"""
 
 
 def list_events(spark, sf_dir):
@@ -30,7 +31,8 @@ LIST_EVENTS = f"WITH {EV} SELECT npi, source, event_dt, window_end, reason, tier
 
 
 def _after(spark, sf_dir):
-    x = d3.paid_after(bill_month(spark, sf_dir), _events(spark, sf_dir))
+    # both are read by the months after an event and by those before it
+    x = d3.paid_after(materialize(bill_month(spark, sf_dir), "bill-months"), materialize(_events(spark, sf_dir), "list-events"))
     return x.withColumn("score", r4(d3.paid_after_score(F.col("tier"), F.col("after_c") / 100, F.col("months_after"), F.col("before_c"))))
 
 
@@ -95,7 +97,55 @@ def summary(spark, sf_dir):
 
 SUMMARY = f"WITH {AFTER_CTE} SELECT source, tier, count(*) AS n, count(DISTINCT npi) AS n_npi, CAST(sum(after_c) AS BIGINT) AS after_c, median(months_after) AS med_months, min(first_month) AS first_month FROM pa GROUP BY 1, 2"
 
+def _day(first: str, spread: int, step: int = 1):
+    return F.date_add(F.lit(first).cast("date"), (F.col("c_custkey") * step % spread).cast("int"))
+
+
+def nine_sources(spark, sf_dir):
+    """The events of all nine kinds of list, made of customers and orders, with their identity checks."""
+    c = table(spark, sf_dir, "customer")
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    who = (k.alias("npi"), F.col("c_nationkey").cast("string").alias("state"), F.when(k % 13 == 0, "OTHER PERSON").otherwise(F.concat(seg, F.lit(" INC"))).alias("name"), seg.alias("kind"))
+    every = lambda n, c, t="date": F.when(k % n == 0, c).cast(t)
+    registry = c.where("c_custkey % 17 <> 0").select(who[0], who[1], F.concat(F.lit("PROVIDER "), seg, F.lit(" CLINIC")).alias("name"), F.when(k % 3 == 0, "2").otherwise("1").alias("entity_type"), every(5, _day("1996-06-01", 300)).alias("deact_dt"), every(10, _day("1996-09-01", 400, 7)).alias("react_dt"), seg.alias("taxonomy"))
+    revoked = c.where("c_custkey % 4 = 0").select(*who, _day("1995-01-01", 900).alias("revoked_dt"), every(8, _day("1999-01-01", 900)).alias("reenroll_bar_dt"), F.concat(F.lit("424.535(A)("), (k % 23 + 1).cast("string"), F.lit(") GROUND")).alias("reason"))
+    leie = c.where("c_custkey % 6 = 1").select(*who, _day("1994-01-01", 1500).alias("excl_dt"), every(5, _day("1999-01-01", 500)).alias("rein_dt"), F.when(k % 12 == 1, F.lit("1999-01-01")).cast("date").alias("waiver_dt"), F.concat(F.lit("1128a"), (k % 4).cast("string")).alias("excltype"), F.when(k % 5 != 0, seg).alias("general"))
+    state = c.where("c_custkey % 7 = 2").select(who[0], who[2], who[3], F.when(k % 2 == 0, "TX").otherwise("CA").alias("state"), _day("2017-01-01", 730).alias("excl_dt"), every(3, F.lit("2019-01-01")).alias("reinstated_dt"), every(4, F.lit("2020-01-01")).alias("eligible_dt"), F.lit("State list").alias("list"))
+    sam = c.where("c_custkey % 9 = 3").select(*who, F.element_at(F.array(F.lit("HHS"), F.lit("OPM"), F.lit(None).cast("string")), (k % 3 + 1).cast("int")).alias("agency"), _day("1995-01-01", 900).alias("active_dt"), every(2, F.lit("2001-01-01")).alias("termination_dt"), F.lit("Ineligible").alias("exclusion_type"), F.when(k % 5 != 0, "Z1").alias("code"))
+    o = table(spark, sf_dir, "orders")
+    code = F.element_at(F.array(*map(F.lit, ("80", "60", "62", "02", "03", "80", "99", "71", "04", "05"))), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    enroll = segments(spark, sf_dir).drop("status_cd").join(o.select(F.col("o_orderkey").alias("segment_id"), code.alias("status_cd")), "segment_id")
+    enroll = enroll.withColumn("state", F.col("state").cast("string")).withColumn("status_desc", F.concat(F.lit("S"), "status_cd")).withColumn("kind", F.lit("K"))
+    named = c.where("c_custkey % 11 = 4").select(*who, F.lit("SAM").alias("list"), _day("1996-01-01", 500).alias("event_dt"), F.when(k % 5 != 0, "Ineligible").alias("exclusion_type"), (k % 2 == 0).alias("same_entity"), F.when(k % 3 != 0, "high").otherwise("low").alias("confidence"))
+    enroll = materialize(enroll, "list-segments")
+    lists = [d3.revoked(revoked), d3.excluded(leie), d3.state_excluded(state), d3.debarred(sam), d3.deactivated(registry), d3.deceased(enroll, registry, "1995-01-01"), d3.terminated(enroll), d3.matched_by_name(named), d3.released(matches(spark, sf_dir), actions(spark, sf_dir))]
+    return d3.list_events(lists, registry).drop("registry_name")
+
+
+NINE = f"""WITH {SEGMENTS}, {MATCHES}, c AS (SELECT c_custkey AS k, c_custkey AS npi, CAST(c_nationkey AS VARCHAR) AS state, CASE WHEN c_custkey % 13 = 0 THEN 'OTHER PERSON' ELSE c_mktsegment || ' INC' END AS name, c_mktsegment AS kind FROM customer),
+reg AS (SELECT npi, state, CASE WHEN k % 3 = 0 THEN '2' ELSE '1' END AS entity_type, CASE WHEN k % 5 = 0 THEN DATE '1996-06-01' + CAST(k % 300 AS INTEGER) END AS deact_dt, CASE WHEN k % 10 = 0 THEN DATE '1996-09-01' + CAST(k * 7 % 400 AS INTEGER) END AS react_dt, kind FROM c WHERE k % 17 <> 0),
+en AS (SELECT npi, CAST(state AS VARCHAR) AS state, start_dt, end_dt, segment_id, ['80', '60', '62', '02', '03', '80', '99', '71', '04', '05'][segment_id % 10 + 1] AS cd FROM segments),
+lt AS (SELECT npi, state, cd FROM en QUALIFY row_number() OVER (PARTITION BY npi, state ORDER BY start_dt DESC, coalesce(end_dt, DATE '9999-01-01') DESC, segment_id) = 1),
+rel AS (SELECT m.*, category FROM matches m JOIN actions USING (source_id) WHERE same_entity AND confidence = 'high' AND coalesce(is_subject, TRUE) QUALIFY row_number() OVER (PARTITION BY npi, tier, event_dt ORDER BY CASE source WHEN 'DOJ' THEN 0 ELSE 1 END, source_id) = 1),
+x AS (SELECT npi, 'MEDICARE_REVOKED' AS source, DATE '1995-01-01' + CAST(k % 900 AS INTEGER) AS event_dt, CASE WHEN k % 8 = 0 THEN DATE '1999-01-01' + CAST(k % 900 AS INTEGER) END AS window_end, '424.535(A)(' || (k % 23 + 1) || ') GROUND' AS reason, state AS source_state,
+    CASE WHEN k % 23 + 1 IN (2, 3, 4, 5, 7, 8, 10, 12, 13, 14, 18, 19, 20, 22, 23) THEN 'A' ELSE 'B' END AS tier, name AS source_name, kind AS source_type FROM c WHERE k % 4 = 0
+  UNION SELECT npi, 'OIG_LEIE', DATE '1994-01-01' + CAST(k % 1500 AS INTEGER), CASE WHEN k % 5 = 0 THEN DATE '1999-01-01' + CAST(k % 500 AS INTEGER) END, 'LEIE 1128a' || k % 4 || ' (' || CASE WHEN k % 5 <> 0 THEN kind ELSE '' END || ')', state, 'A', name, kind FROM c WHERE k % 6 = 1 AND k % 12 <> 1
+  UNION SELECT npi, 'STATE_EXCL_' || CASE WHEN k % 2 = 0 THEN 'TX' ELSE 'CA' END, DATE '2017-01-01' + CAST(k % 730 AS INTEGER), CASE WHEN k % 3 = 0 THEN DATE '2019-01-01' WHEN k % 4 = 0 THEN DATE '2020-01-01' END, 'State list', CASE WHEN k % 2 = 0 THEN 'TX' ELSE 'CA' END,
+    CASE WHEN k % 2 = 0 AND k % 3 <> 0 AND k % 4 <> 0 AND k % 730 < 365 THEN 'B' ELSE 'A' END, name, kind FROM c WHERE k % 7 = 2
+  UNION SELECT npi, 'SAM_OPM', DATE '1995-01-01' + CAST(k % 900 AS INTEGER), CASE WHEN k % 2 = 0 THEN DATE '2001-01-01' END, 'Ineligible / ' || CASE WHEN k % 5 <> 0 THEN 'Z1' ELSE '' END, state, 'B', name, kind FROM c WHERE k % 9 = 3 AND k % 3 = 1
+  UNION SELECT npi, 'NPPES_DEACTIVATED', deact_dt, react_dt, 'NPI deactivated in NPPES', state, 'B', 'same', kind FROM reg WHERE deact_dt IS NOT NULL AND (react_dt IS NULL OR react_dt <= deact_dt)
+  UNION SELECT en.npi, 'TMSIS_DECEASED', min(start_dt), NULL, 'Medicaid enrollment terminated: provider deceased (T-MSIS status 80)' || coalesce('; NPI deactivated in NPPES ' || deact_dt, ''), en.state, CASE WHEN deact_dt IS NOT NULL THEN 'A' ELSE 'B' END, NULL, 'K'
+    FROM en JOIN reg ON reg.npi = en.npi AND entity_type = '1' JOIN lt ON lt.npi = en.npi AND lt.state = en.state AND lt.cd = '80' WHERE en.cd = '80' AND start_dt >= DATE '1995-01-01' GROUP BY en.npi, en.state, deact_dt
+  UNION SELECT npi, 'TMSIS_TERM_' || cd, min(start_dt), NULL, 'S' || cd, state, 'A', NULL, 'K' FROM en JOIN lt USING (npi, state, cd) WHERE cd IN ('60', '62', '71') GROUP BY npi, state, cd
+  UNION SELECT npi, 'SAM_NAME', DATE '1996-01-01' + CAST(k % 500 AS INTEGER), NULL, 'name-matched by model at high confidence: ' || CASE WHEN k % 5 <> 0 THEN 'Ineligible' ELSE '' END, state, 'B', name, 'name_match' FROM c WHERE k % 11 = 4 AND k % 2 = 0 AND k % 3 <> 0
+  UNION SELECT npi, CASE WHEN coalesce(category, '') ILIKE '%State Enforcement%' THEN 'STATE_AG' WHEN source = 'DOJ' THEN 'DOJ' ELSE 'OIG' END || CASE tier WHEN 'adjudicated' THEN '_ADJUDICATED' WHEN 'alleged' THEN '_CHARGED' ELSE '_ADMIN' END, event_dt, NULL,
+    'enforcement record (' || replace(action_type, '_', ' ') || '): ' || title, state, CASE tier WHEN 'adjudicated' THEN 'A' ELSE 'B' END, name, 'name_match' FROM rel),
+y AS (SELECT x.* REPLACE (CASE WHEN source_name = 'same' THEN 'PROVIDER ' || source_type || ' CLINIC' ELSE source_name END AS source_name), reg.npi IS NOT NULL AS known, CASE WHEN reg.npi IS NOT NULL AND source_name IS NOT NULL THEN source_name = 'same' OR (source_name NOT LIKE 'PARTY%' AND source_name <> 'OTHER PERSON') END AS name_agrees FROM x LEFT JOIN reg ON reg.npi = x.npi)
+SELECT npi, source, event_dt, window_end, reason, source_state, CASE WHEN NOT name_agrees THEN 'C' ELSE tier END AS tier, source_name, source_type, name_agrees,
+  CASE WHEN source_type = 'name_match' THEN 'name_match_model_high' WHEN NOT known THEN 'exact_npi_not_in_nppes' WHEN source_name IS NULL THEN 'exact_npi_unnamed_source' WHEN name_agrees THEN 'exact_npi_name_verified' ELSE 'exact_npi_name_conflict' END AS id_match FROM y"""
+
 QUERIES = {
+    "listed_nine_sources": (nine_sources, NINE),
     "listed_events": (list_events, LIST_EVENTS),
     "listed_paid_after": (after, f"WITH {AFTER_CTE} SELECT * FROM pa"),
     "listed_enrolled_after": (enrolled, ENROLLED),

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.operators import volume as v
-from claimlens.plans.data import SPEND, STATES, r4, spend, states, table
+from claimlens.plans.data import SPEND, STATES, lines, r4, spend, states, table
+from claimlens.session import materialize
 
 CROSSOVER = ("ECONOMY", "PROMO")
 
 
-def _spend(spark, sf_dir):
-    return spend(spark, sf_dir).join(F.broadcast(states(spark, sf_dir).select("npi", "state", "entity_type", "taxonomy", "enum_date")), "npi")
+def _with_states(spark, sf_dir, df):
+    return df.join(states(spark, sf_dir).select("npi", "state", "entity_type", "taxonomy", "enum_date"), "npi")
 
 
-def _rates(spark, sf_dir):
-    s = _spend(spark, sf_dir).where("lines > 0 and paid_c > 0")
+def _rates(spark, sf_dir, df=None):
+    s = (_with_states(spark, sf_dir, lines(spark, sf_dir)) if df is None else df).where("lines > 0 and paid_c > 0")
     cells = s.select("state", "hcpcs", "year", (F.col("paid_c").cast("double") / F.col("lines")).alias("ppl"), (F.substring("hcpcs", 7, 1) == "1").alias("crossover"))
     published = table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_brand").alias("hcpcs"), (F.round(F.col("p_retailprice") * 100)).alias("rate"))
     return v.with_published(v.rate_estimates(cells, ["state", "hcpcs", "year"]), published, ["hcpcs"], 50000.0)
@@ -48,9 +49,11 @@ def rate_error(spark, sf_dir):
 RATE_ERROR = f"WITH {RATES_CTE}, e AS (SELECT year, 100 * (rate_est - published_base) / nullif(published_base, 0) AS error_pct FROM rates WHERE published_base IS NOT NULL) SELECT year, count(*) AS n, round(median(error_pct), 4) AS median_error, round(quantile_cont(abs(error_pct), 0.9), 4) AS p90_abs_error FROM e GROUP BY 1"
 
 
-def _months(spark, sf_dir):
-    s = _spend(spark, sf_dir).where("lines > 0 and paid_c > 0")
-    r = _rates(spark, sf_dir).select("state", "hcpcs", "year", "rate_pt", "rate_cons")
+def _months(spark, sf_dir, df=None):
+    """Months of providers; df is spend with the registry's columns, where the caller has it already."""
+    s = materialize(_with_states(spark, sf_dir, spend(spark, sf_dir)), "spend") if df is None else df
+    s = s.where("lines > 0 and paid_c > 0")
+    r = _rates(spark, sf_dir, s).select("state", "hcpcs", "year", "rate_pt", "rate_cons")
     x = s.join(r, ["state", "hcpcs", "year"])
     group = F.when(F.col("minutes") > 40, 2).otherwise(1)
     # sizes of parts are minutes; times a hundred, so that some months go over the limits
@@ -80,7 +83,7 @@ MONTHS = f"WITH {MONTHS_CTE} SELECT npi, month_start, paid_c, patients, n_billin
 
 
 def baseline(spark, sf_dir):
-    x = v.scored(_months(spark, sf_dir).where("entity_type = '1'"), "hours_pt", "state", "taxonomy", "npi", 6)
+    x = v.scored(materialize(_months(spark, sf_dir), "volume-months").where("entity_type = '1'"), "hours_pt", "state", "taxonomy", "npi", 6)
     return x.select("npi", "month_start", "baseline_level", r4(F.col("baseline_median")).alias("baseline_median"), r4(F.col("robust_z")).alias("robust_z"))
 
 
@@ -93,28 +96,36 @@ FROM ind LEFT JOIN g ON g.state = ind.state AND g.taxonomy = ind.taxonomy LEFT J
 
 
 def top(spark, sf_dir):
-    m = _months(spark, sf_dir)
+    """The indicator score per provider, with its peak deviation and its growth from one year to another."""
+    sp = materialize(_with_states(spark, sf_dir, spend(spark, sf_dir)), "spend")
+    m = materialize(_months(spark, sf_dir, sp), "volume-months")
     hit = lambda *names: F.count_if(F.col("label").isin(*names))
     x = m.groupBy("npi", "entity_type").agg(
         F.count("*").alias("months"), hit("IMPOSSIBLE_BY_LINE_COUNT", "IMPOSSIBLE_CONSERVATIVE_RATE", "IMPOSSIBLE_PER_PATIENT").alias("impossible"), hit("EXCEEDS_DAILY_CAP").alias("over_cap"), hit("IMPLAUSIBLE_OVER_16H").alias("implausible"),
         hit("UMBRELLA_VOLUME").alias("umbrella"), F.max(F.when(F.col("label").startswith("IMPOSSIBLE"), F.col("n_billing"))).alias("orgs"), F.sum("paid_c").alias("paid_c"), F.sum(F.when(F.col("label").isNotNull(), F.col("paid_c")).otherwise(0)).alias("flagged_c"),
         F.max("n_billing").alias("max_billing"), F.max("patients").alias("max_patients"),
     )
-    score = v.indicator_score(F.col("impossible"), F.col("over_cap"), F.col("implausible"), F.col("umbrella"), F.lit(0.0), F.col("orgs"), F.lit(0.0), F.col("paid_c") / 100)
-    return x.withColumn("score", r4(score))
+    peak = v.scored(m, "hours_pt", "state", "taxonomy", "npi", 6).groupBy("npi").agg(F.max("robust_z").alias("peak_z"))
+    by = sp.where("year in (1996, 1998)").groupBy("npi").pivot("year", [1996, 1998]).agg(F.sum("paid_c"))
+    x = x.join(peak, "npi", "left").join(by.select("npi", F.try_divide(F.col("1998").cast("double"), F.col("1996")).alias("growth")), "npi", "left")
+    # a year's change in these tables is small, so the score is given four times the change
+    score = v.indicator_score(F.col("impossible"), F.col("over_cap"), F.col("implausible"), F.col("umbrella"), F.col("peak_z"), F.col("orgs"), 4 * F.col("growth"), F.col("paid_c") / 100)
+    return x.withColumn("score", r4(score)).withColumn("peak_z", r4(F.col("peak_z"))).withColumn("growth", r4(F.col("growth")))
 
 
-TOP = f"""WITH {MONTHS_CTE}, t AS (SELECT npi, entity_type, count(*) AS months, count(*) FILTER (WHERE label IN ('IMPOSSIBLE_BY_LINE_COUNT', 'IMPOSSIBLE_CONSERVATIVE_RATE', 'IMPOSSIBLE_PER_PATIENT')) AS impossible, count(*) FILTER (WHERE label = 'EXCEEDS_DAILY_CAP') AS over_cap,
+TOP = """WITH BASE_CTE_, t AS (SELECT npi, entity_type, count(*) AS months, count(*) FILTER (WHERE label IN ('IMPOSSIBLE_BY_LINE_COUNT', 'IMPOSSIBLE_CONSERVATIVE_RATE', 'IMPOSSIBLE_PER_PATIENT')) AS impossible, count(*) FILTER (WHERE label = 'EXCEEDS_DAILY_CAP') AS over_cap,
   count(*) FILTER (WHERE label = 'IMPLAUSIBLE_OVER_16H') AS implausible, count(*) FILTER (WHERE label = 'UMBRELLA_VOLUME') AS umbrella, max(n_billing) FILTER (WHERE label LIKE 'IMPOSSIBLE%') AS orgs, CAST(sum(paid_c) AS BIGINT) AS paid_c,
-  CAST(sum(CASE WHEN label IS NOT NULL THEN paid_c ELSE 0 END) AS BIGINT) AS flagged_c, max(n_billing) AS max_billing, max(patients) AS max_patients FROM lab GROUP BY 1, 2)
-SELECT *, round(3.0::DOUBLE * least(impossible, 12) / 12 + 1.5::DOUBLE * least(over_cap, 12) / 12 + 1.0::DOUBLE * least(implausible, 12) / 12 + 0.3::DOUBLE * least(umbrella, 12) / 12 + CASE WHEN orgs >= 3 THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN orgs >= 5 THEN 0.5::DOUBLE ELSE 0 END
-  + 0.5::DOUBLE * log10(paid_c / 100 + 1) / 8, 4) AS score FROM t"""
+  CAST(sum(CASE WHEN label IS NOT NULL THEN paid_c ELSE 0 END) AS BIGINT) AS flagged_c, max(n_billing) AS max_billing, max(patients) AS max_patients FROM lab GROUP BY 1, 2),
+pz AS (SELECT npi, max(0.6745::DOUBLE * (hours_pt - coalesce(g.med, s.med)) / nullif(CASE WHEN g.med IS NOT NULL THEN g.mad ELSE s.mad END, 0)) AS peak_z FROM lab LEFT JOIN g ON g.state = lab.state AND g.taxonomy = lab.taxonomy LEFT JOIN s ON s.state = lab.state GROUP BY 1),
+gr AS (SELECT npi, CAST(sum(paid_c) FILTER (WHERE year = 1998) AS DOUBLE) / nullif(sum(paid_c) FILTER (WHERE year = 1996), 0) AS growth FROM spend WHERE year IN (1996, 1998) GROUP BY 1)
+SELECT t.*, round(peak_z, 4) + 0.0::DOUBLE AS peak_z, round(growth, 4) AS growth, round(3.0::DOUBLE * least(impossible, 12) / 12 + 1.5::DOUBLE * least(over_cap, 12) / 12 + 1.0::DOUBLE * least(implausible, 12) / 12 + 0.3::DOUBLE * least(umbrella, 12) / 12 + 0.5::DOUBLE * least(greatest(coalesce(peak_z, 0), 0), 20) / 20
+  + CASE WHEN orgs >= 3 THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN orgs >= 5 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN 4 * growth >= 4 AND paid_c / 100 >= 250000 THEN 0.5::DOUBLE ELSE 0 END + 0.5::DOUBLE * log10(paid_c / 100 + 1) / 8, 4) AS score FROM t LEFT JOIN pz USING (npi) LEFT JOIN gr USING (npi)""".replace("BASE_CTE_", BASE_CTE.replace("SELECT * FROM lab WHERE entity_type = '1'", "SELECT * FROM lab"))
 
 
 def growth(spark, sf_dir):
-    s = _spend(spark, sf_dir)
+    s = _with_states(spark, sf_dir, lines(spark, sf_dir))
     by = s.groupBy("npi", "state", "year", "hcpcs").agg(F.sum("paid_c").alias("paid_c"), F.sum("patients").alias("patient_months"), F.bool_or(F.col("minutes") > 35).alias("high_vector"))
-    g = v.growth_table(by, "npi", "state", 12, 2).join(F.broadcast(states(spark, sf_dir).select("npi", "enum_date")), "npi")
+    g = v.growth_table(materialize(by, "growth-codes"), "npi", "state", 12, 2).join(states(spark, sf_dir).select("npi", "enum_date"), "npi")
     new = F.col("enum_date") >= F.add_months(F.make_date("year", F.lit(1), F.lit(1)), -36)
     return g.select("npi", "year", "code", "share", r4(F.col("per_patient")).alias("per_patient"), r4(F.col("growth")).alias("growth"), r4(F.col("intensity_z")).alias("intensity_z"), "intensity_pct", v.growth_anomaly(new, 1_000_000, 0.1, 1.0, 0.5).alias("anomaly"))
 

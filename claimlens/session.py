@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _own: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def build(app: str = "claimlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,7 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/claimlens/{tag}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(df.sparkSession)}/claimlens/{df.sparkSession.sparkContext.applicationId}"
+    if folder not in _written:
+        _written[folder] = df.sparkSession
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -71,8 +77,34 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
             if "/claimlens/" in f:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(df.sparkSession, f)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def clean() -> None:
+    """Delete what materialize() wrote in this application; frames that read it can't be used any more. Runs at exit; a
+    driver that was killed leaves the folder of its application id."""
+    for folder, spark in _written.items():
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, folder)
+        except Exception:  # the session has gone; nothing more can be done from here
+            pass
+    _written.clear()
+    for folder in _own.values():
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+    _own.clear()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at path, in whatever store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def sweep(spark: SparkSession) -> None:
