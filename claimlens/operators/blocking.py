@@ -7,17 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _grams(name: str, size: int) -> Column:
+    """All runs of `size` characters of a name; none of a shorter one."""
+    n = F.length(name) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(size)))))
+
+
+def containing(short: DataFrame, long: DataFrame, least: int) -> DataFrame:
+    """Pairs (sid, lid) of names (sid, state, name; lid, state, name) of which the short one, of at least `least` characters,
+    is contained in the long one of the same state. A contained name's runs of characters are all in the other, so pairs
+    are looked up by the run that the fewest long names of the state have, and then verified."""
+    runs = long.select("lid", "state", F.col("name").alias("lname"), F.explode(_grams("name", least)).alias("gram"))
+    counts = runs.groupBy("state", "gram").agg(F.count("*").alias("n"))
+    mine = short.select("sid", "state", F.col("name").alias("sname"), F.explode(_grams("name", least)).alias("gram"))
+    rare = mine.join(counts, ["state", "gram"]).groupBy("sid", "state", "sname").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rare.join(runs, ["state", "gram"]).where(F.col("lname").contains(F.col("sname"))).select("sid", "lid")
+
+
 def match_or_contains(left: DataFrame, right: DataFrame, lid: str, rid: str, lname: str, rname: str, lstate: str, rstate: str, least: int = 8) -> DataFrame:
     """Pairs (lid, rid) whose names are equal (in one state, or in any where the left state is null), or of which one,
     of at least `least` characters without blanks, contains the other within a state. Each branch has an equality:
-    name and state, name alone for rows without a state, or state with containment as a test on the matches."""
+    name and state, name alone for rows without a state, or state and a rare run of characters."""
     a = left.select(F.col(lid).alias("__l"), F.col(lname).alias("__ln"), F.col(lstate).alias("__ls"), F.replace(lname, F.lit(" "), F.lit("")).alias("__lc"))
     b = right.select(F.col(rid).alias("__r"), F.col(rname).alias("__rn"), F.col(rstate).alias("__rs"), F.replace(rname, F.lit(" "), F.lit("")).alias("__rc"))
     both = a.where("__ls is not null").join(b, (F.col("__ls") == F.col("__rs")) & (F.col("__ln") == F.col("__rn")))
     anywhere = a.where("__ls is null").join(b, F.col("__ln") == F.col("__rn"))
-    inside = a.where(f"length(__lc) >= {least}").join(b, (F.col("__ls") == F.col("__rs")) & (F.col("__rc").contains(F.col("__lc")) | ((F.length("__rc") >= least) & F.col("__lc").contains(F.col("__rc")))))
-    pairs = [x.select(F.col("__l").alias(lid), F.col("__r").alias(rid)) for x in (both, anywhere, inside)]
-    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+    # the left name must be long enough on either side of a containment
+    named = lambda x, key, i, name, state: x.where(F.col(state).isNotNull() & (F.length(name) >= least)).select(F.col(i).alias(key), F.col(state).alias("state"), F.col(name).alias("name"))
+    inside = containing(named(a, "sid", "__l", "__lc", "__ls"), named(b, "lid", "__r", "__rc", "__rs"), least).select(F.col("sid").alias("__l"), F.col("lid").alias("__r"))
+    around = containing(named(b, "sid", "__r", "__rc", "__rs"), named(a, "lid", "__l", "__lc", "__ls"), least).select(F.col("lid").alias("__l"), F.col("sid").alias("__r"))
+    pairs = [x.select(F.col("__l").alias(lid), F.col("__r").alias(rid)) for x in (both, anywhere, inside, around)]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).unionByName(pairs[3]).distinct()
 
 
 def capped(pairs: DataFrame, key: list[str], most: int) -> DataFrame:

@@ -11,12 +11,12 @@ from claimlens.plans.data import BILL_MONTH, SEGMENTS, SPEND, bill_month, cents,
 def typed_projection(spark, sf_dir):
     """Rename, cast and filter at the scan: ranges and lists reach the Parquet reader, the pattern is tested after."""
     p = table(spark, sf_dir, "part")
-    p = p.where(F.col("p_size").between(5, 40) & ~F.col("p_brand").isin("Brand#11", "Brand#55") & F.col("p_brand").rlike("^Brand#[0-9]{2}$") & ~F.col("p_type").like("%XXX%"))
+    p = p.where(F.col("p_size").between(5, 40) & ~F.col("p_brand").isin("Brand#11", "Brand#55") & F.col("p_brand").rlike("^Brand#[0-9]{2}$") & ~F.col("p_type").like("%DARD") & ~F.col("p_name").ilike("RED%") & ~F.col("p_name").startswith("blue"))
     return p.drop("p_name").select(F.col("p_partkey").alias("part_id"), F.substring("p_brand", 7, 2).try_cast("int").alias("brand_no"), F.upper(F.trim("p_type")).alias("family"), F.nullif("p_size", F.lit(10)).cast("int").alias("size_or_null"))
 
 
 TYPED_PROJECTION = """SELECT p_partkey AS part_id, TRY_CAST(substr(p_brand, 7, 2) AS INTEGER) AS brand_no, upper(trim(p_type)) AS family, CAST(nullif(p_size, 10) AS INTEGER) AS size_or_null
-FROM part WHERE p_size BETWEEN 5 AND 40 AND p_brand NOT IN ('Brand#11', 'Brand#55') AND regexp_matches(p_brand, '^Brand#[0-9]{2}$') AND p_type NOT LIKE '%XXX%'"""
+FROM part WHERE p_size BETWEEN 5 AND 40 AND p_brand NOT IN ('Brand#11', 'Brand#55') AND regexp_matches(p_brand, '^Brand#[0-9]{2}$') AND p_type NOT LIKE '%DARD' AND p_name NOT ILIKE 'RED%' AND NOT starts_with(p_name, 'blue')"""
 
 
 def semi_join_filter(spark, sf_dir):
@@ -55,12 +55,12 @@ SPEND_TOTALS = f"""WITH {SPEND} SELECT npi, year, CAST(sum(paid_c) AS BIGINT) AS
 
 def union_by_name(spark, sf_dir):
     """Registries with different columns, aligned by name; missing ones are null."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("int").alias("nation"))
     return c.unionByName(s, allowMissingColumns=True)
 
 
-UNION_BY_NAME = """SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, CAST(NULL AS INTEGER) AS nation FROM customer WHERE c_custkey % 10 = 0
+UNION_BY_NAME = """SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, CAST(NULL AS INTEGER) AS nation FROM customer
 UNION ALL BY NAME SELECT s_suppkey AS id, s_name AS name, CAST(s_nationkey AS INTEGER) AS nation FROM supplier"""
 
 
