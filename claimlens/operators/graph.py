@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from claimlens.session import counted, discard, materialize
 
 
-def _forest(batches):
+#: Links that a task contracts, on average, once each partition's own links are contracted.
+LINKS = 4_096
+
+
+def _forest(batches, roots: bool = False):
     """The links of a partition, replaced by one link from each node to the smallest node it reaches in them (itself,
-    if it has no link but to itself)."""
+    if it has no link but to itself, or in any case with roots)."""
     root: dict = {}
 
     def find(x):
@@ -32,7 +36,8 @@ def _forest(batches):
             else:
                 root.setdefault(a, a)
     nodes = [n for n in root if root[n] != n]
-    nodes += root.keys() - {find(n) for n in nodes} - set(nodes)
+    tops = {find(n) for n in nodes}
+    nodes += tops | (root.keys() - set(nodes)) if roots else root.keys() - tops - set(nodes)
     for i in range(0, len(nodes), 1 << 16):
         part = nodes[i : i + (1 << 16)]
         yield pa.record_batch([pa.array([find(n) for n in part], kind.field(0).type), pa.array(part, kind.field(1).type)], schema=kind)
@@ -40,13 +45,22 @@ def _forest(batches):
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b), any order, repeats and self-links allowed; component is
-    the smallest node that can be reached. Each partition first contracts its own links; then large-star and
+    the smallest node that can be reached. Each partition first contracts its own links, then so do tasks that take
+    several partitions, up to a bounded number of links each; then large-star and
     small-star steps alternate, so a round halves long paths and no node's neighbours are ever gathered in a task:
     each step is a min aggregate, written, and a join back, which Spark splits when one node has most of the links. Links
     with a null end are ignored."""
     e = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     kind = ", ".join(f"{n} {t}" for n, t in e.dtypes)
     e = materialize(e.mapInArrow(_forest, kind), "cc")
+    tasks = -(-e.count() // LINKS)
+    if tasks <= 1:  # a task's own bound
+        found = materialize(e.coalesce(1).mapInArrow(lambda it: _forest(it, True), kind).select(F.col("b").alias("node"), F.col("a").alias("component")), "cc-found")
+        discard(e)
+        return found
+    nxt = materialize(e.coalesce(tasks).mapInArrow(_forest, kind), "cc")
+    discard(e)
+    e = nxt
     for r in range(max_rounds + 1):
         # done when every larger end has one smaller end, which is nobody's larger end
         links = e.where("a < b")

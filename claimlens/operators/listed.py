@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from claimlens.functions.casts import evidence_json, flag_id
 from claimlens.functions.keys import name_tokens, names_agree
-from claimlens.operators.ranking import top_per_group
+from claimlens.operators.ranking import best_row, top_per_group
+from claimlens.operators.sets import replace_slice
 from claimlens.operators.temporal import lookback_join, month_window_join, overlap_join
 
 EVENT_COLUMNS = ("npi", "source", "event_dt", "window_end", "reason", "source_state", "tier", "source_name", "source_type")
@@ -173,3 +174,16 @@ def provider_rollup(events: DataFrame) -> DataFrame:
 def flags(df: DataFrame, detector: str, metric: str, value: str, threshold: float, score: str, dollars: str, evidence: list[str]) -> DataFrame:
     """The generic evidence rows, without their time, which the sink adds."""
     return df.select(flag_id(F.lit(detector), *(F.col(c) for c in evidence)).alias("id"), F.lit(detector).alias("detector"), "npi", F.lit(metric).alias("metric"), F.col(value).cast("double").alias("value"), F.lit(threshold).alias("threshold"), F.col(score).alias("score"), F.col(dollars).alias("dollars"), "tier", evidence_json(*evidence).alias("evidence"))
+
+
+def put_flags(old: DataFrame, new: DataFrame, detector: str) -> DataFrame:
+    """The flags of one detector replaced by new ones, one for each id: the one with the most dollars."""
+    return replace_slice(old, best_row(new, ["id"], F.struct("dollars", "evidence"), largest=True), "detector", detector)
+
+
+def provider_paid(rollup: DataFrame, months: DataFrame) -> DataFrame:
+    """provider_rollup() with what was paid in the months after the first event and before the window's end: months_after,
+    first_month, last_month, after_c; 0 where nothing was."""
+    x = month_window_join(months, rollup.select("npi", F.col("first_event_dt").alias("event_dt"), "window_end"), "npi")
+    x = x.groupBy("npi").agg(F.count("*").alias("months_after"), F.min("month_start").alias("first_month"), F.max("month_start").alias("last_month"), F.sum("paid_c").alias("after_c"))
+    return rollup.join(x, "npi", "left").na.fill(0, ["months_after", "after_c"])

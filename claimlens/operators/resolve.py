@@ -99,12 +99,14 @@ def merge_exact(people: DataFrame, unique: str, keys: list[Column]) -> DataFrame
     return components(edges)
 
 
-def resolve(people: DataFrame, unique: str = "id", state: str = "state") -> tuple[DataFrame, DataFrame]:
-    """(person, candidates). people has unique, state and FIELDS. person: unique and the smallest id that exact keys or
-    accepted candidates connect. candidates: the audit table of pairs with levels, posterior and decision."""
-    people = people.select(unique, F.col(state).alias("__state"), *FIELDS)
+def resolve(people: DataFrame, unique: str = "id", state: str = "state", associate: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(person, candidates). people has unique, state and FIELDS, and may have an associate id that sources give a person.
+    person: unique and the smallest id that associate ids, exact keys or accepted candidates connect. candidates: the audit
+    table of pairs with levels, posterior and decision."""
+    given = F.nullif(F.col(associate).cast("string"), F.lit("")) if associate else F.lit(None).cast("string")
+    people = people.select(unique, F.col(state).alias("__state"), given.alias("__given"), *FIELDS)
     filled = F.when((F.col("last") != "") & (F.col("first") != "") & (F.col("zip") != ""), F.concat_ws("|", "last", F.substring("first", 1, 3), "zip"))
-    exact = merge_exact(people, unique, [filled]).withColumnRenamed("node", unique)
+    exact = merge_exact(people, unique, [F.col("__given"), filled]).withColumnRenamed("node", unique)
     people = people.join(exact, unique, "left").withColumn("component", F.coalesce("component", unique))
     # of each exact group, one row stands for it, with the first filled value of each field by id
     pick = [F.min_by(F.col(f), F.struct(_missing(F.col(f)), F.col(unique))).alias(f) for f in ("__state", *FIELDS)]
@@ -129,3 +131,15 @@ def similar_orgs(orgs: DataFrame, unique: str, name: str, state: str, least: flo
     a, b = x.alias("a"), x.alias("b")
     p = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.u") < F.col("b.u")))
     return p.select(F.col("a.u").alias("a"), F.col("b.u").alias("b"), token_set_ratio(F.col("a.n"), F.col("b.n")).alias("ratio")).where(F.col("ratio") >= least)
+
+
+def resolve_orgs(orgs: DataFrame, unique: str = "id", key: str = "key", state: str = "state", associate: str = "associate", least: float = 94.0, most: int = 3000) -> DataFrame:
+    """(unique, org): the smallest id of the organisations that are one by associate id, by name key and state, or, after
+    these, by similar names within a state (see similar_orgs). Rows without a name key stand for themselves."""
+    x = orgs.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    exact = merge_exact(x, unique, [F.nullif(F.col(associate).cast("string"), F.lit("")), F.concat_ws("|", key, F.coalesce(state, F.lit("")))]).withColumnRenamed("node", unique)
+    x = materialize(x.join(exact, unique, "left").select(unique, key, state, F.coalesce("component", unique).alias("__one")), "resolve-orgs")
+    reps = x.groupBy("__one").agg(F.min_by(key, unique).alias(key), F.min_by(state, unique).alias(state))
+    near = components(similar_orgs(reps, "__one", key, state, least, most).select("a", "b")).toDF("__one", "__near")
+    found = x.join(near, "__one", "left").select(unique, F.coalesce("__near", "__one").alias("org"))
+    return orgs.select(unique).join(found, unique, "left").select(unique, F.coalesce("org", unique).alias("org"))

@@ -36,5 +36,23 @@ def hash_split(key: str, share: float, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)
 
 
+def stratified_split(key: str, label: str, share: float, seed: int = 0) -> Column:
+    """True for about this share of the keys of each label, always the same ones: the label is part of the hash, so that the
+    shares of two labels don't depend on each other."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows (all, if there are fewer), the same ones for the same seed: those with the smallest hash of their key, which
+    Spark picks per task before it merges them. key must be unique."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
+def flag_top(df: DataFrame, order: list[Column], n: int, unique: str, name: str = "is_top") -> DataFrame:
+    """df with whether a row is among the first n of the order, which ends in unique. Only n keys are compared with."""
+    top = F.broadcast(df.orderBy(*order, unique).limit(n).select(F.col(unique).alias("__top")))
+    return df.join(top, df[unique] == top["__top"], "left").withColumn(name, F.col("__top").isNotNull()).drop("__top")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)

@@ -26,11 +26,20 @@ def rate_estimates(cells: DataFrame, keys: list[str], value: str = "ppl", crosso
     return out.withColumn("rate_est", rate)
 
 
-def with_published(rates: DataFrame, published: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """rates with a published rate in its place where there is one: point (the highest variant), conservative (1.5 times
-    the point) and where it came from; none below `least`, where lines are bundled or unpaid."""
+def with_published(rates: DataFrame, published: DataFrame, keys: list[str], least: float, in_force: Column | None = None) -> DataFrame:
+    """rates with a published rate in its place where there is one: the base (the lowest variant of the version in force for
+    the row, else of the latest version that has the keys), the point (the highest variant of any version), the conservative
+    one (1.5 times the point) and where it came from; none below `least`, where lines are bundled or unpaid. published:
+    keys, rate and, with in_force, version."""
     p = published.groupBy(*keys).agg(F.min("rate").alias("published_base"), F.max("rate").alias("published_max"))
+    if in_force is not None:
+        by = published.groupBy(*keys, "version").agg(F.min("rate").alias("__rate"))
+        last = by.groupBy(*keys).agg(F.max_by("__rate", "version").alias("__last"))
+        p = p.drop("published_base").join(last, keys)
+        rates = rates.withColumn("version", in_force).join(by, [*keys, "version"], "left").drop("version")
     x = rates.join(p, keys, "left")
+    if in_force is not None:
+        x = x.withColumn("published_base", F.coalesce("__rate", "__last")).drop("__rate", "__last")
     point = F.coalesce("published_max", "rate_est")
     source = F.when(F.col("published_base").isNotNull(), "published").when(F.coalesce("rate_est", F.lit(0.0)) < least, "no_rate").when(F.col("crossover"), "median").otherwise("p05_trimmed")
     return x.withColumn("rate_pt", F.when(point >= least, point)).withColumn("rate_cons", CONSERVATIVE * F.col("rate_pt")).withColumn("rate_source", source)

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from claimlens.operators.ranking import top_per_group
 from claimlens.operators.robust import median_mad, quantile, robust_z
-from claimlens.plans.data import SPEND, STATES, cents, r4, spend, states, table
+from claimlens.plans.data import SPEND, STATES, cents, lines, r4, spend, states, table
 
 
 def conditional(spark, sf_dir):
@@ -54,20 +54,19 @@ SELECT o_orderkey, o_orderpriority, round(med, 4) AS med, round(mad, 4) AS mad,
 def lists(spark, sf_dir):
     """Distinct values as sorted text and as a list; the value at the largest key, null values skipped; any value; first filled value."""
     s = spend(spark, sf_dir)
-    code = F.when(F.col("minutes") > 25, F.col("hcpcs"))
     return s.groupBy("npi").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.array_sort(F.collect_set("year")).alias("years"),
         F.expr("max_by(case when minutes > 25 then hcpcs end, struct(paid_c, servicing, hcpcs)) FILTER (WHERE minutes > 25)").alias("top_code"),
-        F.min(code).alias("first_filled"), F.any_value(F.col("npi") % 100).alias("any_mod"),
+        F.expr("min_by(hcpcs, struct(month_start, paid_c, servicing, hcpcs)) FILTER (WHERE minutes > 25)").alias("first_filled"), F.any_value(F.col("npi") % 100).alias("any_mod"),
     )
 
 
 LISTS = f"""WITH {SPEND} SELECT npi, string_agg(DISTINCT family, ',' ORDER BY family) AS families, list(DISTINCT year ORDER BY year) AS years,
-  arg_max(CASE WHEN minutes > 25 THEN hcpcs END, (paid_c, servicing, hcpcs)) FILTER (WHERE minutes > 25) AS top_code, min(CASE WHEN minutes > 25 THEN hcpcs END) AS first_filled, any_value(npi % 100) AS any_mod FROM spend GROUP BY 1"""
+  arg_max(CASE WHEN minutes > 25 THEN hcpcs END, (paid_c, servicing, hcpcs)) FILTER (WHERE minutes > 25) AS top_code, arg_min(hcpcs, (month_start, paid_c, servicing, hcpcs)) FILTER (WHERE minutes > 25) AS first_filled, any_value(npi % 100) AS any_mod FROM spend GROUP BY 1"""
 
 
 def weighted_mean(spark, sf_dir):
-    s = spend(spark, sf_dir)
+    s = lines(spark, sf_dir)
     return s.groupBy("hcpcs").agg(F.try_divide(F.sum(F.col("minutes").cast("long") * F.col("lines")).cast("double"), F.nullif(F.sum("lines"), F.lit(0)).cast("double")).alias("mean_minutes"))
 
 
@@ -76,7 +75,7 @@ WEIGHTED_MEAN = f"WITH {SPEND} SELECT hcpcs, CAST(sum(CAST(minutes AS BIGINT) *
 
 def pivot_years(spark, sf_dir):
     """npi by year, missing years as zero, and the growth between two of them."""
-    s = spend(spark, sf_dir)
+    s = lines(spark, sf_dir)
     wide = s.groupBy("npi").pivot("year", [1996, 1997, 1998, 1999, 2000]).agg(F.sum("paid_c")).na.fill(0)
     wide = wide.select("npi", *(F.col(str(y)).alias(f"y{y}") for y in range(1996, 2001)))
     return wide.withColumn("growth", F.try_divide(F.col("y2000").cast("double"), F.nullif("y1996", F.lit(0)).cast("double")))
@@ -97,7 +96,7 @@ SHARE = """SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(count(*) A
 
 def lift(spark, sf_dir):
     """How much more often a code is billed by flagged providers: a ratio of ratios against the totals."""
-    s = spend(spark, sf_dir).withColumn("flagged", F.col("npi") % 5 == 0)
+    s = lines(spark, sf_dir).withColumn("flagged", F.col("npi") % 5 == 0)
     by = s.groupBy("hcpcs").agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged"))
     total = s.agg(F.count("*").alias("t"), F.count_if("flagged").alias("tf"))
     x = by.crossJoin(F.broadcast(total))  # one row
@@ -110,7 +109,7 @@ SELECT hcpcs, n, n_flagged, round((CAST(n_flagged AS DOUBLE) / tf) / (CAST(n AS
 
 def most_frequent(spark, sf_dir):
     """The most frequent value per group; ties go to the smaller value."""
-    n = spend(spark, sf_dir).groupBy("npi", "family").agg(F.count("*").alias("n"))
+    n = lines(spark, sf_dir).groupBy("npi", "family").agg(F.count("*").alias("n"))
     return top_per_group(n, ["npi"], [F.col("n").desc(), F.col("family")])
 
 
@@ -118,14 +117,14 @@ MODE = f"WITH {SPEND}, c AS (SELECT npi, family, count(*) AS n FROM spend GROUP
 
 
 def tier_rollup(spark, sf_dir):
-    """Conditional sums by tier, rolled up to an area."""
-    s = spend(spark, sf_dir).join(F.broadcast(states(spark, sf_dir).select("npi", "state", "nation")), "npi")
+    """Conditional sums by tier, rolled up to an area with its point on the map."""
+    s = lines(spark, sf_dir).join(states(spark, sf_dir).select("npi", "state", "nation"), "npi")
     tier = F.col("npi") % 3
-    return s.groupBy("state", "nation").agg(*(F.sum(F.when(tier == i, F.col("paid_c")).otherwise(0)).alias(f"tier{i}_c") for i in range(3)), F.countDistinct("npi").alias("n_npi"), F.max_by("npi", F.struct("paid_c", "npi")).alias("top_npi"))
+    return s.groupBy("state", "nation").agg(*(F.sum(F.when(tier == i, F.col("paid_c")).otherwise(0)).alias(f"tier{i}_c") for i in range(3)), F.countDistinct("npi").alias("n_npi"), F.max_by("npi", F.struct("paid_c", "npi")).alias("top_npi")).join(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), (F.col("n_nationkey") * 3 - 30).cast("double").alias("lat"), (F.col("n_nationkey") * 7 - 90).cast("double").alias("lon"))), "nation", "left")
 
 
-TIER_ROLLUP = f"""WITH {SPEND}, {STATES} SELECT state, nation, {', '.join(f'CAST(sum(CASE WHEN npi % 3 = {i} THEN paid_c ELSE 0 END) AS BIGINT) AS tier{i}_c' for i in range(3))}, count(DISTINCT npi) AS n_npi, arg_max(npi, (paid_c, npi)) AS top_npi
-FROM spend JOIN states USING (npi) GROUP BY 1, 2"""
+TIER_ROLLUP = f"""WITH {SPEND}, {STATES} SELECT state, nation, {', '.join(f'CAST(sum(CASE WHEN npi % 3 = {i} THEN paid_c ELSE 0 END) AS BIGINT) AS tier{i}_c' for i in range(3))}, count(DISTINCT npi) AS n_npi, arg_max(npi, (paid_c, npi)) AS top_npi,
+  CAST(any_value(n_nationkey) * 3 - 30 AS DOUBLE) AS lat, CAST(any_value(n_nationkey) * 7 - 90 AS DOUBLE) AS lon FROM spend JOIN states USING (npi) JOIN nation ON n_name = nation GROUP BY 1, 2"""
 
 QUERIES = {
     "agg_conditional": (conditional, CONDITIONAL),

@@ -144,7 +144,38 @@ y AS (SELECT x.* REPLACE (CASE WHEN source_name = 'same' THEN 'PROVIDER ' || sou
 SELECT npi, source, event_dt, window_end, reason, source_state, CASE WHEN NOT name_agrees THEN 'C' ELSE tier END AS tier, source_name, source_type, name_agrees,
   CASE WHEN source_type = 'name_match' THEN 'name_match_model_high' WHEN NOT known THEN 'exact_npi_not_in_nppes' WHEN source_name IS NULL THEN 'exact_npi_unnamed_source' WHEN name_agrees THEN 'exact_npi_name_verified' ELSE 'exact_npi_name_conflict' END AS id_match FROM y"""
 
+def summaries(spark, sf_dir):
+    """The detector's summaries as rows (summary, key, n, paid_c): the headline over providers, by year of the first event, by
+    list, by identity match and tier, and by how many months were paid."""
+    months, ev = materialize(bill_month(spark, sf_dir), "bill-months"), materialize(_events(spark, sf_dir), "list-events")
+    pa = materialize(d3.paid_after(months, ev).join(ev.select("npi", "source", "event_dt", "id_match").distinct(), ["npi", "source", "event_dt"]), "paid-after")
+    who = materialize(d3.provider_paid(d3.provider_rollup(ev.where("tier = 'A'")), months), "providers-paid")
+    paid = who.where("after_c > 0")
+    rows = lambda df, name, key: df.groupBy(key.cast("string").alias("key")).agg(F.countDistinct("npi").alias("n"), F.sum("after_c").alias("paid_c")).select(F.lit(name).alias("summary"), "key", "n", "paid_c")
+    parts = [
+        rows(who, "headline", F.lit("listed")), rows(paid, "headline", F.lit("paid after")), rows(paid.where("months_after >= 6"), "headline", F.lit("paid in six months or more")), rows(paid, "by year", F.year("first_event_dt")),
+        rows(paid, "by lists", F.col("sources")), rows(pa, "by list and tier", F.concat_ws(" ", "source", "tier")), rows(pa, "by match and tier", F.concat_ws(" ", "id_match", "tier")), rows(pa.where("tier = 'C'"), "set aside", F.lit("C")),
+        rows(pa, "by months", F.when(F.col("months_after") >= 6, "6+").otherwise("1-5")),
+    ]
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _summaries_sql() -> str:
+    parts = (
+        ("who", "headline", "'listed'", "TRUE"), ("who", "headline", "'paid after'", "after_c > 0"), ("who", "headline", "'paid in six months or more'", "after_c > 0 AND months_after >= 6"), ("who", "by year", "CAST(year(first_event_dt) AS VARCHAR)", "after_c > 0"),
+        ("who", "by lists", "sources", "after_c > 0"), ("px", "by list and tier", "source || ' ' || tier", "TRUE"), ("px", "by match and tier", "id_match || ' ' || tier", "TRUE"), ("px", "set aside", "'C'", "tier = 'C'"), ("px", "by months", "CASE WHEN months_after >= 6 THEN '6+' ELSE '1-5' END", "TRUE"),
+    )
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS summary, {k} AS key, count(DISTINCT npi) AS n, CAST(sum(after_c) AS BIGINT) AS paid_c FROM {t} WHERE {w} GROUP BY 2" for t, n, k, w in parts)
+    return f"""WITH {AFTER_CTE}, px AS (SELECT pa.*, id_match FROM pa JOIN (SELECT DISTINCT npi, source, event_dt, id_match FROM ev) USING (npi, source, event_dt)),
+ro AS (SELECT npi, min(event_dt) AS first_event_dt, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, CASE WHEN NOT bool_or(window_end IS NULL) THEN max(window_end) END AS window_end FROM ev WHERE tier = 'A' GROUP BY 1),
+who AS (SELECT ro.npi, any_value(first_event_dt) AS first_event_dt, any_value(sources) AS sources, count(m.month_start) AS months_after, CAST(coalesce(sum(paid_c), 0) AS BIGINT) AS after_c FROM ro LEFT JOIN bill_month m ON m.npi = ro.npi AND m.month_start >= date_trunc('month', first_event_dt) + INTERVAL 1 MONTH AND (window_end IS NULL OR m.month_start < date_trunc('month', window_end)) GROUP BY 1)
+{rows}"""
+
+
 QUERIES = {
+    "listed_summaries": (summaries, _summaries_sql()),
     "listed_nine_sources": (nine_sources, NINE),
     "listed_events": (list_events, LIST_EVENTS),
     "listed_paid_after": (after, f"WITH {AFTER_CTE} SELECT * FROM pa"),

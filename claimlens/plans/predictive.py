@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimlens.operators import cohort as c
 from claimlens.operators import predict as p
 from claimlens.operators.robust import median_mad, robust_z_directed
 from claimlens.operators.ranking import average_rank
-from claimlens.plans.data import r4, table
+from claimlens.plans.data import SPEND, STATES, lines, r4, states, table
+from claimlens.session import materialize
 
 FEATURES = ["qty", "price", "discount"]
 
@@ -79,8 +81,8 @@ def model(spark, sf_dir):
 
 def factors(spark, sf_dir):
     """Tall metrics: unpivot, percentile, signed robust z."""
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("c_acctbal") * 100)).alias("bal"), F.countDistinct("c_mktsegment").alias("segs"))
-    tall = c.select(F.col("c_nationkey").cast("int").alias("id"), F.col("n").cast("double").alias("n"), "bal", F.col("segs").cast("double").alias("segs")).unpivot(["id"], ["n", "bal", "segs"], "factor", "value")
+    n = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("c_acctbal") * 100)).alias("bal"), F.countDistinct("c_mktsegment").alias("segs"))
+    tall = n.select(F.col("c_nationkey").cast("int").alias("id"), F.col("n").cast("double").alias("n"), "bal", F.col("segs").cast("double").alias("segs")).unpivot(["id"], ["n", "bal", "segs"], "factor", "value")
     base = median_mad(tall, ["factor"], "value").withColumnRenamed("n", "cnt")
     x = tall.join(F.broadcast(base), "factor")
     z = F.when(F.col("factor") == "bal", robust_z_directed("value", "med", "mad", "cnt", False)).otherwise(robust_z_directed("value", "med", "mad", "cnt"))
@@ -92,7 +94,31 @@ t AS (UNPIVOT c ON n, bal, segs INTO NAME factor VALUE value), m AS (SELECT fact
 SELECT id, factor, value, round((rank() OVER (PARTITION BY factor ORDER BY value) + (count(*) OVER (PARTITION BY factor, value) - 1) / 2) / count(*) OVER (PARTITION BY factor), 4) AS pct,
   round(CASE WHEN cnt >= 5 THEN CASE WHEN mad > 0 THEN (value - med) / (1.4826::DOUBLE * mad) ELSE 0 END * CASE WHEN factor = 'bal' THEN -1 ELSE 1 END END, 4) + 0.0::DOUBLE AS z FROM t JOIN d USING (factor)"""
 
+UNTIL, AFTER = "1997-12-01", "1998-01-01"
+
+
+def cohort(spark, sf_dir):
+    """Providers as they were at the end of 1997, with features, and whether a return of 1998 or later is theirs."""
+    li = lines(spark, sf_dir)
+    months = li.groupBy("npi", "month_start").agg(F.sum("paid_c").alias("paid_c"), F.sum("lines").alias("lines"), F.sum("patients").alias("patients"), F.countDistinct("hcpcs").alias("counterparties"), (F.sum("minutes") / 60).alias("hours_day"), F.countDistinct("family").alias("n_billing"))
+    months = materialize(months.withColumn("personal_hours_day", F.col("hours_day") / 2), "cohort-months")
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("npi"), F.to_date("l_shipdate").alias("event_dt"), "l_quantity")
+    x = c.cohort(c.behaviour(months, UNTIL), c.volume_history(months, UNTIL), c.before([returned.where("l_quantity >= 50"), returned.where("l_quantity = 1")], "1992-06-30"), states(spark, sf_dir), c.later([returned.where("l_quantity >= 49")], AFTER))
+    return x.select("npi", "y", "first_month", "last_month", "last_12m_c", *(r4(e).alias(n) for n, e in c.engineered(x).items()))
+
+
+COHORT = f"""WITH {SPEND}, {STATES}, mo AS (SELECT npi, month_start, CAST(sum(paid_c) AS BIGINT) AS paid_c, sum(lines) AS lines, CAST(sum(patients) AS BIGINT) AS patients, count(DISTINCT hcpcs) AS cp, sum(minutes) / 60 AS hd, count(DISTINCT family) AS nb FROM spend WHERE month_start <= DATE '{UNTIL}' GROUP BY 1, 2),
+w AS (SELECT *, median(paid_c) OVER q AS med, count(*) OVER q AS n FROM mo WINDOW q AS (PARTITION BY npi ORDER BY month_start ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+a AS (SELECT npi, CAST(sum(paid_c) AS BIGINT) AS paid_c, count(*) AS nm, max(paid_c) AS mx, CAST(sum(CASE WHEN year(month_start) = 1997 THEN paid_c ELSE 0 END) AS BIGINT) AS ly, CAST(sum(CASE WHEN year(month_start) = 1996 THEN paid_c ELSE 0 END) AS BIGINT) AS py, CAST(sum(CASE WHEN month_start >= DATE '{UNTIL}' - INTERVAL 11 MONTH THEN paid_c ELSE 0 END) AS BIGINT) AS last_12m_c,
+  coalesce(max(CASE WHEN n >= 3 AND med > 0 THEN paid_c / med END), 1) AS ramp, max(cp) AS cp, max(patients) AS pt, min(month_start) AS first_month, max(month_start) AS last_month, count(*) FILTER (WHERE hd > 24) AS o24, count(*) FILTER (WHERE hd > 16) AS o16, max(hd / 2) AS pk, max(nb) AS nb, count(*) FILTER (WHERE hd > 24 AND nb >= 3) AS oc FROM w GROUP BY 1 HAVING sum(paid_c) >= 100000),
+t3 AS (SELECT npi, CAST(sum(paid_c) AS DOUBLE) AS t FROM (SELECT * FROM mo QUALIFY row_number() OVER (PARTITION BY npi ORDER BY paid_c DESC, month_start) <= 3) GROUP BY 1),
+yl AS (SELECT DISTINCT l_suppkey AS npi FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 AND l_shipdate >= DATE '{AFTER}'), pa AS (SELECT DISTINCT l_suppkey AS npi FROM lineitem WHERE l_returnflag = 'R' AND (l_quantity >= 50 OR l_quantity = 1) AND CAST(l_shipdate AS DATE) <= DATE '1992-06-30')
+SELECT a.npi, CAST(yl.npi IS NOT NULL AS INTEGER) AS y, first_month, last_month, last_12m_c, round(log10(greatest(paid_c / 100, 1)), 4) AS log_paid, round(log10(greatest(ly / 100, 1)), 4) AS log_paid_ly, round(greatest(-6, least(6, ln((ly / 100 + 1) / (py / 100 + 1)))), 4) + 0.0::DOUBLE AS growth, round(greatest(0, least(6, ln(greatest(ramp, 1)))), 4) AS log_ramp, round(t / paid_c, 4) AS top3_share,
+  CAST(nm AS DOUBLE) AS n_months, round(ln(1 + cp), 4) AS log_counterparties, round(ln(1 + pt), 4) AS log_patients, round(log10(coalesce(mx / 100 / nullif(pt, 0), 0) + 1), 4) AS paid_per_patient, CAST(least(24, o24) AS DOUBLE) AS m_over24, CAST(least(36, o16) AS DOUBLE) AS m_over16, round(least(200, pk), 4) AS peak_hours, CAST(least(24, oc) AS DOUBLE) AS m_over24_concurrent, CAST(least(50, nb) AS DOUBLE) AS max_billing,
+  CAST(pa.npi IS NOT NULL AS DOUBLE) AS prior_admin, CAST(coalesce(entity_type = '1', FALSE) AS DOUBLE) AS individual FROM a JOIN t3 USING (npi) LEFT JOIN yl ON yl.npi = a.npi LEFT JOIN pa ON pa.npi = a.npi LEFT JOIN states ON states.npi = a.npi"""
+
 QUERIES = {
+    "predict_cohort": (cohort, COHORT),
     "predict_woe": (woe, WOE),
     "predict_auc": (auc, AUC),
     "predict_combined": (combined, COMBINED),

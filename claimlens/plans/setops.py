@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimlens.operators.sets import keep_best, page, replace_slice, update_from, upsert
+from claimlens.operators.sets import flag_top, keep_best, page, replace_slice, sample_rows, stratified_split, update_from, upsert
 from claimlens.plans.data import cents, table
 
 
@@ -77,7 +77,29 @@ def intersect_except(spark, sf_dir):
 INTERSECT = """WITH a AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O')
 SELECT l_partkey, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT l_partkey, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
 
+def flagged(spark, sf_dir):
+    """The first 400 of all rows marked, nulls first among equals in status."""
+    o = _orders(spark, sf_dir).withColumn("v", F.when(F.col("o_custkey") % 9 != 0, F.col("total_c")))
+    return flag_top(o, [F.col("v").asc_nulls_first()], 400, "o_orderkey")
+
+
+FLAGGED = f"WITH {ORDERS}, v AS (SELECT *, CASE WHEN o_custkey % 9 <> 0 THEN total_c END AS v FROM o) SELECT *, row_number() OVER (ORDER BY v ASC NULLS FIRST, o_orderkey) <= 400 AS is_top FROM v"
+
+
+def split_shares(spark, sf_dir):
+    """A split by label holds about its share of each label; a sample has its size and only rows of the table."""
+    o = _orders(spark, sf_dir)
+    by = o.withColumn("t", stratified_split("o_orderkey", "o_orderstatus", 0.7, 3)).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.abs(F.avg(F.col("t").cast("int")) - 0.7).alias("off"))
+    few = sample_rows(o, 200, "o_orderkey", 5).groupBy("o_orderstatus").agg(F.count("*").alias("m"))
+    x = by.join(few, "o_orderstatus", "left")
+    return x.agg(F.bool_and((F.col("off") < 0.1) | (F.col("n") < 200)).alias("near_share"), F.sum("m").alias("sampled"))
+
+
+SPLIT_SHARES = "SELECT TRUE AS near_share, CAST(least(200, count(*)) AS BIGINT) AS sampled FROM orders"
+
 QUERIES = {
+    "set_flag_top": (flagged, FLAGGED),
+    "set_split_sample": (split_shares, SPLIT_SHARES),
     "set_top": (top, TOP),
     "set_paging": (paging, PAGING),
     "set_unions": (unions, UNIONS),

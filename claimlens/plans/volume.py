@@ -18,8 +18,8 @@ def _with_states(spark, sf_dir, df):
 def _rates(spark, sf_dir, df=None):
     s = (_with_states(spark, sf_dir, lines(spark, sf_dir)) if df is None else df).where("lines > 0 and paid_c > 0")
     cells = s.select("state", "hcpcs", "year", (F.col("paid_c").cast("double") / F.col("lines")).alias("ppl"), (F.substring("hcpcs", 7, 1) == "1").alias("crossover"))
-    published = table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_brand").alias("hcpcs"), (F.round(F.col("p_retailprice") * 100)).alias("rate"))
-    return v.with_published(v.rate_estimates(cells, ["state", "hcpcs", "year"]), published, ["hcpcs"], 50000.0)
+    published = table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_brand").alias("hcpcs"), (F.round(F.col("p_retailprice") * 100)).alias("rate"), F.when(F.col("p_partkey") % 3 == 0, "1996").otherwise("1992").alias("version"))
+    return v.with_published(v.rate_estimates(cells, ["state", "hcpcs", "year"]), published, ["hcpcs"], 50000.0, F.when(F.col("year") >= 1996, "1996").otherwise("1992"))
 
 
 RATES_CTE = f"""{SPEND}, {STATES}, sp AS (SELECT spend.*, state, entity_type, taxonomy, enum_date FROM spend JOIN states USING (npi)),
@@ -27,18 +27,19 @@ cells AS (SELECT state, hcpcs, year, CAST(paid_c AS DOUBLE) / lines AS ppl, subs
 med AS (SELECT state, hcpcs, year, median(ppl) AS p50 FROM cells GROUP BY ALL),
 est AS (SELECT state, hcpcs, year, crossover, count(*) AS n_cells, quantile_cont(ppl, 0.05) AS p05, quantile_cont(ppl, 0.05) FILTER (WHERE ppl >= 0.2::DOUBLE * p50) AS p05_trim, quantile_cont(ppl, 0.25) AS p25, p50, quantile_cont(ppl, 0.75) AS p75
   FROM cells JOIN med USING (state, hcpcs, year) GROUP BY state, hcpcs, year, crossover, p50 HAVING count(*) >= 30),
-pub AS (SELECT p_brand AS hcpcs, min(round(p_retailprice * 100)) AS published_base, max(round(p_retailprice * 100)) AS published_max FROM part WHERE p_size = 7 GROUP BY 1),
-r0 AS (SELECT est.*, published_base, published_max, CASE WHEN crossover THEN p50 ELSE coalesce(p05_trim, p05) END AS rate_est FROM est LEFT JOIN pub USING (hcpcs)),
+pv AS (SELECT p_brand AS hcpcs, CASE WHEN p_partkey % 3 = 0 THEN '1996' ELSE '1992' END AS version, min(round(p_retailprice * 100)) AS base, max(round(p_retailprice * 100)) AS top FROM part WHERE p_size = 7 GROUP BY 1, 2),
+pub AS (SELECT hcpcs, arg_max(base, version) AS last_base, max(top) AS published_max FROM pv GROUP BY 1),
+r0 AS (SELECT est.*, coalesce(pv.base, last_base) AS published_base, published_max, CASE WHEN crossover THEN p50 ELSE coalesce(p05_trim, p05) END AS rate_est FROM est LEFT JOIN pub ON pub.hcpcs = est.hcpcs LEFT JOIN pv ON pv.hcpcs = est.hcpcs AND pv.version = CASE WHEN est.year >= 1996 THEN '1996' ELSE '1992' END),
 rates AS (SELECT *, CASE WHEN coalesce(published_max, rate_est) >= 50000 THEN coalesce(published_max, rate_est) END AS rate_pt, CASE WHEN coalesce(published_max, rate_est) >= 50000 THEN 1.5::DOUBLE * coalesce(published_max, rate_est) END AS rate_cons,
   CASE WHEN published_base IS NOT NULL THEN 'published' WHEN coalesce(rate_est, 0) < 50000 THEN 'no_rate' WHEN crossover THEN 'median' ELSE 'p05_trimmed' END AS rate_source FROM r0)"""
 
 
 def rates(spark, sf_dir):
-    x = _rates(spark, sf_dir)
-    return x.select("state", "hcpcs", "year", "crossover", "n_cells", *(r4(F.col(c)).alias(c) for c in ("p05", "p05_trim", "p25", "p50", "p75", "rate_est", "rate_pt", "rate_cons", "published_base")), "rate_source")
+    x = _rates(spark, sf_dir)  # to a tenth of a cent: the engines round ties of quarters and eighths differently
+    return x.select("state", "hcpcs", "year", "crossover", "n_cells", *(F.round(c, 1).alias(c) for c in ("p05", "p05_trim", "p25", "p50", "p75", "rate_est", "rate_pt", "rate_cons", "published_base")), "rate_source")
 
 
-RATES = f"WITH {RATES_CTE} SELECT state, hcpcs, year, crossover, n_cells, {', '.join(f'round({c}, 4) AS {c}' for c in ('p05', 'p05_trim', 'p25', 'p50', 'p75', 'rate_est', 'rate_pt', 'rate_cons', 'published_base'))}, rate_source FROM rates"
+RATES = f"WITH {RATES_CTE} SELECT state, hcpcs, year, crossover, n_cells, {', '.join(f'round({c}, 1) AS {c}' for c in ('p05', 'p05_trim', 'p25', 'p50', 'p75', 'rate_est', 'rate_pt', 'rate_cons', 'published_base'))}, rate_source FROM rates"
 
 
 def rate_error(spark, sf_dir):

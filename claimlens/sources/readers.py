@@ -25,16 +25,35 @@ def json_lines(spark: SparkSession, path, schema: str | T.StructType) -> DataFra
     return spark.read.schema(schema).json(path)
 
 
-def union_files(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
-    """Files with different columns, aligned by name, with the file's name and the year that it has (20xx)."""
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, sorted; through Spark's file systems, so any store will do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(s.getPath().toString() for s in found or [])
+
+
+def union_files(spark: SparkSession, paths: str | list[str], sep: str = ",") -> DataFrame:
+    """Files (a list of paths, or a pattern) with different columns, aligned by name, with the file's name and the year that
+    it has (20xx). Files with the same header are read together, so a thousand alike make one branch of the plan."""
+    found = files(spark, paths) if isinstance(paths, str) else paths
+    if not found:
+        raise FileNotFoundError(str(paths))
+    alike: dict[tuple, list[str]] = {}
+    for p in found:
+        alike.setdefault(tuple(delimited(spark, p, sep).columns), []).append(p)
     out = None
-    for p in paths:
-        x = delimited(spark, p, sep)
-        x = x.withColumn("filename", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    for group in alike.values():
+        x = delimited(spark, group, sep).withColumn("filename", F.element_at(F.split(F.input_file_name(), "/"), -1))
         out = x if out is None else out.unionByName(x, allowMissingColumns=True)
     return out.withColumn("file_year", F.regexp_extract("filename", r"(20\d\d)", 1).try_cast("int"))
 
 
+def with_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """df with each column (name: type) that it lacks, null."""
+    have = {c.lower() for c in df.columns}
+    return df.withColumns({n: F.lit(None).cast(t) for n, t in wanted.items() if n.lower() not in have})
+
+
 def columns_like(df: DataFrame, pattern: str) -> list[str]:
     import re
 
@@ -53,11 +72,8 @@ def table_or_empty(spark: SparkSession, name: str, schema: str | T.StructType) -
 
 
 def newest(spark: SparkSession, pattern: str) -> str:
-    """The path that sorts last among those that match; through Spark's file systems, so any store will do."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    names = sorted(s.getPath().toString() for s in found or [])
+    """The path that sorts last among those that match."""
+    names = files(spark, pattern)
     if not names:
         raise FileNotFoundError(pattern)
     return names[-1]
@@ -88,25 +104,47 @@ def repaired_text(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(fix, "value string")
 
 
+_CODES = "coding: array<struct<system: string, code: string>>"
+_ID = f"identifier: struct<system: string, value: string, type: struct<{_CODES}>>"
 BUNDLE = (
-    "entry array<struct<resource: struct<resourceType: string, id: string, type: struct<text: string>, billablePeriod: struct<start: string, `end`: string>, "
-    "careTeam: array<struct<provider: struct<identifier: struct<value: string>>>>, provider: struct<identifier: struct<value: string>>, "
-    "contained: array<struct<identifier: array<struct<system: string, value: string>>>>, payment: struct<amount: struct<value: double>>, "
-    "total: array<struct<category: struct<text: string>, amount: struct<value: double>>>, item: array<struct<productOrService: struct<coding: array<struct<code: string>>>>>>>>"
+    f"entry array<struct<resource: struct<resourceType: string, id: string, type: struct<{_CODES}>, billablePeriod: struct<start: string, `end`: string>, "
+    f"careTeam: array<struct<provider: struct<{_ID}>>>, provider: struct<{_ID}>, contained: array<struct<identifier: array<struct<system: string, value: string, type: struct<{_CODES}>>>>>, "
+    f"payment: struct<amount: struct<value: double>>, total: array<struct<category: struct<{_CODES}>, amount: struct<value: double>>>, diagnosis: array<struct<diagnosisCodeableConcept: struct<{_CODES}>>>, "
+    f"item: array<struct<productOrService: struct<{_CODES}>, adjudication: array<struct<category: struct<{_CODES}>, amount: struct<value: double>>>>>>>>"
 )
+# Codes of totals and of line amounts that are payments; how many codes a claim shows.
+PAID_TOTALS = ("benefit", "paidtoprovider", "paidbyinsurer")
+PAID_LINES = ("benefit", "paidtoprovider")
+MAX_CODES, MAX_DIAGNOSES = 12, 6
 
 
 def claims_from_bundles(df: DataFrame, column: str) -> DataFrame:
-    """Benefit bundles (JSON text) as claims: id, type, start, end, npis, paid, codes."""
+    """Benefit bundles (JSON text) as claims: id, type, start, end, npis, paid, codes, diagnoses. The type is the code of the
+    eob-type system, else the first; numbers are those of the care team, the provider and contained parties that say they
+    are NPIs (the care team's also if they say nothing); paid is the payment, else the first total that is one, else the sum
+    of the lines' amounts that are, null if that is zero."""
     r = F.col("r")
+    none = lambda c: F.coalesce(c, F.array())
+    first = lambda concept: F.get(concept["coding"], F.lit(0))["code"]
     x = df.select(F.explode(F.from_json(column, BUNDLE)["entry"]["resource"]).alias("r")).where(r["resourceType"] == "ExplanationOfBenefit")
-    team = F.transform(F.coalesce(r["careTeam"], F.array()), lambda t: t["provider"]["identifier"]["value"])
-    held = F.flatten(F.transform(F.coalesce(r["contained"], F.array()), lambda c: F.transform(F.filter(F.coalesce(c["identifier"], F.array()), lambda i: i["system"].contains("npi")), lambda i: i["value"])))
-    npis = F.array_sort(F.array_distinct(F.filter(F.concat(team, F.array(r["provider"]["identifier"]["value"]), held), lambda n: n.rlike("^[12][0-9]{9}$"))))
-    codes = F.array_distinct(F.flatten(F.transform(F.coalesce(r["item"], F.array()), lambda i: F.transform(F.coalesce(i["productOrService"]["coding"], F.array()), lambda c: c["code"]))))
-    total = F.element_at(F.filter(F.coalesce(r["total"], F.array()), lambda t: F.lower(t["category"]["text"]).contains("paid")), 1)
-    paid = F.coalesce(r["payment"]["amount"]["value"], F.when(F.size(F.filter(F.coalesce(r["total"], F.array()), lambda t: F.lower(t["category"]["text"]).contains("paid"))) > 0, total["amount"]["value"]))
-    return x.select(r["id"].alias("id"), r["type"]["text"].alias("type"), F.substring(r["billablePeriod"]["start"], 1, 10).try_cast("date").alias("start"), F.substring(r["billablePeriod"]["end"], 1, 10).try_cast("date").alias("end"), npis.alias("npis"), paid.alias("paid"), codes.alias("codes"))
+    shape = lambda i: F.coalesce(i["value"].rlike("^[0-9]{10}$"), F.lit(False))
+    by_system = lambda i: F.coalesce(F.lower(i["system"]).contains("npi"), F.lit(False))
+    by_code = lambda i: F.coalesce(F.lower(first(i["type"])) == "npi", F.lit(False))
+    team = F.filter(F.transform(none(r["careTeam"]), lambda t: t["provider"]["identifier"]), lambda i: shape(i) & (by_system(i) | by_code(i) | (F.coalesce(first(i["type"]), F.lit("")) == "")))
+    own = F.filter(F.array(r["provider"]["identifier"]), lambda i: shape(i) & by_system(i))
+    held = F.filter(F.flatten(F.transform(none(r["contained"]), lambda c: F.coalesce(c["identifier"], F.array()))), lambda i: shape(i) & (by_system(i) | by_code(i)))
+    npis = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.transform(a, lambda i: i["value"]) for a in (team, own, held))))))
+    kinds = F.filter(none(r["type"]["coding"]), lambda c: F.coalesce(c["system"].contains("eob-type"), F.lit(False)))
+    kind = F.coalesce(F.get(kinds, F.lit(0))["code"], first(r["type"]))
+    total = F.get(F.filter(none(r["total"]), lambda t: first(t["category"]).isin(*PAID_TOTALS)), F.lit(0))
+    amounts = F.flatten(F.transform(none(r["item"]), lambda i: none(i["adjudication"])))
+    lines = F.filter(amounts, lambda a: F.coalesce(first(a["category"]).isin(*PAID_LINES) | first(a["category"]).endswith("_pmt_amt"), F.lit(False)))
+    summed = F.round(F.aggregate(lines, F.lit(0.0), lambda acc, a: acc + F.coalesce(a["amount"]["value"], F.lit(0.0))), 2)
+    paid = F.coalesce(r["payment"]["amount"]["value"], F.when(total.isNotNull(), F.coalesce(total["amount"]["value"], F.lit(0.0))), F.nullif(summed, F.lit(0.0)))
+    codes = F.filter(F.flatten(F.transform(none(r["item"]), lambda i: F.transform(none(i["productOrService"]["coding"]), lambda c: c["code"]))), lambda c: c.isNotNull() & (c != ""))
+    diagnoses = F.slice(F.transform(none(r["diagnosis"]), lambda d: first(d["diagnosisCodeableConcept"])), 1, MAX_DIAGNOSES)
+    day = lambda c: F.substring(c, 1, 10).try_cast("date")
+    return x.select(r["id"].alias("id"), kind.alias("type"), day(r["billablePeriod"]["start"]).alias("start"), day(r["billablePeriod"]["end"]).alias("end"), npis.alias("npis"), paid.alias("paid"), F.slice(codes, 1, MAX_CODES).alias("codes"), diagnoses.alias("diagnoses"))
 
 
 def strip_html(c) -> Column:

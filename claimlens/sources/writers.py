@@ -35,6 +35,11 @@ def upsert(df: DataFrame, path: str, keys: list[str]) -> str:
     return new
 
 
+def append_json_lines(df: DataFrame, path: str) -> None:
+    """JSON lines added to a folder, null fields left out: what the feed's stream reads."""
+    df.write.mode("append").json(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

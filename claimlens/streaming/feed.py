@@ -3,11 +3,14 @@ one event collapsed, and what was processed before left out. Windows over events
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions.keys import event_key
 from claimlens.operators.ranking import best_row
+from claimlens.session import exists
 
 SCHEMA = "source string, source_id string, url string, source_url string, title string, published date, category string, district string, state string, body string, fetched_at timestamp"
 PREFERRED = "DOJ"
@@ -46,16 +49,34 @@ def run(stream: DataFrame, store: str, checkpoint: str):
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = collapse(latest(batch))
-        try:
-            fresh = new_events(fresh, spark.read.parquet(store))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
+        if exists(spark, f"{store}/_SUCCESS"):  # written once a batch has been stored; only the keys are read
+            fresh = new_events(fresh, spark.read.parquet(store).select("event_key"))
         fresh.write.mode("append").parquet(store)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def since(spark: SparkSession, store: str, overlap_days: int = 3, daily_days: int | None = None, today: str | None = None):
+    """The day from which releases are fetched again: the newest stored one's less the overlap; in the daily mode today less
+    so many days; None for an empty store, so everything is fetched."""
+    if daily_days is not None:
+        return spark.range(1).select(F.date_sub(F.lit(today).cast("date") if today else F.current_date(), daily_days)).first()[0]
+    if not exists(spark, f"{store}/_SUCCESS"):
+        return None
+    return spark.read.parquet(store).agg(F.date_sub(F.max("published"), overlap_days)).first()[0]
+
+
+def chain(steps: list[tuple[str, Callable[[], object]]], publish: Callable[[], object]) -> list[str]:
+    """Run the steps in order and publish at the end; the first failure stops the chain, so nothing half done is published.
+    Returns the names of what ran."""
+    done = []
+    for name, step in steps:
+        step()
+        done.append(name)
+    publish()
+    return [*done, "publish"]
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and sums by window and type; works on streams and tables."""
     x = events.withWatermark("ts", late) if events.isStreaming else events

@@ -97,3 +97,21 @@ def test_validators_and_dates(spark):
     assert one(spark, keys.district_state(F.lit("Southern District of Texas"), {"Texas": "TX", "New York": "NY"})) == "TX"
     assert one(spark, keys.district_state(F.lit("elsewhere"), {"Texas": "TX"})) is None
     assert [str(one(spark, keys.press_date(F.lit(d)))) for d in ("Jan. 5, 2024", "January 5, 2024", "Sept. 3, 2023", "soon")] == ["2024-01-05", "2024-01-05", "2023-09-03", "None"]
+
+
+def test_release_texts(spark):
+    assert one(spark, keys.district_state(F.lit("USAO - Florida, Southern"))) == "FL"
+    assert one(spark, keys.district_state(F.lit("USAO - District of Columbia"))) == "DC" == one(spark, keys.district_state(F.lit("District of Columbia")))
+    assert one(spark, keys.district_state(F.lit("Criminal Division"))) is None
+    body = "Owners of Golden Sun Hospice, Inc. and Bright Path Home Health LLC were named. Medical Fraud Scheme Pharmacy. golden clinic."
+    assert one(spark, keys.company_names(F.lit(body))) == ["Golden Sun Hospice, Inc", "Bright Path Home Health LLC"]
+    assert one(spark, keys.company_names(F.lit(None).cast("string"))) == []
+    assert one(spark, keys.pretty_source(F.lit("MEDICARE_REVOKED,STATE_EXCL_TX,SAM_OPM_X,DOJ_CHARGED,OTHER_LIST"))) == "the Medicare revocation list and the TX Medicaid exclusion list and the SAM.gov exclusion list (OPM X) and a Department of Justice release and other list"
+    assert one(spark, keys.reason_list(F.lit("over the cap in 2 month(s); paid in 1 months.; ;"))) == ["Over the cap in 2 months.", "Paid in 1 month."]
+    rules = {"sentenced": "Owner sentenced", "convicted": "jury finds owner", "civil_judgment": "a judgment", "civil_settlement": "to pay $5", "indicted": "indictment", "arrested": "arrested", "charged": "charges filed", "complaint": "complaint", "exclusion": "exclusion", "payment_suspension": "suspended", "license_action": "license", "other": "news"}
+    assert {one(spark, keys.action_type(F.lit(t))): t for t in rules.values()} == rules
+
+
+def test_flag_ids(spark):
+    df = spark.range(1000).select(casts.flag_id(F.lit("D3"), F.col("id")).alias("i"))
+    assert df.where("i < 0").count() == 0 and df.distinct().count() == 1000

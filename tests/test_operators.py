@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens.operators import network as net
-from claimlens.operators import predict, serve, sets
-from claimlens.operators.blocking import pairs_in_blocks
+from claimlens.operators import factors, fusion, graph, predict, serve, sets
+from claimlens.operators.blocking import containing, pairs_in_blocks
 from claimlens.operators.graph import components
 from claimlens.operators.ranking import burst, framed_median, global_rank
 from claimlens.operators.resolve import fit, resolve
@@ -29,8 +29,10 @@ def union_find(edges):
     return {x: find(x) for x in list(root)}
 
 
+@pytest.mark.parametrize("links", [graph.LINKS, 1])
 @pytest.mark.parametrize("kind", ["random", "path", "star", "empty", "loops"])
-def test_components(spark, kind):
+def test_components(spark, kind, links, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS", links)
     rnd = random.Random(5)
     edges = {
         "random": [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)],
@@ -196,3 +198,71 @@ def test_profile_and_payload(spark):
     m = spark.createDataFrame([("provider:1", "c"), ("provider:2", "c")], "node string, community string")
     e = spark.createDataFrame([("provider:1", "provider:2", "addr", 0.6)], "src string, dst string, rel string, weight double")
     assert '"src":"provider:1"' in net.payload(m, e).first().graph
+
+
+def test_containing(spark):
+    rnd = random.Random(9)
+    names = ["".join(rnd.choice("AB") for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
+    a = [(i, "X" if i % 3 else "Y", n) for i, n in enumerate(names[:30]) if len(n) >= 3]
+    b = [(i, "X" if i % 2 else "Y", n) for i, n in enumerate(names[30:])]
+    got = {(r.sid, r.lid) for r in containing(spark.createDataFrame(a, "sid long, state string, name string"), spark.createDataFrame(b, "lid long, state string, name string"), 3).collect()}
+    assert got == {(i, j) for i, s, n in a for j, t, m in b if s == t and n in m} and got
+
+
+def test_sampling(spark):
+    df = spark.range(5000).withColumn("y", (F.col("id") % 50 == 0).cast("int"))
+    assert sets.sample_rows(df, 200, "id", 1).count() == 200 and sets.sample_rows(df.limit(5), 200, "id").count() == 5
+    one, two = ({r.id for r in sets.sample_rows(df.repartition(n), 50, "id", 1).collect()} for n in (2, 5))
+    assert one == two != {r.id for r in sets.sample_rows(df, 50, "id", 2).collect()}
+    shares = {r.y: r.s for r in df.groupBy("y").agg(F.avg(sets.stratified_split("id", "y", 0.7).cast("int")).alias("s")).collect()}
+    assert abs(shares[0] - 0.7) < 0.03 and abs(shares[1] - 0.7) < 0.2
+
+
+def test_umbrella_and_tiers(spark):
+    volume = [(1, "1", 2, 0, 0, 0, 3, 10, 5), (2, "1", 2, 0, 0, 0, 3, 600, 5), (3, "1", 2, 0, 0, 0, 3, 10, 5), (4, "2", 1, 0, 0, 0, 1, 900, 5), (5, "1", 0, 1, 0, 0, 1, 900, 5), (6, "1", 0, 0, 1, 0, 1, 9, 5), (7, "1", 0, 0, 0, 0, 1, 9, 5)]
+    df = spark.createDataFrame(volume, "npi long, entity_type string, impossible long, over_cap long, umbrella_months long, implausible long, orgs long, max_patients long, d2_c long")
+    pairs = spark.createDataFrame([(i, "big") for i in range(100, 129)] + [(3, "big"), (1, "small")], "npi long, billing string")
+    got = {r.npi: r.d2_tier for r in fusion.volume_findings(df, fusion.umbrella_size(pairs)).collect()}
+    assert got == {1: "A", 2: "B", 3: "B", 4: "A", 5: "A", 6: "C"}
+
+
+def test_outlook_bands(spark):
+    zs = {"a": 1.0, "b": 0.3, "c": 0.0, "d": -0.3, "e": -2.0, "f": None}
+    desk = spark.createDataFrame([(k, "velocity", z) for k, z in zs.items()], "community string, factor string, z double")
+    got = {r.community: r.outlook for r in factors.momentum(desk).collect()}
+    assert got == {"a": "rising fast", "b": "rising", "c": "steady", "d": "cooling", "e": "cooling", "f": None}
+    assert len(factors.FACTORS) == 30 and set(factors.GIVEN) < set(factors.FACTORS)
+
+
+def test_parse_query():
+    parse = lambda t: {k: v for k, v in serve.parse_query(t).items() if v}
+    assert parse("mayo clinic MN") == {"name": "mayo clinic", "state": "MN"}
+    assert parse("we care transport in overland park kansas") == {"name": "we care transport", "city": "overland park", "state": "KS"}
+    assert parse("smith, john west virginia") == {"name": "smith", "city": "john", "state": "WV"}
+    assert parse("sunrise hospice, los angeles, CA") == {"name": "sunrise hospice", "city": "los angeles", "state": "CA"}
+    assert parse("x 1234567893 y") == {"npi": "1234567893"}
+    assert parse("in") == {"name": "in"} and parse("  ") == {}
+
+
+def test_hubs_in_payload(spark):
+    e = spark.createDataFrame([("provider:1", "addr:a", "addr", 1.0), ("provider:2", "addr:a", "addr", 1.0), ("provider:1", "mail:h", "mail", 1.0), ("provider:9", "mail:h", "mail", 1.0)], "src string, dst string, rel string, weight double")
+    m = spark.createDataFrame([("provider:1", "c"), ("provider:2", "c"), ("addr:a", "c")], "node string, community string")
+    import json
+
+    graph_ = json.loads(net.payload(m, e, spark.createDataFrame([("mail:h",)], "node string")).first().graph)
+    assert graph_["hubs"] == ["mail:h"] and len(graph_["links"]) == 2 and graph_["hub_links"] == [{"src": "provider:1", "dst": "mail:h", "rel": "mail"}]
+
+
+def test_resolve_by_given_ids(spark):
+    from claimlens.operators.listed import put_flags
+    from claimlens.operators.resolve import resolve_orgs
+
+    rows = [(1, "GOLDEN SUN HOSPICE", "CA", "a1"), (2, "OTHER NAME", "NV", "a1"), (3, "GOLDEN SUN HOSPICE", "CA", ""), (4, "GOLDEN SUN HOSPICE CARE", "CA", None), (5, "GOLDEN SUN HOSPICE", "TX", None), (6, None, "CA", "a1"), (7, "", None, None)]
+    df = spark.createDataFrame(rows, "id long, key string, state string, associate string")
+    assert {r.id: r.org for r in resolve_orgs(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7}
+    people = spark.createDataFrame([(1, "CA", "SMITH", "ANN", "", "", "", "", "p9"), (2, "TX", "JONES", "BOB", "", "", "", "", "p9"), (3, "TX", "BROWN", "CAT", "", "", "", "", "")], "id long, state string, last string, first string, mi string, zip string, city string, street string, given string")
+    assert {r.id: r.person for r in resolve(people, associate="given")[0].collect()} == {1: 1, 2: 1, 3: 3}
+    flag = lambda i, d, x: (i, d, x, "{}")
+    old = spark.createDataFrame([flag(1, "D2", 1.0), flag(2, "D3", 2.0)], "id long, detector string, dollars double, evidence string")
+    new = spark.createDataFrame([flag(3, "D3", 5.0), flag(3, "D3", 7.0)], old.schema)
+    assert sorted((r.id, r.dollars) for r in put_flags(old, new, "D3").collect()) == [(1, 1.0), (3, 7.0)]

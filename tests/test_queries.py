@@ -15,18 +15,29 @@ def test_entry_and_names(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["paid_after", "clean_role_dedupe", "agg_mad_robust_z", "win_framed_median", "join_contains", "volume_rates", "listed_paid_after", "serve_verify_claims"])
-def test_query(spark, name):
-    import duckdb
+def names():
+    from claimlens.plans import registry
 
-    import __spark_entry__ as e
+    return sorted(registry.oracle_sql())
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
 
     c = duckdb.connect()
     for f in os.listdir(SF):
         c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
-    df = e.queries()[name](spark, SF)
+    return c
+
+
+@pytest.mark.parametrize("name", names())
+def test_query(spark, duck, name):
+    from claimlens.plans import registry
+
+    df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
-    q = c.execute(e.oracle_sql()[name])
+    q = duck.execute(registry.oracle_sql()[name])
     at = {d[0]: i for i, d in enumerate(q.description)}
     show = lambda v: f"{v:.9g}" if isinstance(v, float) else repr(v)
     assert sorted(at) == cols
