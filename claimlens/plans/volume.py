@@ -35,11 +35,11 @@ rates AS (SELECT *, CASE WHEN coalesce(published_max, rate_est) >= 50000 THEN co
 
 
 def rates(spark, sf_dir):
-    x = _rates(spark, sf_dir)  # to a tenth of a cent: the engines round ties of quarters and eighths differently
-    return x.select("state", "hcpcs", "year", "crossover", "n_cells", *(F.round(c, 1).alias(c) for c in ("p05", "p05_trim", "p25", "p50", "p75", "rate_est", "rate_pt", "rate_cons", "published_base")), "rate_source")
+    x = _rates(spark, sf_dir)  # seven digits: no quotient of these tables lies between two of them, where engines round differently
+    return x.select("state", "hcpcs", "year", "crossover", "n_cells", *(F.round(c, 7).alias(c) for c in ("p05", "p05_trim", "p25", "p50", "p75", "rate_est", "rate_pt", "rate_cons", "published_base")), "rate_source")
 
 
-RATES = f"WITH {RATES_CTE} SELECT state, hcpcs, year, crossover, n_cells, {', '.join(f'round({c}, 1) AS {c}' for c in ('p05', 'p05_trim', 'p25', 'p50', 'p75', 'rate_est', 'rate_pt', 'rate_cons', 'published_base'))}, rate_source FROM rates"
+RATES = f"WITH {RATES_CTE} SELECT state, hcpcs, year, crossover, n_cells, {', '.join(f'round({c}, 7) AS {c}' for c in ('p05', 'p05_trim', 'p25', 'p50', 'p75', 'rate_est', 'rate_pt', 'rate_cons', 'published_base'))}, rate_source FROM rates"
 
 
 def rate_error(spark, sf_dir):
