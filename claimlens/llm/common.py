@@ -1,28 +1,31 @@
-"""Shared by the operators: tables, batches and bounded samples."""
+"""Shared by the operators: tables, workers' memory and bounded samples."""
 
 from __future__ import annotations
 
-import zlib
+import ctypes
+import gc
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A frame of at most so many (id, small value) rows may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def limited(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
-
-
-def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches; when they end, the worker, which Spark keeps for later tasks, gives back what it no longer needs."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
 
 
 def unit_hash(col: str, seed: int) -> Column:
@@ -33,6 +36,3 @@ def unit_hash(col: str, seed: int) -> Column:
 def crc_mod(col: str, m: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
 
-
-def crc_mod_py(value: int, m: int) -> int:
-    return zlib.crc32(str(value).encode()) % m

@@ -12,12 +12,11 @@ threshold, so the product is never formed for pairs, only for what the bounds le
 3. For the classes left, a second product over whole sets gives each hash's document frequency. A class whose
    hashes of frequency 1 fill its prefix of floor(n/4) + 1, rarest first, can't link. The others keep their shared
    hashes, rarest first.
-4. Classes with a common prefix hash are candidates; candidates that hang together form groups. A group within
-   GROUP_BYTES is solved in one task by a search that compares each class only with those not reached yet. Larger
-   groups are solved by rounds over all tasks: members of a block are compared with one pivot of the block, linked
-   classes are joined into components, and members already in one component need no further pair; when few pairs
-   of different components remain, all of them are compared. So a group of n near copies takes about n
-   comparisons, and no link between components is lost.
+4. Classes with a common prefix hash are candidates, if the hash's places among those of both (rarest first) leave
+   room for the overlap that a link needs. Rounds over all tasks compare the members of a block (the classes with one
+   prefix hash) with a few of them, its pivots, which then leave it; linked classes are joined into components, and
+   blocks whose members are all in one component need no further pair. So a block of n near copies takes about n
+   comparisons, every pair that could link two components is compared, and no block is ever gathered in a task.
 
 Set elements are 64-bit hashes of five lower-cased words; an error needs two unequal shingles of the same two
 texts to collide (below n*n / 2**64 for texts of n shingles)."""
@@ -26,26 +25,31 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import documents, limited
+from claimlens.llm.common import documents, given_back
 from claimlens.llm.textcols import mix, shingle_sets
 from claimlens.operators.graph import components
-from claimlens.session import discard, materialize, partitions, sweep
+from claimlens.session import counted, discard, limited, materialize, partitions, sweep
 
 #: Entries that a task holds before it sends them to their blocks.
 GROUP = 600_000
 #: Blocks of columns for each shuffle partition; more blocks spread evener and need less memory each.
 BLOCKS = 2
-#: Candidate groups with more bytes of shared hashes than this are not solved within one task.
-GROUP_BYTES = 24_000_000
-#: Pivot rounds go on while more pairs than this, for each class, are left.
-PAIRS_PER_CLASS = 8
-MAX_PIVOT_ROUNDS = 8
+#: What a round after the second may do, if more than one pivot of each block leaves it room: tries, of which the sizes
+#: and places of most leave no overlap to count, and pairs that are compared (as many as the last round's tries let
+#: expect). Both grow with the classes.
+TRIES, TRIES_PER_CLASS = 20_000_000, 64
+PAIRS, PAIRS_PER_CLASS = 200_000, 2
+#: Pivots of a block in a round, which go to its members as an array: in the first, in the second, and at most.
+FEW_PIVOTS = (1, 6)
+MAX_PIVOTS = 1024
 
 BLOB = pa.schema([("block", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 BLOB_SQL = "block int, kind byte, a binary, b binary, c binary, d binary"
@@ -79,18 +83,24 @@ def _by_block(h: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
         yield i, int(edges[i]), int(edges[i + 1])
 
 
-def _prefix_blobs(batches, width: int, salt: int):
+def _task() -> int:
+    """The number of the task, so that what belongs to no block is dealt evenly."""
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
+def _prefix_blobs(batches, width: int):
     """kind 0: sorted hashes of a block within its range (uint32 of the high bits) and the class of each, 0 for
     several classes; kind 1: classes and how many hashes each shares within the group; kind 2: doc_id, class, n."""
     shift = max(0, (width - 1).bit_length() - 32)
-    hs, ds, rows, waiting, sent = [], [], [], 0, 0
+    hs, ds, rows, waiting, sent = [], [], [], 0, _task()
 
     def flush():
         nonlocal hs, ds, rows, waiting, sent
         out = []
         if rows:
             ids, d1, d2, n = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.int64, np.uint64, np.uint64, np.int64), strict=True))
-            out.append((-1 - sent % 997, 2, ids.tobytes(), d1.tobytes(), d2.tobytes(), n.tobytes()))
+            out.append((-1 - sent, 2, ids.tobytes(), d1.tobytes(), d2.tobytes(), n.tobytes()))
         if hs:
             h, d = np.concatenate(hs), np.concatenate(ds)
             order = np.argsort(h, kind="stable")
@@ -100,11 +110,11 @@ def _prefix_blobs(batches, width: int, salt: int):
             several = np.repeat((np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)), last - first + 1)
             who, count = np.unique(d[several], return_counts=True)
             if len(who):
-                out.append((-1 - sent % 997, 1, who.tobytes(), count.astype(np.int64).tobytes(), b"", b""))
+                out.append((-1 - sent, 1, who.tobytes(), count.astype(np.int64).tobytes(), b"", b""))
             h, d = h[first], np.where(several[first], U(0), d[first])
             for i, a, b in _by_block(h, width):
                 out.append((i, 0, ((h[a:b] - U(i * width)) >> U(shift)).astype(np.uint32).tobytes(), d[a:b].tobytes(), b"", b""))
-        hs, ds, rows, waiting, sent = [], [], [], 0, sent + 1
+        hs, ds, rows, waiting, sent = [], [], [], 0, sent + 13
         yield from _blobs(out)
 
     seen: set[int] = set()
@@ -182,7 +192,7 @@ def _set_blobs(batches, width: int):
     """Whole sets of (doc_id, text, class): kind 0 has sorted hashes of a block and the class of each, kind 1 classes and
     their set sizes. A row whose set is of another class than asked for is left out, and a class that several rows have
     is sent once."""
-    hs, ids, waiting, sent = [], [], 0, 0
+    hs, ids, waiting, sent = [], [], 0, _task()
     seen: set[int] = set()
 
     def flush():
@@ -193,8 +203,8 @@ def _set_blobs(batches, width: int):
             d = np.repeat(reps, n)
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
-            yield from _blobs([(-1 - sent % 997, 1, reps.tobytes(), n.tobytes(), b"", b""), *((i, 0, h[a:b].tobytes(), d[a:b].tobytes(), b"", b"") for i, a, b in _by_block(h, width))])
-        hs, ids, waiting, sent = [], [], 0, sent + 1
+            yield from _blobs([(-1 - sent, 1, reps.tobytes(), n.tobytes(), b"", b""), *((i, 0, h[a:b].tobytes(), d[a:b].tobytes(), b"", b"") for i, a, b in _by_block(h, width))])
+        hs, ids, waiting, sent = [], [], 0, sent + 13
 
     for x in batches:
         for asked, s in zip(x.column(2).to_pylist(), shingle_sets(x.column(1)), strict=True):
@@ -275,11 +285,13 @@ def _ordered(batches):
                 out = []
 
 
+LINKS_SQL = "a long, b long, la long, lb long"
+
+
 def _overlaps(batches):
-    """Pairs whose exact overlap reaches the threshold."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Pairs whose exact overlap reaches the threshold, with their labels."""
     for x in batches:
-        a, b, na, nb, ha, hb = x.columns
+        *pair, na, nb, ha, hb = x.columns
         keep = []
         for i, (m, n, p, q) in enumerate(zip(na.to_pylist(), nb.to_pylist(), ha, hb, strict=True)):
             p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
@@ -288,22 +300,34 @@ def _overlaps(batches):
             if 100 * o >= 75 * (m + n - o):
                 keep.append(i)
         keep = pa.array(keep, pa.int64())
-        yield pa.record_batch([a.take(keep), b.take(keep)], schema=schema)
+        yield pa.record_batch([c.take(keep) for c in pair], names=["a", "b", "la", "lb"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
+#: Bytes of all sets' shared hashes up to which they are broadcast.
+BROADCAST_BYTES = 16_000_000
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, small: bool) -> DataFrame:
+    """Those of pairs (a, b, la, lb) that link. Each pair carries the hashes of its b to those of its a, unless the sets are
+    small enough to be everywhere."""
+    sets = F.broadcast(sets) if small else sets.hint("merge")
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ha", "hb")
-    return both.mapInArrow(_overlaps, "a long, b long")
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "na", "nb", "ha", "hb")
+    return both.mapInArrow(lambda it: given_back(_overlaps(it)), LINKS_SQL)
+
+
+def _dealt(blobs: DataFrame) -> DataFrame:
+    """blobs with each block in the partition of its number, so that all partitions have as many, sorted by block."""
+    parts = partitions(blobs.sparkSession)
+    return blobs.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).sortWithinPartitions("block")
 
 
 def _width(spark: SparkSession) -> int:
     return -(-(1 << 64) // max(1, partitions(spark) * BLOCKS))
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairs: int = PAIRS) -> tuple[DataFrame, DataFrame]:
     """(classes, edges). classes: a row for each row of docs with doc_id, n_shingles, rep (the smallest doc_id with the
     same set; itself without words) and class (of its set; null without words). edges (a, b): pairs of classes that
     link, enough of them that rows have a path of edges and common classes exactly if they have a path of links. Rows
@@ -313,125 +337,111 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_byt
     width, parts = _width(spark), partitions(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    dealt = base.mapInArrow(lambda it: _prefix_blobs(it, width, 0), BLOB_SQL)
-    counted = dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared_counts, "kind byte, doc_id long, d1 long, d2 long, n long")
-    counted = materialize(counted, "near-counts")
-    rows = counted.where("kind = 2")
+    dealt = base.mapInArrow(lambda it: given_back(_prefix_blobs(it, width)), BLOB_SQL)
+    counts = dealt.transform(_dealt).mapInArrow(lambda it: given_back(_shared_counts(it)), "kind byte, doc_id long, d1 long, d2 long, n long")
+    counts = materialize(counts, "near-counts")
+    rows = counts.where("kind = 2")
     # written first, so that the join back has a shuffle of its own, which Spark can split where one set has many copies
-    reps = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "near-reps")
-    shared = counted.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("shared"))
-    left = materialize(reps.join(shared, "d1").where("32 * shared >= 3 * n").select("rep", "d1"), "near-left")
+    reps, _ = counted(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "near-reps")
+    shared = counts.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("shared"))
+    left, _ = counted(reps.join(shared, "d1").where("32 * shared >= 3 * n").select(F.col("rep").alias("doc_id"), F.col("d1").alias("class")), "near-left")
     classes = rows.where("n > 0").join(reps.drop("n"), ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep", F.col("d1").alias("class"))
     classes = materialize(classes.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("rep"), F.lit(None).cast("long").alias("class"))), "near-classes")
     del dealt, rows, shared
-    discard(counted)
+    discard(counts, reps)
     sweep(spark)
 
     # from here on a class goes by its own number, as an id may stand on rows of several classes
-    chosen = base.join(limited(left.select(F.col("rep").alias("doc_id"), F.col("d1").alias("class")), left.count()), "doc_id").select("doc_id", "text", "class")
+    chosen = base.join(left, "doc_id").select("doc_id", "text", "class")
     buckets = parts
-    freq = chosen.mapInArrow(lambda it: _set_blobs(it, width), BLOB_SQL).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lambda it: _frequencies(it, buckets), BLOB_SQL)
-    owned = freq.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_ordered, "rep long, n long, h binary, prefix array<long>")
+    freq = chosen.mapInArrow(lambda it: given_back(_set_blobs(it, width)), BLOB_SQL).transform(_dealt).mapInArrow(lambda it: given_back(_frequencies(it, buckets)), BLOB_SQL)
+    owned = freq.transform(_dealt).mapInArrow(lambda it: given_back(_ordered(it)), "rep long, n long, h binary, prefix array<long>")
     sets = materialize(owned, "near-sets")
     del chosen, freq, owned
+    discard(left)
     sweep(spark)
-
-    entries = sets.select("rep", "n", F.explode("prefix").alias("h"))
-    pivots = entries.groupBy("h").agg(F.min("rep").alias("b"), F.count("*").alias("m")).where("m > 1").select("h", "b")
-    star = entries.join(pivots, "h").where("rep != b").select(F.col("rep").alias("a"), "b").distinct()
-    groups = components(star).withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
-    size = groups.join(sets, "rep").groupBy("grp").agg(F.sum(F.length("h")).alias("bytes"))
-    size = materialize(size.select("grp", (F.col("bytes") > group_bytes).alias("large")), "near-groups")
-    mine = sets.join(groups, "rep").join(size, "grp")
-    edges = materialize(mine.where("not large").select("grp", "rep", "n", "h", "prefix").groupBy("grp").applyInArrow(_solved, "a long, b long"), "near-edges")
-    if size.where("large").limit(1).count():
-        edges = edges.unionByName(_large_groups(materialize(mine.where("large").select("rep", "n", "h", "prefix"), "near-large")))
-    discard(sets, left, reps, size, groups)
+    edges = _linked(sets, pairs)
+    discard(sets)
     return classes, edges
 
 
-def _solved(group: pa.Table) -> pa.Table:
-    """Links that connect the components of a candidate group of bounded size: from each member the search goes on
-    to the members not reached yet that have one of its prefix hashes, by their exact overlap."""
-    rep, n = (group.column(c).to_numpy() for c in ("rep", "n"))
-    order = np.argsort(rep)
-    hs = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("h")]
-    px = [np.asarray(x.values) for x in group.column("prefix")]
-    free = np.ones(len(rep), bool)
-    key = np.concatenate(px)
-    who = np.repeat(np.arange(len(rep)), [len(x) for x in px])
-    by = np.argsort(key, kind="stable")
-    key, who = key[by], who[by]
-    left, out = len(rep), []
-    for start in order.tolist():
-        if not free[start]:
-            continue
-        free[start] = False
-        queue = [start]
-        while queue:
-            q = queue.pop()
-            if 2 * free.sum() < left:  # forget those already reached
-                left = int(free.sum())
-                stay = free[who]
-                key, who = key[stay], who[stay]
-            if not len(key):
-                break
-            lo, hi = np.searchsorted(key, px[q], "left"), np.searchsorted(key, px[q], "right")
-            near = np.unique(np.concatenate([who[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
-            near = near[free[near] & (4 * n[near] >= 3 * n[q]) & (4 * n[q] >= 3 * n[near])]
-            for i in near.tolist():
-                both = np.sort(np.concatenate((hs[q], hs[i])))
-                o = int((both[1:] == both[:-1]).sum())
-                if 100 * o >= 75 * (n[q] + n[i] - o):
-                    free[i] = False
-                    queue.append(i)
-                    out.append((rep[q], rep[i]))
-    a, b = zip(*out, strict=True) if out else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _large_groups(sets: DataFrame) -> DataFrame:
-    """The same for candidate groups too large for a task, by rounds over all of them: members of a block are
-    compared with one pivot of the block, then what is not yet in one component with another pivot, and when few
-    pairs are left, with each other."""
-    entries = sets.select("rep", "n", F.explode("prefix").alias("h"))
-    pivots = entries.groupBy("h").agg(F.min("rep").alias("b"), F.min_by("n", "rep").alias("nb"), F.count("*").alias("m")).where("m > 1")
-    star = entries.join(pivots, "h").where("rep != b and 4 * n >= 3 * nb and 4 * nb >= 3 * n").select(F.col("rep").alias("a"), "b").distinct()
-    edges = materialize(_verified(star, sets), "near-edges")
-    bound = PAIRS_PER_CLASS * sets.count()
-    for r in range(MAX_PIVOT_ROUNDS + 1):
-        label = components(edges).withColumnRenamed("node", "rep")
-        mine = entries.join(label, "rep", "left").select("rep", "n", "h", F.coalesce("component", "rep").alias("label"))
-        mixed = mine.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
-        mine = materialize(mine.join(mixed, "h", "left_semi"), "near-mixed")
-        of = mine.groupBy("h", "label").agg(F.count("*").alias("m")).groupBy("h").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
-        pairs = of.agg(F.sum("pairs")).first()[0] or 0
-        if not pairs:
+def _linked(sets: DataFrame, most_pairs: int) -> DataFrame:
+    """Edges (a, b) between sets (rep, n, h, prefix) that link, enough of them to connect each component of links. Two sets of
+    n and m hashes whose places of a common hash are p and q can link only if the hashes from there on hold the overlap, at
+    least 3/7 of n + m, where no common hash stands before; and if their sizes are within 3:4."""
+    n_sets, size = sets.agg(F.count("*"), F.sum(F.length("h"))).first()
+    small = (size or 0) <= BROADCAST_BYTES
+    entries = sets.select("rep", "n", (F.col("n") - F.length("h") / 8).cast("long").alias("skipped"), F.posexplode("prefix").alias("at", "h"))
+    # a link's smaller set has their first common hash within its first seventh, so a block needs such a member
+    mine = materialize(entries.select("h", "rep", "n", (F.col("skipped") + F.col("at")).alias("p"), F.col("rep").alias("label")), "near-entries")
+    edges = sets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+    share = 1.0
+    early = F.when(F.expr("7 * p <= n"), F.col("n"))
+    for r in count():
+        parts = mine.select("h", "label", F.lit(1).cast("long").alias("m"), early.alias("least"), early.alias("most"))  # each a component of its own
+        if r:
+            parts = parts.groupBy("h", "label").agg(F.sum("m").alias("m"), F.min("least").alias("least"), F.max("most").alias("most"))
+        blocks = parts.groupBy("h").agg(F.count("*").alias("labels"), F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("major"), F.min("least").alias("least"), F.max("most").alias("most"))
+        # a pair of two components has a member outside the largest one of the block
+        blocks = blocks.where("labels > 1 and least is not null").select("h", "least", "most", F.col("major.label").alias("major"), (F.col("m") - F.col("major.m")).alias("minor"))
+        blocks, n_blocks = counted(blocks, "near-blocks")
+        if not n_blocks:
             break
-        if pairs <= bound or r == MAX_PIVOT_ROUNDS:
-            a, b = (mine.select("h", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-            rest = a.join(b, "h").where("la < lb and 4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b").distinct()
-            return edges.unionByName(materialize(_verified(rest, sets), "near-edges"))
-        # another pivot in each block, and another again in the next round
-        pivots = mine.groupBy("h").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64(F.lit(r), "h", "rep")).alias("p")).select("h", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"), F.col("p.label").alias("lb"))
-        star = mine.join(pivots, "h").where("label != lb and 4 * n >= 3 * nb and 4 * nb >= 3 * n").select(F.col("rep").alias("a"), "b").distinct()
-        edges = edges.unionByName(materialize(_verified(star, sets), "near-edges"))
+        # what is smaller than all that may be the smaller one of a link, or too large for them, is out
+        open_ = materialize(mine.join(blocks, "h").where("n >= least and 3 * n <= 4 * most").drop("least", "most"), "near-open")
+        left = max(1, open_.count())
+        if r < len(FEW_PIVOTS):
+            many = FEW_PIVOTS[r]
+            able, bucket, closed = F.expr("7 * p <= n"), F.pmod(F.xxhash64(F.lit(-r), "rep"), F.lit(many)), F.lit(False)
+        else:
+            most = min(max(TRIES, TRIES_PER_CLASS * n_sets), max(most_pairs, PAIRS_PER_CLASS * n_sets) / share)
+            many = max(1, min(MAX_PIVOTS, int(most / left)))
+            able, closed = F.col("label") != F.col("major"), F.col("minor") <= many
+            bucket = F.when(closed, F.col("rep")).otherwise(F.pmod(F.xxhash64(F.lit(-r), "rep"), F.lit(many)))
+        # of the first round the smallest members, which most others can link to; later any
+        order = F.struct(F.col("n") if r == 0 else F.lit(0), F.xxhash64(F.lit(r), "h", "rep"))
+        pivots = open_.where(able).groupBy("h", bucket.alias("s")).agg(F.min_by(F.struct("rep", "n", "p", "label"), order).alias("pivot"))
+        pivots = materialize(pivots.groupBy("h").agg(F.collect_list("pivot").alias("pivots")), "near-pivots")
+        pivots = limited(pivots, pivots.agg(F.sum(F.size("pivots"))).first()[0] or 0)
+        both = open_.join(pivots, "h")
+        can = F.expr("filter(pivots, x -> x.label != label and 4 * n >= 3 * x.n and 4 * x.n >= 3 * n and 7 * least(n - p, x.n - x.p) >= 3 * (n + x.n))")
+        pairs = both.select("rep", "label", F.explode(can).alias("x")).select(F.col("rep").alias("a"), F.col("x.rep").alias("b"), F.col("label").alias("la"), F.col("x.label").alias("lb"))
+        turned = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "la", "lb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("lb").alias("la"), F.col("la").alias("lb")))
+        pairs = materialize(pairs.select(turned.alias("x")).distinct().select("x.*"), "near-pairs")
+        n_pairs = pairs.count()
+        share = max(1.0, n_pairs) / (left * many)
+        # a pivot has met all others of its block; a block whose smaller components have all been pivots is done
+        rest = both.where(~closed & ~F.array_contains(F.transform("pivots", lambda x: x["rep"]), F.col("rep"))).select("h", "rep", "n", "p", "label")
+        gone = [mine, blocks, open_, pivots, pairs]
+        if n_pairs:
+            found = materialize(_verified(pairs, sets, small), "near-links")
+            edges = edges.unionByName(found.select("a", "b"))
+            if found.limit(1).count():
+                merged, _ = counted(components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "label"), "near-labels")
+                rest = rest.join(merged, "label", "left").select("h", "rep", "n", "p", F.coalesce("component", "label").alias("label"))
+                gone.append(merged)
+        mine = materialize(rest, "near-entries")
+        discard(*gone)
+        sweep(sets.sparkSession)
+    edges = materialize(edges, "near-edges")
+    discard(mine)
     return edges
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairs: int = PAIRS) -> DataFrame:
     """doc_id, n_shingles (size of the set of 5-word shingles), rep (smallest doc_id with the same set) and
     component_id (smallest doc_id reachable by links of Jaccard similarity 0.75 or more, itself included) of every
     document. Texts without words, empty and null ones link with nothing."""
-    classes, edges = links(docs, doc_id, text, group_bytes)
+    classes, edges = links(docs, doc_id, text, pairs)
     return _labelled(classes, edges).drop("class")
 
 
 def _labelled(classes: DataFrame, edges: DataFrame) -> DataFrame:
     found = components(edges).withColumnRenamed("node", "class")
     reps = found.join(classes.groupBy("class").agg(F.min("rep").alias("rep")), "class")
-    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialize(found.join(least, "component").select("class", "component_id"), "near-named")
+    least, _ = counted(reps.groupBy("component").agg(F.min("rep").alias("component_id")), "near-least")
+    named, _ = counted(found.join(least, "component").select("class", "component_id"), "near-named")
+    discard(found, least)
     return classes.join(named, "class", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component_id", "rep").alias("component_id"), "class")
 
 
@@ -442,20 +452,17 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     classes, edges = links(docs, doc_id, text)
     found = _labelled(classes, edges).select(F.col("doc_id").alias("__gone"), "class", (F.col("doc_id") != F.col("component_id")).alias("gone"))
     found = materialize(found, "near-found")
-    gone = found.where("gone").groupBy("__gone").agg(F.lit(1).alias("one")).drop("one")
-    mixed = found.groupBy("__gone").agg(F.min("gone").alias("lo"), F.max("gone").alias("hi")).where("lo != hi").select("__gone")
-    mixed = materialize(mixed, "near-mixed-ids")
-    kept = _anti(docs, materialize(gone, "near-gone"), doc_id)
-    n = mixed.count()
+    gone, _ = counted(found.where("gone").select("__gone").distinct(), "near-gone")
+    mixed, n = counted(found.groupBy("__gone").agg(F.min("gone").alias("lo"), F.max("gone").alias("hi")).where("lo != hi").select("__gone"), "near-mixed-ids")
+    kept = docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
     if not n:
         return kept
     # ids with rows that stay and rows that go: the latter by their class
-    rows = docs.join(limited(mixed, n), docs[doc_id].cast("long") == mixed["__gone"], "left_semi")
-    stay = found.where("not gone").join(limited(mixed, n), "__gone", "left_semi").select(F.col("__gone").alias("__id"), F.coalesce("class", F.lit(0)).alias("__class")).distinct()
-    stay = materialize(stay, "near-stay")
+    rows = docs.join(mixed, docs[doc_id].cast("long") == mixed["__gone"], "left_semi")
+    stay = found.where("not gone").join(mixed, "__gone", "left_semi").select(F.col("__gone").alias("__id"), F.coalesce("class", F.lit(0)).alias("__class")).distinct()
+    stay, _ = counted(stay, "near-stay")
     names = F.udf(_class_of, "long")
     rows = rows.withColumn("__of", names(rows[text].cast("string")))
-    stay = limited(stay, stay.count())
     rows = rows.join(stay, (rows[doc_id].cast("long") == stay["__id"]) & (rows["__of"] == stay["__class"]), "left_semi")
     return kept.unionByName(rows.drop("__of"))
 
@@ -466,10 +473,5 @@ def _class_of(text: str | None) -> int:
     return _signed(_class(s)[0]) if len(s) else 0
 
 
-def _anti(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
-    gone = limited(gone, gone.count())
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
-
-
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,11 +10,11 @@ from claimlens.llm import exact_dup, near_dup
 import brute
 
 
-@pytest.mark.parametrize("group_bytes", [near_dup.GROUP_BYTES, 1])
-def test_near_duplicates(docs, rows, group_bytes):
+@pytest.mark.parametrize("pairs", [near_dup.PAIRS, 0])
+def test_near_duplicates(docs, rows, pairs):
     sets = {r[0]: brute.shingles(r[1]) for r in rows}
     want = {k: (len(sets[k]), c) for k, c in brute.components(sets).items()}
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, group_bytes=group_bytes).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, pairs=pairs).collect()}
     assert got == want
     assert len({c for _, c in want.values()}) < len(rows) - 30
 
@@ -60,11 +61,11 @@ def test_exact_query_keeps_null_ids(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("group_bytes", [near_dup.GROUP_BYTES, 1])
-def test_near_repeated_rows(spark, docs, rows, group_bytes):
+@pytest.mark.parametrize("pairs", [near_dup.PAIRS, 0])
+def test_near_repeated_rows(spark, docs, rows, pairs):
     sets = {r[0]: brute.shingles(r[1]) for r in rows}
     want = {(k, len(sets[k]), c): 2 for k, c in brute.components(sets).items()}
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs.union(docs), group_bytes=group_bytes).collect())
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs.union(docs), pairs=pairs).collect())
     assert got == want
 
 
@@ -76,3 +77,22 @@ def test_near_repeated_rows_below_threshold(spark):
     # an id with a near copy of another text and one of its own loses the near copy only
     mixed = spark.createDataFrame([(1, a), (2, near), (2, own)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in near_dup.keep_one(mixed).collect()) == [(1, a), (2, own)]
+
+
+def test_near_query_is_whole_on_hot_blocks(spark):
+    """Texts that share one passage but don't link, and a long chain of near copies, with one pivot a round and with many."""
+    rnd = random.Random(8)
+    word = lambda: "w" + str(rnd.randrange(10**6))
+    passage, base, texts = [word() for _ in range(60)], [word() for _ in range(100)], []
+    for _ in range(40):
+        texts.append(" ".join(passage + [word() for _ in range(rnd.randrange(10, 25))]))
+    chain = list(base)
+    for i in range(40):
+        chain[(2 * i) % 100] = word()
+        texts.append(" ".join(chain))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: brute.shingles(t) for i, t in enumerate(texts)}
+    want = brute.components(sets)
+    for pairs in (0, near_dup.PAIRS):
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, pairs=pairs).collect()} == want
+    assert len(set(want.values())) < len(texts)
