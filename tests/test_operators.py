@@ -171,8 +171,9 @@ def test_serve(spark):
     assert [r.name for r in serve.search(reg, "sunrise hospise CA").collect()] == ["SUNRISE HOSPICE"]
     assert [r.name for r in serve.search(reg, "109").collect()] == ["MOON CLINIC"]
     g = lambda *k: spark.range(1).select(serve.grounds(F.array(*map(F.lit, k)) if k else F.array().cast("array<string>")).alias("g")).first().g
-    assert set(g("revoked")) >= {"42 CFR 455.416(c)", "42 CFR 455.436", "42 CFR 455.23"}
-    assert g() == ["42 CFR 455.410"]
+    assert g("MEDICARE_REVOKED_PAID_AFTER", "unknown", "SAM_PAID_AFTER") == ["455.416(c)", "455.436", "455.23", "424.535(a)", "1001.1901"]
+    assert g() == ["455.410"] == g("unknown")
+    assert len(serve.GROUNDS) == 16 and set(serve.CAVEATS) <= set(serve.GROUNDS)
     ev = spark.createDataFrame([("1234567893", "X", date(2020, 1, 1), date(2020, 6, 1)), ("1234567893", "X", date(2020, 1, 1), date(2020, 6, 1))], "npi string, source string, event_dt date, window_end date")
     claims = spark.createDataFrame([("c1", date(2020, 6, 1), None, ["1234567893", "1234567893"], 5.0), ("c2", date(2020, 6, 2), None, ["1234567893"], 7.0), ("c3", None, None, None, 1.0)], "id string, start date, end date, npis array<string>, paid double")
     got = {r.id: (r.flagged, len(r.hits or [])) for r in serve.verify_claims(claims, ev).collect()}
