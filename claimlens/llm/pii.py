@@ -6,36 +6,50 @@ Base kinds (leftmost, non-overlapping within a kind; a match that fails its chec
   ip     [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+), each part at most 255
   card   [0-9]([\\x20-]?[0-9])+, 12 to 19 digits passing Luhn
   phone  \\+[0-9][\\x20().0-9-]+[0-9], 9 to 15 digits
-Added by the anchors: url (scheme and authority up to white space or a quote), iban (mod 97) and secret (the value
-after a key cue such as token or password, 16 or more characters of one run). Spans are code points, end exclusive;
-null text has none."""
+Added by the anchors: url (scheme and authority up to white space or a quote), iban (the length of its country, mod
+97), ssn (3-2-4 digits of an area, group and serial that are given out) and secret (the value after a key cue such as
+token or password, 16 or more characters of one run; a key that begins as its issuer's do; a private key's header).
+Cues are found in any case of A-Z. Spans are code points, end exclusive; null text has none."""
 
 from __future__ import annotations
 
-import hashlib
 import string
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import documents
+from claimlens.llm.common import documents, given_back
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "iban", "secret")
-KEY_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "access_key")
+KINDS = (*BASE, "url", "iban", "ssn", "secret")
+KEY_CUES = ("token", "password", "passwd", "secret", "api_key", "api-key", "apikey", "access_key", "private_key")
+# fixed values: how issuers' keys begin, and how many characters of a key follow at least
+KEY_STARTS = {"AKIA": 16, "ASIA": 16, "ghp_": 36, "gho_": 36, "github_pat_": 22, "glpat-": 20, "sk-": 20, "sk_live_": 16, "xoxb-": 20, "xoxp-": 20, "AIza": 35}
+HEADER = "-----BEGIN "
+# fixed values: lengths of account numbers by country (ISO 13616)
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31,
+    "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _DIGITS = frozenset(string.digits)
 _LABEL = frozenset(string.ascii_letters + string.digits + "-")
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _PHONE = frozenset(" ().-" + string.digits)
 _SCHEME = frozenset(string.ascii_letters + string.digits + "+.-")
 _VALUE = frozenset(string.ascii_letters + string.digits + "_-+/=.")
+_CODE = frozenset(string.ascii_uppercase + string.digits)
+_ASCII = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _STOP = frozenset(" \t\n\r\x0b\x0c<>\"'`{}|\\^")
 
 
 def automaton():
-    """Anchors and the parser each wakes. Two digits next to each other, or with one separator between, begin a card;
-    digit, dot, digit begins an address."""
+    """Anchors, in lower case, and the parser each wakes. Two digits next to each other, or with one separator between,
+    begin a card; digit, dot, digit begins an address."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -48,7 +62,10 @@ def automaton():
             for sep in ("", " ", "-"):
                 a.add_word(d + sep + e, ("card", len(sep) + 1))
     for cue in KEY_CUES:
-        a.add_word(cue, ("secret", 0))
+        a.add_word(cue, ("secret", -1))
+    for start in KEY_STARTS:
+        a.add_word(start.lower(), ("key", len(start) - 1))
+    a.add_word(HEADER.lower(), ("header", len(HEADER) - 1))
     a.make_automaton()
     return a
 
@@ -158,41 +175,77 @@ def _secret(t: str, at: int, done: int):
     return (i, e, True) if e - i >= 16 else None
 
 
+def _key(t: str, at: int, done: int):
+    """A key whose first characters, at at, are its issuer's, at the start of a run."""
+    if at and (t[at - 1].isalnum() or t[at - 1] in "_-"):
+        return None
+    for start, least in KEY_STARTS.items():
+        if t.startswith(start, at):
+            e = _run(t, at + len(start), _VALUE)
+            if e - at - len(start) >= least:
+                return at, e, True
+    return None
+
+
+def _header(t: str, at: int, done: int):
+    """A private key from its header up to its footer, or the header alone."""
+    e = t.find("-----", at + len(HEADER), at + len(HEADER) + 64)
+    if e < 0 or not t[at:e].endswith("PRIVATE KEY"):
+        return None
+    foot = "-----END " + t[at + len(HEADER) : e] + "-----"
+    end = t.find(foot, e)
+    return at, end + len(foot) if end >= 0 else e + 5, True
+
+
 def _iban(t: str, s: int, done: int):
-    """At a digit after two capitals and a digit: up to 34 letters and digits, single spaces allowed, mod 97 = 1."""
+    """At two capitals and two digits: as many capitals and digits as the country has, with single spaces between, that no
+    other follows; mod 97 = 1."""
+    size = IBAN_LENGTHS.get(t[s : s + 2], 0)
+    if not size or s and t[s - 1].isalnum():
+        return None
     e, code = s, ""
-    while e < len(t) and len(code) < 34:
-        if t[e] in string.ascii_uppercase or t[e] in _DIGITS:
+    while e < len(t) and len(code) < size:
+        if t[e] in _CODE:
             code += t[e]
             e += 1
-        elif t[e] == " " and e + 1 < len(t) and (t[e + 1] in string.ascii_uppercase or t[e + 1] in _DIGITS):
+        elif t[e] == " " and e + 1 < len(t) and t[e + 1] in _CODE:
             e += 1
         else:
-            break
-    if len(code) < 15:
+            return None
+    if len(code) < size or e < len(t) and t[e].isalnum():
         return None
     return (s, e, True) if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
 
 
-_PARSERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "url": _url, "secret": _secret, "iban": _iban}
+def _is_ssn(t: str, s: int, e: int) -> bool:
+    return e - s == 11 and t[s + 3] == t[s + 6] == "-" and t[s : s + 3] not in ("000", "666") and t[s] != "9" and t[s + 4 : s + 6] != "00" and t[s + 7 : e] != "0000" and sum(c in _DIGITS for c in t[s:e]) == 9
+
+
+_PARSERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "url": _url, "secret": _secret, "key": _key, "header": _header}
+_KIND = {"key": "secret", "header": "secret"}
 
 
 def find(text: str, anchors) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start and then the order of KINDS."""
     done = dict.fromkeys(KINDS, 0)
     out = []
-    for end, (kind, back) in anchors.iter(text):
-        at = end - back if kind != "secret" else end + 1
-        if kind == "card" and 2 <= at and text[at - 1].isupper() and text[at - 2].isupper() and at - 2 >= done["iban"]:
+    low = text.lower()
+    if len(low) != len(text):  # some letters are two in lower case; cues are A-Z only
+        low = text.translate(_ASCII)
+    for end, (parser, back) in anchors.iter(low):
+        at, kind = end - back, _KIND.get(parser, parser)
+        if parser == "card" and 2 <= at and text[at - 2 : at] in IBAN_LENGTHS and at - 2 >= done["iban"]:
             if m := _iban(text, at - 2, 0):
                 done["iban"] = m[1]
                 out.append((m[0], m[1], "iban"))
         if at < done[kind]:
             continue
-        if m := _PARSERS[kind](text, at, done[kind]):
+        if m := _PARSERS[parser](text, at, done[kind]):
             done[kind] = m[1]
             if m[2]:
                 out.append((m[0], m[1], kind))
+            elif parser == "card" and _is_ssn(text, m[0], m[1]):
+                out.append((m[0], m[1], "ssn"))
     out.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return out
 
@@ -212,7 +265,7 @@ def _found(batches):
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, spans (array of kind, start, end) of every row; null and empty texts have no spans. Other columns
     aren't read."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_found, "doc_id long, spans array<struct<kind: string, start: int, end: int>>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: given_back(_found(it)), "doc_id long, spans array<struct<kind: string, start: int, end: int>>")
 
 
 def _masked(batches):
@@ -236,7 +289,7 @@ def _masked(batches):
 
 def mask_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with every span replaced by its kind in angle brackets; of overlapping spans the first names it."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_masked, "doc_id long, text string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: given_back(_masked(it)), "doc_id long, text string")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,4 +297,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.size("spans").cast("long").alias("n_all"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
