@@ -1,13 +1,15 @@
 """Media columns: audio stored losslessly as 8-bit WAV; features by polyphase resampling, overlapped log-mel
-filterbanks and hysteresis energy segmentation, as fixed-shape tensors with time spans.
+filterbanks and hysteresis energy segmentation, stored as fixed-shape Arrow tensors with time spans.
 
 Each row is read, featured and written on its own, so equal media have equal features and one long item needs
-memory for itself only (samples are resampled in blocks)."""
+memory for itself only (samples are resampled in blocks). The tensors of an item are one Arrow stream, in a binary
+column: Spark has no type of its own for them, and the stream keeps their shape wherever it is read."""
 
 from __future__ import annotations
 
 import hashlib
 import io
+import struct
 import wave
 import zlib
 
@@ -15,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from claimlens.llm.common import documents
+from claimlens.llm.common import documents, given_back
 
 RATE, UP, DOWN = 16_000, 1, 4
 FRAME, HOP, MELS = 128, 64, 16
 #: Frames in one tensor; the last one of an item is filled with zeros.
-TENSOR = 64
+TENSOR = 16
 HIGH_DB, LOW_DB = 3.0, 0.0
 BLOCK = 1 << 18
 PAD = 64
@@ -38,10 +42,16 @@ def to_wav(samples: bytes, rate: int = RATE) -> bytes:
 
 
 def from_wav(stored: bytes) -> tuple[bytes, int]:
-    with wave.open(io.BytesIO(stored), "rb") as w:
-        if (w.getnchannels(), w.getsampwidth()) != (1, 1):
-            raise ValueError("8-bit mono is expected")
-        return w.readframes(w.getnframes()), w.getframerate()
+    """(samples, rate). ValueError for what isn't 8-bit mono PCM."""
+    try:
+        with wave.open(io.BytesIO(stored), "rb") as w:
+            if (w.getnchannels(), w.getsampwidth()) != (1, 1):
+                raise ValueError("8-bit mono is expected")
+            if w.getframerate() <= 0:
+                raise ValueError("rate is not positive")
+            return w.readframes(w.getnframes()), w.getframerate()
+    except (wave.Error, EOFError, struct.error) as e:
+        raise ValueError(f"not a WAV file: {e}") from e
 
 
 def low_pass(up: int, down: int, half: int = 8) -> np.ndarray:
@@ -110,14 +120,15 @@ class Features:
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
     def log_mel(self, samples: bytes) -> np.ndarray:
+        """Overlapped frames; the last is filled with zeros, so that every sample is in one."""
         y = self.low(samples)
-        if len(y) < FRAME:
-            y = np.concatenate((y, np.zeros(FRAME - len(y), np.float32)))
+        y = np.concatenate((y, np.zeros(max(FRAME - len(y), -(len(y) - FRAME) % HOP), np.float32)))
         frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
         out = np.empty((len(frames), MELS), np.float32)
         for i in range(0, len(frames), 4096):
             power = np.abs(np.fft.rfft(frames[i : i + 4096] * self.window, axis=1)) ** 2
-            out[i : i + 4096] = np.log10(power.astype(np.float32) @ self.mel + 1e-6)
+            # in steps of 1/64, so that equal samples have equal features on processors that round differently
+            out[i : i + 4096] = np.round(64 * np.log10(power.astype(np.float32) @ self.mel + 1e-6)) / 64
         return out
 
     def segments(self, mel: np.ndarray) -> list[tuple[float, float]]:
@@ -139,54 +150,84 @@ def tensors(mel: np.ndarray, rate: float) -> tuple[np.ndarray, list[tuple[float,
 
 
 TENSOR_TYPE = pa.fixed_shape_tensor(pa.float32(), [TENSOR, MELS])
+STORED = pa.schema([("tensor", TENSOR_TYPE), ("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
-def to_tensor_array(values: pa.Array) -> pa.ExtensionArray:
-    """Rows of TENSOR * MELS floats as an Arrow array of fixed-shape tensors."""
-    return pa.ExtensionArray.from_storage(TENSOR_TYPE, values.cast(TENSOR_TYPE.storage_type))
+def store_tensors(values: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """Tensors and their time spans as an Arrow stream."""
+    out = pa.BufferOutputStream()
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), TENSOR * MELS)
+    with pa.ipc.new_stream(out, STORED) as w:
+        w.write_batch(pa.record_batch([pa.ExtensionArray.from_storage(TENSOR_TYPE, flat), *(pa.array([x[i] for x in spans], pa.float64()) for i in (0, 1))], schema=STORED))
+    return out.getvalue().to_pybytes()
 
 
-def audio_features(media: DataFrame, item_id: str = "item_id", stored: str = "media") -> DataFrame:
-    """item_id, number, tensor (array of TENSOR * MELS floats, row by row), start_s, end_s and segments (array of
-    start_s, end_s; on the first tensor of an item) for every tensor of every item's WAV; null media have no rows."""
-    span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
-    schema = pa.schema([("item_id", pa.int64()), ("number", pa.int32()), ("tensor", pa.list_(pa.float32())), ("start_s", pa.float64()), ("end_s", pa.float64()), ("segments", pa.list_(span))])
+def read_tensors(stored: bytes) -> pa.Table:
+    """tensor (fixed shape: TENSOR frames by MELS), start_s and end_s of an item's tensors, in order."""
+    with pa.ipc.open_stream(stored) as r:
+        return r.read_all()
 
-    def run(batches):
-        made: dict[int, Features] = {}
-        for x in batches:
-            for key, data in zip(x.column(0), x.column(1), strict=True):
-                if data.is_valid:
-                    samples, rate = from_wav(data.as_py())
-                    f = made.setdefault(rate, Features(rate))
-                    mel = f.log_mel(samples)
-                    t, spans = tensors(mel, f.rate)
-                    segments = [{"start_s": a, "end_s": b} for a, b in f.segments(mel)]
-                    n = len(t)
-                    yield pa.record_batch([pa.array([key.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(list(t.reshape(n, -1)), schema.field(2).type), pa.array([s for s, _ in spans]), pa.array([e for _, e in spans]), pa.array([segments] + [[]] * (n - 1), schema.field(5).type)], schema=schema)
 
-    sql = "item_id long, number int, tensor array<float>, start_s double, end_s double, segments array<struct<start_s: double, end_s: double>>"
-    return media.select(F.col(item_id).cast("long").alias("item_id"), F.col(stored).alias("media")).mapInArrow(run, sql)
+SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+FEATURES = pa.schema([("item_id", pa.int64()), ("samples_bytes", pa.int64()), ("samples_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()), ("tensors", pa.binary()), ("segments", pa.list_(SPAN)), ("problem", pa.string())])
+FEATURES_SQL = "item_id long, samples_bytes long, samples_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, tensors binary, segments array<struct<start_s: double, end_s: double>>, problem string"
 
 
-def _digested(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-    f = Features()
+def _row(stored: bytes, made: dict[int, Features]) -> tuple:
+    media = len(stored), hashlib.sha256(stored).hexdigest()
+    try:
+        samples, rate = from_wav(stored)
+    except ValueError as e:
+        return None, None, None, *media, None, None, None, str(e)
+    if rate not in made:
+        made[rate] = Features(rate)
+    f = made[rate]
+    mel = f.log_mel(samples)
+    segments = [{"start_s": a, "end_s": b} for a, b in f.segments(mel)]
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), *media, len(mel), store_tensors(*tensors(mel, f.rate)), segments, None
+
+
+def _featured(batches, schema: pa.Schema):
+    made: dict[int, Features] = {}
+    for x in batches:
+        for lo in range(0, len(x), 256):
+            part = x.slice(lo, 256)
+            rows = [_row(m.as_py(), made) if m.is_valid else (None,) * 9 for m in part.column(1)]
+            columns = (pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(FEATURES)[1:], strict=True))
+            yield pa.record_batch([part.column(0), *columns, *part.columns[2:]], schema=schema)
+
+
+def audio_features(media: DataFrame, item_id: str = "item_id", stored: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """For every row of media (8-bit mono WAV files) item_id; samples_bytes, samples_sha256 and tail_crc32 (of the last
+    64) of the samples read from it; media_bytes and media_sha256 of the file itself; n_frames of log-mel; tensors (see
+    read_tensors); segments (array of start_s, end_s); problem; then the columns in keep. What is no such file has the
+    media's columns and a problem, and nulls else; null media have nulls only. Other columns aren't read."""
+    rows = media.select(F.col(item_id).cast("long").alias("item_id"), F.col(stored).alias("media"), *(F.col(k) for k in keep))
+    extra = [rows.schema[k] for k in keep]
+    schema = pa.schema([*FEATURES, *(to_arrow_schema(StructType(extra)))])
+    sql = ", ".join([FEATURES_SQL, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
+    return rows.mapInArrow(lambda it: given_back(_featured(it, schema)), sql)
+
+
+def _stored(batches):
     for x in batches:
         for lo in range(0, len(x), 1024):
-            rows = []
-            for text in x.column(1).slice(lo, 1024):
-                data = (text.as_py() or "").encode()
-                stored = to_wav(data + bytes(-len(data) % PAD or (0 if data else PAD)))
-                samples, _ = from_wav(stored)
-                mel = f.log_mel(samples)
-                found = f.segments(mel)
-                digest = hashlib.sha256(np.round(tensors(mel, f.rate)[0] * 8).astype(np.int16).tobytes()).hexdigest()[:16]
-                spoken = sum(b - a for a, b in found)
-                rows.append((len(data), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{len(mel)}:{len(found)}:{spoken:.3f}:{digest}"))
-            yield pa.record_batch([x.column(0).slice(lo, 1024), *(pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
+            part = x.slice(lo, 1024)
+            texts = [(t.as_py() or "").encode() for t in part.column(1)]
+            media = [to_wav(t + bytes(-len(t) % PAD or (0 if t else PAD))) for t in texts]
+            yield pa.record_batch([part.column(0), pa.array(media, pa.binary()), pa.array(map(len, texts), pa.int64())], names=["item_id", "media", "n_bytes"])
+
+
+def media_column(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """item_id, media and n_bytes of every row: the UTF-8 bytes of its text (null: none) as samples of a WAV file, with
+    bytes 0 up to a positive multiple of 64, and how many there are without those. Other columns aren't read."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("item_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(lambda it: given_back(_stored(it)), "item_id long, media binary, n_bytes long")
 
 
 def op6_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digested, sql)
+    found = audio_features(media_column(documents(spark, sf_dir)), keep=("n_bytes",))
+    spoken = F.format_string("%.3f", F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end_s"] - s["start_s"]))
+    feature = F.concat_ws(":", "n_frames", F.size("segments"), spoken, F.substring(F.sha2("tensors", 256), 1, 16))
+    columns = {"doc_id": "item_id", "n_bytes": "n_bytes", "payload_bytes": "samples_bytes", "payload_sha256": "samples_sha256", "tail_crc32": "tail_crc32", "media_bytes": "media_bytes", "media_sha256": "media_sha256"}
+    return found.select(*(F.col(old).alias(new) for new, old in columns.items()), feature.alias("feature"))
