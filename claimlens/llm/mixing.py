@@ -7,7 +7,9 @@ among the sources left. The schedule repeats where the weights are small whole n
 block by block, in one task that holds one entry for each source and sends its rows on as it goes (blocks, not rows).
 When a source runs out, the next phase starts with the weights of the sources left; every row is placed. Rows are dealt
 to blocks by an order that depends on a hash of their id: ranks are counted within (source, hash bucket), buckets
-hold a bounded share of the rows, and sums over buckets give the rest."""
+hold a bounded number of rows on average, and sums over buckets, and over runs of buckets, give the rest. Blocks hold
+BLOCK_ROWS rows, or a power of two times as many where there would be more than MAX_BLOCKS of them, so the one task
+has a bounded number of turns to make."""
 
 from __future__ import annotations
 
@@ -21,12 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimlens.llm.common import documents, limited
-from claimlens.session import materialize
+from claimlens.llm.common import documents
+from claimlens.session import counted, materialize
 
 BLOCK_ROWS = 64
+MAX_BLOCKS = 1 << 22
 #: Rows that a bucket of the order holds on average, over all sources.
 BUCKET_ROWS = 1_024
+#: Buckets in a run, whose sizes are summed up in one task.
+RUN = 1 << 10
 TEMPERATURE = 0.5
 
 
@@ -100,71 +105,90 @@ def plan(blocks: dict, weights: dict) -> Iterator[tuple]:
         left = {s: n for s, n in left.items() if n}
 
 
-TURNS = pa.schema([("number", pa.int32()), ("block", pa.int64()), ("slot", pa.int64()), ("release", pa.int32()), ("deadline", pa.int32()), ("phase", pa.int32())])
-TURNS_SQL = "number int, block long, slot long, release int, deadline int, phase int"
+TURNS = pa.schema([("s_", pa.string()), ("b_", pa.int64()), ("slot", pa.int64()), ("release", pa.int32()), ("deadline", pa.int32()), ("phase", pa.int32())])
+TURNS_SQL = "s_ string, b_ long, slot long, release int, deadline int, phase int"
 #: Turns that are sent on at once.
 TURN_ROWS = 1 << 16
 #: A light source's first deadline may lie further off than a column of the contract's type reaches.
 LAST = (1 << 31) - 1
 
 
-def _turns(blocks: dict, weights: dict) -> Iterator[pa.RecordBatch]:
-    """A row for each block; sources go by number."""
+def block_size(rows: int, least: int = BLOCK_ROWS, most_blocks: int = MAX_BLOCKS) -> int:
+    while rows > least * most_blocks:
+        least *= 2
+    return least
+
+
+def target_weights(counts: dict, weights: dict | None, temperature: float) -> dict:
+    """The weight of each source of counts (source: rows): as given, else rows to the power of temperature, scaled to the
+    smallest given one."""
+    own = {s: float(Fraction(n)) ** temperature for s, n in counts.items()}
+    if not weights:
+        return own
+    named = min((w for s, w in weights.items() if s in counts), default=1.0)
+    least = min((own[s] for s in counts if s not in weights), default=1.0)
+    return {s: weights.get(s, own[s] / least * named) for s in counts}
+
+
+def _turns(batches, weights: dict | None, temperature: float, block_rows: int) -> Iterator[pa.RecordBatch]:
+    """A row for each block of the sources (source, rows) of all batches."""
+    counts = {s: n for x in batches for s, n in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
+    counts = {s: counts[s] for s in sorted(counts, key=_name)}
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     rows: list[tuple] = []
-    for s, phase, lo, hi, share, length, k, turn, start, release, due in plan(blocks, weights):
+
+    def sent():
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TURNS, strict=True)], schema=TURNS)
+
+    for s, phase, lo, hi, share, length, k, turn, start, release, due in plan(blocks, target_weights(counts, weights, temperature)):
         for i, block in enumerate(range(lo + k, hi, share)):
             rows.append((s, block, start + i * length + turn, min(release, LAST), min(due, LAST), phase))
             if len(rows) == TURN_ROWS:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TURNS, strict=True)], schema=TURNS)
+                yield sent()
                 rows = []
     if rows:
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TURNS, strict=True)], schema=TURNS)
+        yield sent()
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source", block_rows: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, source, block (of its source), place (in the block), slot, position, release, deadline and phase of every row.
     slot is the block's turn; position = slot * block_rows + place orders the mixed stream. Times count from the phase's
     period. weights: positive target weights by source; by default the number of rows to the power of temperature, which
-    also stands in for sources it doesn't name, scaled to the smallest of them. A null source is a source of its
-    own. Rows that repeat an id have places of their own."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"))
-    found = rows.groupBy("source").agg(F.count("*").alias("n")).collect()  # one row for each source
-    counts = {r.source: r.n for r in found}
-    own = {s: float(Fraction(n)) ** temperature for s, n in counts.items()}
-    if weights:
-        named = min((w for s, w in weights.items() if s in counts), default=1.0)
-        least = min((own[s] for s in counts if s not in weights), default=1.0)
-        own = {s: weights.get(s, own[s] / least * named) for s in counts}
-    if min(own.values(), default=1) <= 0:
+    also stands in for sources it doesn't name, scaled to the smallest of them. block_rows: see block_size. A null source
+    is a source of its own. Rows that repeat an id have places of their own. Other columns aren't read."""
+    if min((weights or {None: 1}).values(), default=1) <= 0:
         raise ValueError("weights must be positive")
-    sources = sorted(counts, key=_name)
-    blocks = {i: -(-counts[x] // block_rows) for i, x in enumerate(sources)}
-    heavy = {i: own[x] for i, x in enumerate(sources)}
-    turns = materialize(spark.range(0, 1, 1, 1).mapInArrow(lambda it: (y for _ in it for y in _turns(blocks, heavy)), TURNS_SQL), "mix-turns")
-    numbers = F.broadcast(spark.createDataFrame([(x, i) for i, x in enumerate(sources)], "s_ string, number int"))
-
     order = F.xxhash64(F.lit(5), "doc_id")
-    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
-    rows = materialize(rows.select("doc_id", "source", order.alias("o")).withColumn("bucket", F.pmod(F.shiftright("o", 3), F.lit(buckets))), "mix-rows")
-    within = Window.partitionBy("source", "bucket").orderBy("o", "doc_id")
-    sizes = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("source").alias("s_"), F.col("bucket").alias("b_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = rows.withColumn("r", F.row_number().over(within) - 1)
+    rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source")).withColumn("o", order), "mix-rows")
+    total = rows.count()
+    block_rows = block_rows or block_size(total)
+    buckets = max(1, -(-total // BUCKET_ROWS))
+    rows = rows.withColumn("bucket", F.pmod(F.shiftright("o", 3), F.lit(buckets)))
+    sizes = materialize(rows.groupBy("source", "bucket").agg(F.count("*").alias("n")), "mix-sizes")
+    # one row for each source
+    counts = sizes.groupBy("source").agg(F.sum("n").alias("n"))
+    turns, _ = counted(counts.coalesce(1).mapInArrow(lambda it: _turns(it, weights, temperature, block_rows), TURNS_SQL), "mix-turns")
+
+    def before(*keys: str):
+        return F.coalesce(F.sum("n").over(Window.partitionBy("source", *keys).orderBy("run" if not keys else "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    sizes = sizes.withColumn("run", F.floor(F.col("bucket") / RUN))
+    runs = sizes.groupBy("source", "run").agg(F.sum("n").alias("n")).select(F.col("source").alias("s_"), F.col("run").alias("r_"), before().alias("earlier"))
+    sizes = sizes.withColumn("within", before("run")).join(runs, F.col("source").eqNullSafe(F.col("s_")) & (F.col("run") == F.col("r_")))
+    sizes, _ = counted(sizes.select(F.col("source").alias("s_"), F.col("bucket").alias("b_"), (F.col("within") + F.col("earlier")).alias("before")), "mix-before")
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("o", "doc_id")) - 1)
     ranked = ranked.join(sizes, F.col("source").eqNullSafe(F.col("s_")) & (F.col("bucket") == F.col("b_")))
     rank = F.col("r") + F.col("before")
     ranked = ranked.select("doc_id", "source", F.floor(rank / block_rows).alias("block"), (rank % block_rows).cast("int").alias("place"))
-    ranked = ranked.join(numbers, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    placed = ranked.join(limited(turns, sum(blocks.values())), ["number", "block"])
+    placed = ranked.join(turns, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")))
     return placed.select("doc_id", "source", "block", "place", "slot", (F.col("slot") * block_rows + F.col("place")).alias("position"), "release", "deadline", "phase")
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """All rows of docs in the order of the mix: files and rows within files follow it. Columns stay as they are."""
-    placed = materialize(schedule(docs, weights, doc_id, source).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position")), "mix-positions")
-    # rows that repeat an id share its first position
-    placed = placed.groupBy("__id").agg(F.min("__position").alias("__position"))
+    """All rows of docs in the order of the mix: files and rows within files follow it. Columns stay as they are. Rows that
+    repeat an id share its first position."""
+    placed = schedule(docs, weights, doc_id, source).groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
+    placed, _ = counted(placed, "mix-positions")
     both = docs.join(placed, docs[doc_id].eqNullSafe(placed["__id"]))
     return both.repartitionByRange(placed["__position"]).sortWithinPartitions(placed["__position"]).select(docs["*"])
 
