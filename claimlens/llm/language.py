@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from claimlens.llm.common import crc_mod, documents, unit_hash
-from claimlens.session import materialize
+from claimlens.llm.common import crc_mod, documents, given_back, unit_hash
+from claimlens.session import discard, materialize
 
 PER_LANGUAGE = 300
 #: Rows of the sample over all languages; with very many languages each gives fewer.
@@ -74,17 +75,15 @@ def _codes(batches):
         yield pa.record_batch([x.column(0), x.column(1), pa.array(out, schema.field(2).type)], schema=schema)
 
 
-class Model:
-    """languages, vocab (n-gram codes of the landmarks) and weights (vocab by language)."""
-
-    def __init__(self, languages: list[str], vocab: np.ndarray, weights: np.ndarray):
-        self.languages, self.vocab, self.weights = languages, vocab, weights
+#: (languages, n-gram codes of the landmarks, weights: code by language). A tuple, as a broadcast's classes would have to
+#: be installed on the executors.
+Model = tuple[list[str], np.ndarray, np.ndarray]
 
 
 def train(rows: list[tuple[int, str, np.ndarray]]) -> Model:
     languages = sorted({r[1] for r in rows})
     if not languages:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
+        return [], np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
     marks = [r for lang in languages for r in [x for x in rows if x[1] == lang][:LANDMARKS]]
     vocab = np.unique(np.concatenate([r[2] for r in marks])).astype(np.int64)
     at = np.full(SIZE, -1, np.int64)
@@ -108,12 +107,13 @@ def train(rows: list[tuple[int, str, np.ndarray]]) -> Model:
         y = np.where(np.array([r[1] for r in part])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
         gram, target = gram + phi.T @ phi, target + phi.T @ y
     w = np.linalg.solve(gram + RIDGE * np.eye(len(gram)), target)
-    return Model(languages, vocab, (land.T.astype(np.float64) @ (root @ w)).astype(np.float32))
+    return languages, vocab, (land.T.astype(np.float64) @ (root @ w)).astype(np.float32)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from the rows of docs (doc_id, text, lang) that have a text with characters and a language. Each language gives up
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """A model from the rows of docs that have an id, a text with characters and a language. Each language gives up
     to per_language rows, those with the smallest hash of their id, and all together MAX_TRAIN."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     docs = docs.where("lang is not null and doc_id is not null and length(text) > 0")
     counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -122,11 +122,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(2.0 * per_language / n if n > 4 * per_language else 1.0))])
     u = unit_hash("doc_id", 11)
     sample = docs.where(u < share[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    rows = materialize(sample.mapInArrow(_codes, "doc_id long, lang string, codes array<int>").withColumn("u", unit_hash("doc_id", 11)), "language-sample")
-    out = []
-    for lang in sorted(counts):
-        out += rows.where(F.col("lang") == lang).orderBy("u", "doc_id").limit(per_language).collect()
-    return train([(r.doc_id, r.lang, np.array(r.codes, np.int64)) for r in out])
+    rows = materialize(sample.mapInArrow(lambda it: given_back(_codes(it)), "doc_id long, lang string, codes array<int>").withColumn("u", unit_hash("doc_id", 11)), "language-sample")
+    # the sample has about 2 * per_language rows of a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", F.xxhash64("codes")))
+    out = rows.withColumn("rank", rank).where(F.col("rank") <= per_language).collect()
+    discard(rows)
+    return train([(r.doc_id, r.lang, np.array(r.codes, np.int64)) for r in sorted(out, key=lambda r: (r.lang, r.rank))])
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,28 +137,28 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
     def scored(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-        m = shared.value
+        languages, vocab, weights = shared.value
         flags = np.zeros(SIZE, bool)
         for x in batches:
             for lo in range(0, len(x), 256):
                 part = x.slice(lo, 256)
-                rows, seen = np.zeros((len(part), len(m.vocab)), np.float32), np.zeros(len(part), bool)
+                rows, seen = np.zeros((len(part), len(vocab)), np.float32), np.zeros(len(part), bool)
                 for i, t in enumerate(part.column(1)):
                     if t := t.as_py():
                         flags[:] = False
                         seen[i] = presence(t, flags)
-                        rows[i] = flags[m.vocab]
+                        rows[i] = flags[vocab]
                         rows[i] /= np.sqrt(np.count_nonzero(flags))
                 names, p = np.full(len(part), _UND, object), np.zeros(len(part))
-                if m.languages:
-                    s = (rows @ m.weights).astype(np.float64) * 3
+                if languages:
+                    s = (rows @ weights).astype(np.float64) * 3
                     s = np.exp(s - s.max(axis=1, keepdims=True))
                     best = s.argmax(axis=1)
-                    names[seen] = np.array(m.languages, object)[best[seen]]
+                    names[seen] = np.array(languages, object)[best[seen]]
                     p[seen] = np.round((s.max(axis=1) / s.sum(axis=1))[seen], 6)
                 yield pa.record_batch([part.column(0), pa.array(names.tolist(), pa.string()), pa.array(p)], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scored, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: given_back(scored(it)), "doc_id long, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
