@@ -10,7 +10,7 @@ from claimlens.session import counted, discard, materialize
 
 
 #: Links that a task contracts, on average, once each partition's own links are contracted.
-LINKS = 4_096
+LINKS = 10_000
 
 
 def _forest(batches, roots: bool = False):
@@ -71,15 +71,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if r == max_rounds:
             raise RuntimeError(f"components: not stable after {max_rounds} rounds")
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("u", "v")
-        least, _ = counted(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "cc-least")
-        large = materialize(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "cc-large")
-        small, _ = counted(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "cc-small")
+        least, _ = counted(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")).coalesce(tasks), "cc-least")
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct().coalesce(tasks), "cc-large")
+        small, _ = counted(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")).coalesce(tasks), "cc-small")
         down = large.select(F.col("b").alias("u"), "a").join(small, "u")
         nxt = down.select(F.col("m").alias("a"), F.explode(F.array("a", "u")).alias("b")).where("a < b").unionByName(e.where("a = b")).distinct()
-        nxt = materialize(nxt.mapInArrow(_forest, kind), "cc")
+        nxt = materialize(nxt.coalesce(tasks).mapInArrow(_forest, kind), "cc")
         discard(e, least, large, small)
         e = nxt
     found = e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")))
-    found = materialize(found.groupBy("node").agg(F.min("component").alias("component")), "cc-found")
+    found = materialize(found.groupBy("node").agg(F.min("component").alias("component")).coalesce(tasks), "cc-found")
     discard(e)
     return found
