@@ -3,8 +3,10 @@ marker, a marked word is segmented the same wherever it stands, so each distinct
 are joined back by position.
 
 The table belongs to a task: a table of the whole corpus would have to be shuffled to every position of every
-word, which moves more than the texts themselves. It is emptied at TABLE_ROWS entries, which bounds its memory and
-changes no result. A model whose pieces cross markers is run on whole texts instead."""
+word, which moves more than the texts themselves (figures in the README). It has two generations of at most half
+TABLE_ROWS entries each (and what one part of the texts adds), of which the older is forgotten when the younger is full,
+but for what is used again; so its memory is bounded, frequent chunks stay, and no result changes. A model whose pieces cross markers, or whose normaliser changes characters or
+white space, is run on whole texts instead."""
 
 from __future__ import annotations
 
@@ -13,15 +15,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.llm.common import documents
+from claimlens.llm.common import documents, given_back
 
-TABLE_ROWS = 600_000
+TABLE_ROWS = 300_000
 #: Longer chunks are segmented where they stand and not kept.
 TABLE_CHARS = 64
 MARK = "▁"
+#: Characters of the texts that are encoded together; a longer text is on its own.
+PART_CHARS = 1_000_000
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 
@@ -37,6 +42,37 @@ def load(path: str) -> bytes:
         return f.read()
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, message[at : at + size]
+            at += size
+
+
+def plain_normaliser(model: bytes) -> bool:
+    """Whether the model's normaliser puts one marker before a text, makes each space a marker and changes nothing else."""
+    spec = dict(_fields(dict(_fields(model)).get(3, b"")))
+    return not spec.get(2) and spec.get(3, 1) == 1 and spec.get(4, 1) == 0 and spec.get(5, 1) == 1
+
+
 class Encoder:
     """The library's encode and decode, by a table of distinct chunks."""
 
@@ -45,12 +81,12 @@ class Encoder:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        # the library puts one marker before a text and keeps all others
-        plain = self.sp.encode("  a  b ", out_type=str)
-        self.by_chunk = not any(MARK in p.lstrip(MARK) for p in pieces) and "".join(plain) == f"{MARK * 3}a{MARK * 2}b{MARK}" and self.sp.decode(self.sp.encode(" a")) == " a" and MARK in pieces
+        self.by_chunk = plain_normaliser(model) and MARK in pieces and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.end = self.sp.eos_id()
         self.mark = (self.sp.piece_to_id(MARK),)
-        self.table: dict[str, tuple[int, str, str]] = {}
+        #: chunk: number of ids, ids as text, decoded text (None where it is the chunk itself)
+        self.table: dict[str, tuple[int, str, str | None]] = {}
+        self.older: dict[str, tuple[int, str, str | None]] = {}
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text, each without its first marker."""
@@ -62,13 +98,18 @@ class Encoder:
             return text.split(" ")
         return [c[1:] for c in CHUNK.findall(" " + text)]
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[int, str, str]]]:
-        """For each text (number of ids, ids as text, decoded text with its marker as a space) of its chunks, without the end id."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text its number of ids, ids as text and decoded text, without the end id."""
         lists = [self.chunks(t) for t in texts]
-        if len(self.table) > TABLE_ROWS:
-            self.table.clear()
-        table, long = self.table, {}
-        new = [c for c in dict.fromkeys(c for x in lists for c in x) if c not in table]
+        if len(self.table) > TABLE_ROWS // 2:
+            self.table, self.older = {}, self.table
+        table, older, long, new = self.table, self.older, {}, []
+        for c in dict.fromkeys([c for x in lists for c in x]):
+            if c not in table:
+                if c in older:
+                    table[c] = older[c]
+                else:
+                    new.append(c)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             ids = self.sp.encode(part, num_threads=1)
@@ -76,9 +117,11 @@ class Encoder:
             for c, x, t in zip(part, ids, decoded, strict=True):
                 if not c:  # a marker with nothing after it; the library does not see it in an empty text
                     x, t = self.mark, ""
-                (table if len(c) <= TABLE_CHARS else long)[c] = (len(x), " ".join(map(str, x)), " " + t)
+                (table if len(c) <= TABLE_CHARS else long)[c] = (len(x), " ".join(map(str, x)), None if c == t else t)
         for x in lists:
-            yield [table[c] if c in table else long[c] for c in x] if long else [table[c] for c in x]
+            found = [table[c] if c in table else long[c] for c in x] if long else [table[c] for c in x]
+            decoded = " ".join([c if r[2] is None else r[2] for c, r in zip(x, found, strict=True)])
+            yield sum([r[0] for r in found]), " ".join([r[1] for r in found]), decoded
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -86,16 +129,19 @@ class Encoder:
 
 def _each(batches, model: bytes, make, schema: pa.Schema):
     encoder = Encoder(model)
-    gc.disable()  # the table has no cycles, and walking it again and again takes longer than the rest
     for x in batches:
         ids, texts = x.column(0), x.column(1)
         lo = 0
         while lo < len(texts):
             part, size = [], 0
-            while lo + len(part) < len(texts) and len(part) < 512 and size < 4_000_000:
+            while lo + len(part) < len(texts) and len(part) < 512 and size < PART_CHARS:
                 part.append(texts[lo + len(part)].as_py() or "")
                 size += len(part[-1])
-            out = [make(encoder, r) for r in (encoder.encode(part) if make is not _text else part)]
+            gc.disable()  # the table has no cycles, and walking it again and again takes longer than the rest
+            try:
+                out = [make(encoder, r) for r in (encoder.encode(part) if make is not _text else part)]
+            finally:
+                gc.enable()
             passed = [x.column(j).slice(lo, len(part)) for j in range(2, x.num_columns)]
             made = list(schema)[1 : len(schema) - len(passed)]
             yield pa.record_batch([ids.slice(lo, len(part)).cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made, strict=True)), *passed], schema=schema)
@@ -103,12 +149,11 @@ def _each(batches, model: bytes, make, schema: pa.Schema):
 
 
 def _text(encoder: Encoder, ids):
-    return (encoder.decode(list(ids)) if ids else "",)
+    return (encoder.decode(list(ids)) if len(ids) else "",)
 
 
-def _ids(encoder: Encoder, rows):
-    ids = [int(i) for r in rows for i in r[1].split(" ")] + [encoder.end]
-    return len(ids), ids
+def _ids(encoder: Encoder, row: tuple[int, str, str]):
+    return row[0] + 1, np.append(np.fromstring(row[1], np.int32, sep=" "), np.int32(encoder.end))
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None, position: str | None = None) -> DataFrame:
@@ -118,23 +163,22 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("position", pa.int64())] * bool(position))
     data = load(model or default_model())
     columns = [f"cast(`{doc_id}` as long)", f"`{text}`"] + [f"cast(`{position}` as long)"] * bool(position)
-    return docs.selectExpr(*columns).mapInArrow(lambda it: _each(it, data, _ids, schema), "doc_id long, n_tokens long, ids array<int>" + ", position long" * bool(position))
+    return docs.selectExpr(*columns).mapInArrow(lambda it: given_back(_each(it, data, _ids, schema)), "doc_id long, n_tokens long, ids array<int>" + ", position long" * bool(position))
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", model: str | None = None) -> DataFrame:
     """doc_id, text of every row of ids; the end id has no text, null ids give an empty text."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
     data = load(model or default_model())
-    return encoded.selectExpr(f"cast(`{doc_id}` as long)", f"`{ids}`").mapInArrow(lambda it: _each(it, data, _text, schema), "doc_id long, text string")
+    return encoded.selectExpr(f"cast(`{doc_id}` as long)", f"`{ids}`").mapInArrow(lambda it: given_back(_each(it, data, _text, schema)), "doc_id long, text string")
 
 
-def _digests(encoder: Encoder, rows):
-    ids = " ".join([r[1] for r in rows] + [str(encoder.end)])
-    decoded = "".join([r[2] for r in rows])[1:]
-    return sum([r[0] for r in rows]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+def _digests(encoder: Encoder, row: tuple[int, str, str]):
+    n, ids, decoded = row
+    return n + 1, hashlib.sha256(f"{ids} {encoder.end}".lstrip().encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     data = load(default_model())
-    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(lambda it: _each(it, data, _digests, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(lambda it: given_back(_each(it, data, _digests, schema)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
