@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -307,14 +308,14 @@ def _overlaps(batches):
 BROADCAST_BYTES = 16_000_000
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, small: bool) -> DataFrame:
-    """Those of pairs (a, b, la, lb) that link. Each pair carries the hashes of its b to those of its a, unless the sets are
+def _verified(pairs: DataFrame, sets: DataFrame, small: bool, n: int) -> DataFrame:
+    """Those of n pairs (a, b, la, lb) that link. Each pair carries the hashes of its b to those of its a, unless the sets are
     small enough to be everywhere."""
     sets = F.broadcast(sets) if small else sets.hint("merge")
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "na", "nb", "ha", "hb")
-    return both.mapInArrow(lambda it: given_back(_overlaps(it)), LINKS_SQL)
+    return _in_tasks(both, n, TASK_PAIRS).mapInArrow(lambda it: given_back(_overlaps(it)), LINKS_SQL)
 
 
 def _dealt(blobs: DataFrame) -> DataFrame:
@@ -365,15 +366,25 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairs: in
     return classes, edges
 
 
+#: Rows, and pairs to be compared, for each task of a round. Late rounds have few rows, and many tasks of a few rows each
+#: take longer than their work.
+TASK_ROWS, TASK_PAIRS = 20_000, 2_000
+
+
+def _in_tasks(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """df, which has up to about so many rows, in no more tasks than these are worth."""
+    return df.coalesce(max(1, min(partitions(df.sparkSession), -(-rows // each))))
+
+
 def _linked(sets: DataFrame, most_pairs: int) -> DataFrame:
     """Edges (a, b) between sets (rep, n, h, prefix) that link, enough of them to connect each component of links. Two sets of
     n and m hashes whose places of a common hash are p and q can link only if the hashes from there on hold the overlap, at
     least 3/7 of n + m, where no common hash stands before; and if their sizes are within 3:4."""
-    n_sets, size = sets.agg(F.count("*"), F.sum(F.length("h"))).first()
-    small = (size or 0) <= BROADCAST_BYTES
+    n_sets, size, n = sets.agg(F.count("*"), F.coalesce(F.sum(F.length("h")), F.lit(0)), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
+    small = size <= BROADCAST_BYTES
     entries = sets.select("rep", "n", (F.col("n") - F.length("h") / 8).cast("long").alias("skipped"), F.posexplode("prefix").alias("at", "h"))
     # a link's smaller set has their first common hash within its first seventh, so a block needs such a member
-    mine = materialize(entries.select("h", "rep", "n", (F.col("skipped") + F.col("at")).alias("p"), F.col("rep").alias("label")), "near-entries")
+    mine = materialize(_in_tasks(entries.select("h", "rep", "n", (F.col("skipped") + F.col("at")).alias("p"), F.col("rep").alias("label")), n), "near-entries")
     edges = sets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
     share = 1.0
     early = F.when(F.expr("7 * p <= n"), F.col("n"))
@@ -384,12 +395,12 @@ def _linked(sets: DataFrame, most_pairs: int) -> DataFrame:
         blocks = parts.groupBy("h").agg(F.count("*").alias("labels"), F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("major"), F.min("least").alias("least"), F.max("most").alias("most"))
         # a pair of two components has a member outside the largest one of the block
         blocks = blocks.where("labels > 1 and least is not null").select("h", "least", "most", F.col("major.label").alias("major"), (F.col("m") - F.col("major.m")).alias("minor"))
-        blocks, n_blocks = counted(blocks, "near-blocks")
+        blocks, n_blocks = counted(_in_tasks(blocks, n), "near-blocks")
         if not n_blocks:
             break
         # what is smaller than all that may be the smaller one of a link, or too large for them, is out
-        open_ = materialize(mine.join(blocks, "h").where("n >= least and 3 * n <= 4 * most").drop("least", "most"), "near-open")
-        left = max(1, open_.count())
+        open_ = materialize(_in_tasks(mine.join(blocks, "h").where("n >= least and 3 * n <= 4 * most").drop("least", "most"), n), "near-open")
+        n = left = max(1, open_.count())
         if r < len(FEW_PIVOTS):
             many = FEW_PIVOTS[r]
             able, bucket, closed = F.expr("7 * p <= n"), F.pmod(F.xxhash64(F.lit(-r), "rep"), F.lit(many)), F.lit(False)
@@ -401,29 +412,29 @@ def _linked(sets: DataFrame, most_pairs: int) -> DataFrame:
         # of the first round the smallest members, which most others can link to; later any
         order = F.struct(F.col("n") if r == 0 else F.lit(0), F.xxhash64(F.lit(r), "h", "rep"))
         pivots = open_.where(able).groupBy("h", bucket.alias("s")).agg(F.min_by(F.struct("rep", "n", "p", "label"), order).alias("pivot"))
-        pivots = materialize(pivots.groupBy("h").agg(F.collect_list("pivot").alias("pivots")), "near-pivots")
+        pivots = materialize(_in_tasks(pivots.groupBy("h").agg(F.collect_list("pivot").alias("pivots")), n), "near-pivots")
         pivots = limited(pivots, pivots.agg(F.sum(F.size("pivots"))).first()[0] or 0)
         both = open_.join(pivots, "h")
         can = F.expr("filter(pivots, x -> x.label != label and 4 * n >= 3 * x.n and 4 * x.n >= 3 * n and 7 * least(n - p, x.n - x.p) >= 3 * (n + x.n))")
         pairs = both.select("rep", "label", F.explode(can).alias("x")).select(F.col("rep").alias("a"), F.col("x.rep").alias("b"), F.col("label").alias("la"), F.col("x.label").alias("lb"))
         turned = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "la", "lb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("lb").alias("la"), F.col("la").alias("lb")))
-        pairs = materialize(pairs.select(turned.alias("x")).distinct().select("x.*"), "near-pairs")
+        pairs = materialize(_in_tasks(pairs.select(turned.alias("x")).distinct().select("x.*"), n), "near-pairs")
         n_pairs = pairs.count()
         share = max(1.0, n_pairs) / (left * many)
         # a pivot has met all others of its block; a block whose smaller components have all been pivots is done
         rest = both.where(~closed & ~F.array_contains(F.transform("pivots", lambda x: x["rep"]), F.col("rep"))).select("h", "rep", "n", "p", "label")
         gone = [mine, blocks, open_, pivots, pairs]
         if n_pairs:
-            found = materialize(_verified(pairs, sets, small), "near-links")
+            found = materialize(_verified(pairs, sets, small, n_pairs), "near-links")
             edges = edges.unionByName(found.select("a", "b"))
             if found.limit(1).count():
                 merged, _ = counted(components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "label"), "near-labels")
                 rest = rest.join(merged, "label", "left").select("h", "rep", "n", "p", F.coalesce("component", "label").alias("label"))
                 gone.append(merged)
-        mine = materialize(rest, "near-entries")
+        mine = materialize(_in_tasks(rest, n), "near-entries")
         discard(*gone)
         sweep(sets.sparkSession)
-    edges = materialize(edges, "near-edges")
+    edges = materialize(_in_tasks(edges, edges.count()), "near-edges")
     discard(mine)
     return edges
 
@@ -461,16 +472,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = docs.join(mixed, docs[doc_id].cast("long") == mixed["__gone"], "left_semi")
     stay = found.where("not gone").join(mixed, "__gone", "left_semi").select(F.col("__gone").alias("__id"), F.coalesce("class", F.lit(0)).alias("__class")).distinct()
     stay, _ = counted(stay, "near-stay")
-    names = F.udf(_class_of, "long")
+    names = F.pandas_udf(_classes_of, "long")
     rows = rows.withColumn("__of", names(rows[text].cast("string")))
     rows = rows.join(stay, (rows[doc_id].cast("long") == stay["__id"]) & (rows["__of"] == stay["__class"]), "left_semi")
     return kept.unionByName(rows.drop("__of"))
 
 
-def _class_of(text: str | None) -> int:
-    """The class of one text, 0 without words."""
-    s = next(iter(shingle_sets(pa.array([text], pa.string()))))
-    return _signed(_class(s)[0]) if len(s) else 0
+def _classes_of(texts: pd.Series) -> pd.Series:
+    """The class of each text, 0 without words."""
+    sets = shingle_sets(pa.array(texts, pa.string(), from_pandas=True))
+    return pd.Series([_signed(_class(s)[0]) if len(s) else 0 for s in sets], dtype="int64")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
