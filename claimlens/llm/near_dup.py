@@ -368,7 +368,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairs: in
 
 #: Rows, and pairs to be compared, for each task of a round. Late rounds have few rows, and many tasks of a few rows each
 #: take longer than their work.
-TASK_ROWS, TASK_PAIRS = 20_000, 2_000
+TASK_ROWS, TASK_PAIRS = 20_000, 500
 
 
 def _in_tasks(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
