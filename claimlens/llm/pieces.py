@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.llm.common import documents, given_back
 
-TABLE_ROWS = 300_000
+TABLE_ROWS = 160_000
 #: Longer chunks are segmented where they stand and not kept.
 TABLE_CHARS = 64
 MARK = "▁"
