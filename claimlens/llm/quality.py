@@ -24,8 +24,8 @@ MAX_FEATURES = 12_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
 THRESHOLD = 0.3
-#: The feature of every bigram of a word and itself, whatever the word. Chosen on the labels that may be learnt from, three
-#: of their four folds against the fourth (sf0.1: AUC 0.953 without, 1.000 with it).
+#: The feature of every bigram of a word and itself, whatever the word. Compared on the labels that may be learnt from, three
+#: of their four folds against the fourth (sf0.1): AUC 0.953 without, 1.000 with it.
 REPEAT = 0
 
 _KIND = np.full(256, 2, np.uint8)
