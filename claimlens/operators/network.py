@@ -197,9 +197,10 @@ def communities(e: DataFrame, members: DataFrame, split_over: int = 120, most_ed
 
 
 def share_features(e: DataFrame, membership: DataFrame, kinds: list[str]) -> DataFrame:
-    """Per community and kind: most members on one shared node, and shared nodes."""
+    """Per community and kind: most members on one shared node, and shared nodes. A community whose shared nodes are all of
+    other kinds has a row of zeros."""
     both = _both(e).where(kind_of("src") == "provider").join(membership.withColumnRenamed("node", "src"), "src")
-    on = both.withColumn("kind", kind_of("dst")).where(F.col("kind").isin(*kinds)).groupBy("community", "kind", "dst").agg(F.countDistinct("src").alias("n")).where("n > 1")
+    on = both.withColumn("kind", kind_of("dst")).groupBy("community", "kind", "dst").agg(F.countDistinct("src").alias("n")).where("n > 1")
     wide = on.groupBy("community").pivot("kind", sorted(kinds)).agg(F.max("n").alias("share"), F.count("n").alias("nodes"))
     return wide.na.fill(0)
 

@@ -114,6 +114,13 @@ def test_network(spark):
     assert {r.node for r in net.hubs(e, {"addr": 2, "phone": 3}).collect()} == {"addr:x", "addr:y"}
 
 
+def test_share_features_of_communities_that_share_other_kinds_only(spark):
+    e = spark.createDataFrame([(f"person:{x}" if x else "addr:a", f"provider:{i}", "r", 1.0) for i, x in ((1, 7), (2, 7), (3, 0), (4, 0))], "src string, dst string, rel string, weight double")
+    m = spark.createDataFrame([(f"provider:{i}", "c" if i < 3 else "d") for i in range(1, 5)], "node string, community string")
+    got = {r.community: (r.addr_share, r.addr_nodes, r.mail_share, r.mail_nodes) for r in net.share_features(e, m, ["addr", "mail"]).collect()}
+    assert got == {"c": (0, 0, 0, 0), "d": (2, 1, 0, 0)}
+
+
 def test_communities_refine_components(spark):
     edges = [(f"provider:{g}{i}", f"provider:{g}{j}") for g in "ab" for i in range(8) for j in range(i)] + [("provider:a0", "provider:b0")]
     e = spark.createDataFrame([(min(x), max(x), "addr", 1.0) for x in edges], "src string, dst string, rel string, weight double")
