@@ -178,9 +178,9 @@ def subject_tools(tables: dict[str, DataFrame], subject: str, is_network: bool,
     }
 
 
-def top_of_place(risk: DataFrame, place: str, value, k: int = 8) -> DataFrame:
-    """The k best ranked of a place."""
-    return risk.where(F.col(place) == value).orderBy("rank").limit(k)
+def top_of_place(risk: DataFrame, place: str, value, k: int = 8, unique: str = "npi") -> DataFrame:
+    """The k best ranked of a place; of equal ranks those with the smallest number."""
+    return risk.where(F.col(place) == value).orderBy("rank", unique).limit(k)
 
 
 def area_context(risk: DataFrame, who: DataFrame, scopes: list[str], least: int = 3) -> DataFrame:

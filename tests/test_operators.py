@@ -198,6 +198,11 @@ def test_precision_and_similar_orgs(spark):
     assert [(r.a, r.b) for r in similar_orgs(orgs, "id", "name", "state").collect()] == [(1, 2)]
 
 
+def test_top_of_place_with_equal_ranks(spark):
+    risk = spark.range(1000, 0, -1).select(F.col("id").alias("npi"), F.lit("X").alias("state"), F.pmod("id", F.lit(2)).alias("rank")).repartition(4)
+    assert [r.npi for r in serve.top_of_place(risk, "state", "X", 5).collect()] == [2, 4, 6, 8, 10]
+
+
 def test_profile_and_payload(spark):
     reg = spark.createDataFrame([("1", "A"), ("2", "B")], "npi string, name string")
     pay = spark.createDataFrame([("1", 5), ("1", 3)], "npi string, v int")
