@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.functions import casts, keys
-from claimlens.operators.similarity import jaro_winkler
+from claimlens.operators.similarity import jaro_winkler, similarities
 from claimlens.plans.data import cents, r4, table
 
 
@@ -70,7 +70,7 @@ def jw(spark, sf_dir):
     """Similarity of names within a block."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.substring("c_name", 10, 9).alias("a"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.substring("s_name", 10, 9).alias("b"))
-    return c.join(s, "c_nationkey").select("c_custkey", "s_suppkey", r4(jaro_winkler("a", "b")).alias("similarity"))
+    return similarities(c, s, "c_custkey", "s_suppkey", "c_nationkey", "a", "b", lambda a, b: r4(jaro_winkler(a, b)))
 
 
 JW = """SELECT c_custkey, s_suppkey, round(jaro_winkler_similarity(substr(c_name, 10, 9), substr(s_name, 10, 9)), 4) AS similarity FROM customer JOIN supplier ON c_nationkey = s_nationkey"""

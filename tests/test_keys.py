@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from claimlens.functions import casts, keys
-from claimlens.operators.similarity import jaro_winkler_py, token_set_ratio_py
+from claimlens.operators.similarity import _jaro_winkler, jaro_winkler_py, similarities, token_set_ratio_py
 
 
 def one(spark, c):
@@ -115,3 +116,30 @@ def test_release_texts(spark):
 def test_flag_ids(spark):
     df = spark.range(1000).select(casts.flag_id(F.lit("D3"), F.col("id")).alias("i"))
     assert df.where("i < 0").count() == 0 and df.distinct().count() == 1000
+
+
+def test_jaro_winkler_in_batches():
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice(rnd.choice(("ab", "abcé", "0123"))) for _ in range(rnd.choice((0, 1, 2, 5, 9, 9, 12, 70))))
+    pairs = [(word(), word()) for _ in range(3000)] + [(None, "a"), ("a", None), ("", ""), ("x", "x")]
+    for some in (pairs, [("000000123", "000003210"), ("123456789", "987654321")], [p for p in pairs if p[0] and p[1] and (p[0] + p[1]).isascii()], []):
+        got = _jaro_winkler(*(pa.array([p[i] for p in some], pa.string()) for i in (0, 1))).to_pylist()
+        assert got == [None if a is None or b is None else jaro_winkler_py(a, b) for a, b in some]
+
+
+def test_similarities_compare_a_pair_of_names_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def measure(a, b):
+        @F.udf("double")
+        def f(x, y):
+            seen.add(1)
+            return None if x is None or y is None else float(x == y)
+
+        return f(a, b)
+
+    left = spark.range(60).select(F.col("id").alias("l"), (F.col("id") % 2).alias("k"), F.when(F.col("id") % 6 != 5, F.concat(F.lit("n"), F.col("id") % 6)).alias("a"))
+    right = spark.range(40).select(F.col("id").alias("r"), (F.col("id") % 2).alias("k"), F.concat(F.lit("n"), F.col("id") % 4).alias("b"))
+    got = sorted(map(tuple, similarities(left, right, "l", "r", "k", "a", "b", measure).collect()), key=repr)
+    assert got == sorted(((i, j, None if i % 6 == 5 else float(i % 6 == j % 4)) for i in range(60) for j in range(40) if i % 2 == j % 2), key=repr)
+    assert seen.value == 12
