@@ -13,15 +13,25 @@ def _grams(name: str, size: int) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(size)))))
 
 
+def _candidates(short: DataFrame, long: DataFrame, least: int) -> DataFrame:
+    """(state, sname, lname): the distinct short names whose runs of characters long names of the state have, each with the
+    long names that have its rarest run. Runs go by their hash, which can only add candidates."""
+    gram = lambda c: F.explode(F.transform(_grams(c, least), lambda g: F.xxhash64(g)))
+    runs = long.select("state", F.col("name").alias("lname")).distinct().select("state", "lname", gram("lname").alias("gram"))
+    counts = runs.groupBy("state", "gram").agg(F.count("*").alias("n"))
+    mine = short.select("state", F.col("name").alias("sname")).distinct().select("state", "sname", gram("sname").alias("gram"))
+    rare = mine.join(counts, ["state", "gram"], "left").groupBy("state", "sname").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all")).where("all")
+    return rare.join(runs, ["state", "gram"]).select("state", "sname", "lname")
+
+
 def containing(short: DataFrame, long: DataFrame, least: int) -> DataFrame:
     """Pairs (sid, lid) of names (sid, state, name; lid, state, name) of which the short one, of at least `least` characters,
-    is contained in the long one of the same state. A contained name's runs of characters are all in the other, so pairs
-    are looked up by the run that the fewest long names of the state have, and then verified."""
-    runs = long.select("lid", "state", F.col("name").alias("lname"), F.explode(_grams("name", least)).alias("gram"))
-    counts = runs.groupBy("state", "gram").agg(F.count("*").alias("n"))
-    mine = short.select("sid", "state", F.col("name").alias("sname"), F.explode(_grams("name", least)).alias("gram"))
-    rare = mine.join(counts, ["state", "gram"]).groupBy("sid", "state", "sname").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return rare.join(runs, ["state", "gram"]).where(F.col("lname").contains(F.col("sname"))).select("sid", "lid")
+    is contained in the long one of the same state. A contained name's runs of characters are all in the other, so a name
+    with a run that no long name of the state has is in none; the others are looked up by the run that the fewest long
+    names have, and then verified. A name of a state is looked up once for all rows that have it."""
+    names = _candidates(short, long, least).where(F.col("lname").contains(F.col("sname")))
+    found = names.join(short.select("sid", "state", F.col("name").alias("sname")), ["state", "sname"])
+    return found.join(long.select("lid", "state", F.col("name").alias("lname")), ["state", "lname"]).select("sid", "lid")
 
 
 def match_or_contains(left: DataFrame, right: DataFrame, lid: str, rid: str, lname: str, rname: str, lstate: str, rstate: str, least: int = 8) -> DataFrame:

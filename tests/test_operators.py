@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimlens.operators import network as net
 from claimlens.operators import factors, fusion, graph, predict, serve, sets
-from claimlens.operators.blocking import containing, pairs_in_blocks
+from claimlens.operators.blocking import _candidates, containing, pairs_in_blocks
 from claimlens.operators.graph import components
 from claimlens.operators.ranking import burst, framed_median, global_rank
 from claimlens.operators.resolve import fit, resolve
@@ -213,6 +213,17 @@ def test_profile_and_payload(spark):
     assert '"src":"provider:1"' in net.payload(m, e).first().graph
 
 
+def test_containing_looks_up_only_names_whose_runs_are_all_there(spark):
+    # all share the run COMMON, one of the short names is in a long one
+    name = lambda end: F.concat(F.lit("COMMON"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(end)).alias("name")
+    short = spark.range(300).select(F.col("id").alias("sid"), F.lit("X").alias("state"), name(""))
+    long = spark.range(299, 599).select(F.col("id").alias("lid"), F.lit("X").alias("state"), name("Z"))
+    assert _candidates(short, long, 6).count() == 1
+    assert [tuple(r) for r in containing(short, long, 6).collect()] == [(299, 299)]
+    twice = short.unionByName(short.withColumn("sid", F.col("sid") + 1000))
+    assert _candidates(twice, long, 6).count() == 1 and sorted(r.sid for r in containing(twice, long, 6).collect()) == [299, 1299]
+
+
 def test_containing(spark):
     rnd = random.Random(9)
     names = ["".join(rnd.choice("AB") for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
