@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from claimlens.operators.ranking import percent_rank, top_per_group
 from claimlens.operators.robust import median_mad, quantile, robust_z, with_fallback
+from claimlens.session import counted
 
 CONSERVATIVE = 1.5
 TRIM = 0.2
@@ -19,9 +20,11 @@ MIN_CELLS = 30
 def rate_estimates(cells: DataFrame, keys: list[str], value: str = "ppl", crossover: str = "crossover", min_cells: int = MIN_CELLS) -> DataFrame:
     """Per keys: quantiles of payment per line and the rate. The rate is the 5th percentile without strays (below a
     fifth of the median); the median for crossover families, whose payments are partial. Groups of few cells have none."""
-    med = cells.groupBy(*keys).agg(F.count("*").alias("n_cells"), F.median(value).alias("p50")).where(F.col("n_cells") >= min_cells)
+    cells = cells.repartition(*keys)  # each value is shuffled as it is, not as part of a map for each quantile
+    med, _ = counted(cells.groupBy(*keys).agg(F.count("*").alias("n_cells"), F.median(value).alias("p50")).where(F.col("n_cells") >= min_cells), "rate-medians")
     x = cells.join(med, keys).withColumn("__kept", F.when(F.col(value) >= TRIM * F.col("p50"), F.col(value)))
-    out = x.groupBy(*keys, "n_cells", "p50", crossover).agg(quantile(value, 0.05).alias("p05"), quantile("__kept", 0.05).alias("p05_trim"), quantile(value, 0.25).alias("p25"), quantile(value, 0.75).alias("p75"))
+    out = x.groupBy(*keys, "n_cells", "p50", crossover).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.25), F.lit(0.75))).alias("__q"), quantile("__kept", 0.05).alias("p05_trim"))
+    out = out.select(*keys, "n_cells", "p50", crossover, F.col("__q")[0].alias("p05"), "p05_trim", F.col("__q")[1].alias("p25"), F.col("__q")[2].alias("p75"))
     rate = F.when(F.col(crossover), F.col("p50")).otherwise(F.coalesce("p05_trim", "p05"))
     return out.withColumn("rate_est", rate)
 
@@ -57,12 +60,13 @@ def implied_hours(lines: Column, paid: Column, minutes: Column, group: Column, r
 
 
 def month_rollup(implied: DataFrame, keys: list[str]) -> DataFrame:
-    """Per keys (which hold the month): hours, the personal-service part of them, cap allowance and concurrency."""
+    """Per keys (which hold the month): hours, the personal-service part of them, cap allowance and concurrency. Billing
+    numbers and codes are counted by a set for each row: counts of distinct values would shuffle every line three times."""
     own = lambda c: F.coalesce(F.sum(F.when(F.col("personal_service"), F.col(c))), F.lit(0.0)).alias(f"{c}_personal")
     days = F.day(F.last_day("month_start")).cast("long")
     return implied.groupBy(*keys).agg(
         *(F.sum(c).alias(c) for c in ("hours_lb", "hours_pt", "hours_cons")), *(own(c) for c in ("hours_lb", "hours_pt", "hours_cons")), F.sum("paid_c").alias("paid_c"), F.sum("lines").alias("lines"), F.sum("patients").alias("patients"),
-        F.countDistinct("billing").alias("n_billing"), F.countDistinct("hcpcs").alias("n_codes"), F.bool_or("high_vector").alias("any_high"), F.sum(F.when(F.col("cap_hours").isNotNull(), F.col("hours_cons"))).alias("capped_hours"),
+        *(F.size(F.collect_set(c)).cast("long").alias(n) for c, n in (("billing", "n_billing"), ("hcpcs", "n_codes"))), F.bool_or("high_vector").alias("any_high"), F.sum(F.when(F.col("cap_hours").isNotNull(), F.col("hours_cons"))).alias("capped_hours"),
         F.sum(F.col("cap_hours") * F.col("patients") * days).alias("cap_allowance"), F.max(days).alias("days_in_month"),
     )
 

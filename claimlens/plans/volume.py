@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimlens.operators import volume as v
 from claimlens.plans.data import SPEND, STATES, lines, r4, spend, states, table
-from claimlens.session import materialize
+from claimlens.session import counted, discard, materialize, sweep
 
 CROSSOVER = ("ECONOMY", "PROMO")
 
@@ -15,6 +15,14 @@ def _with_states(spark, sf_dir, df):
     return df.join(states(spark, sf_dir).select("npi", "state", "entity_type", "taxonomy", "enum_date"), "npi")
 
 
+def _spend(spark, sf_dir, *more):
+    """The columns of spend and of the registry that months are made of, written; the shuffles behind them are dropped."""
+    sp = _with_states(spark, sf_dir, spend(spark, sf_dir))
+    sp = materialize(sp.select("npi", "servicing", "hcpcs", "minutes", "month_start", "year", "lines", "paid_c", "patients", "state", "taxonomy", "entity_type", *more), "spend")
+    sweep(spark)
+    return sp
+
+
 def _rates(spark, sf_dir, df=None):
     s = (_with_states(spark, sf_dir, lines(spark, sf_dir)) if df is None else df).where("lines > 0 and paid_c > 0")
     cells = s.select("state", "hcpcs", "year", (F.col("paid_c").cast("double") / F.col("lines")).alias("ppl"), (F.substring("hcpcs", 7, 1) == "1").alias("crossover"))
@@ -52,9 +60,10 @@ RATE_ERROR = f"WITH {RATES_CTE}, e AS (SELECT year, 100 * (rate_est - published_
 
 def _months(spark, sf_dir, df=None):
     """Months of providers; df is spend with the registry's columns, where the caller has it already."""
-    s = materialize(_with_states(spark, sf_dir, spend(spark, sf_dir)), "spend") if df is None else df
+    s = _spend(spark, sf_dir) if df is None else df
     s = s.where("lines > 0 and paid_c > 0")
-    r = _rates(spark, sf_dir, s).select("state", "hcpcs", "year", "rate_pt", "rate_cons")
+    r, _ = counted(_rates(spark, sf_dir, s).select("state", "hcpcs", "year", "rate_pt", "rate_cons"), "rates")
+    sweep(spark)
     x = s.join(r, ["state", "hcpcs", "year"])
     group = F.when(F.col("minutes") > 40, 2).otherwise(1)
     # sizes of parts are minutes; times a hundred, so that some months go over the limits
@@ -83,8 +92,17 @@ def months(spark, sf_dir):
 MONTHS = f"WITH {MONTHS_CTE} SELECT npi, month_start, paid_c, patients, n_billing, n_codes, any_high, round(hours_lb, 4) AS hours_lb, round(hours_cons_personal, 4) AS hours_cons_personal, round(cap_allowance, 4) AS cap_allowance, label FROM lab"
 
 
+def _written_months(spark, sf_dir, sp):
+    m = materialize(_months(spark, sf_dir, sp), "volume-months")
+    sweep(spark)
+    return m
+
+
 def baseline(spark, sf_dir):
-    x = v.scored(materialize(_months(spark, sf_dir), "volume-months").where("entity_type = '1'"), "hours_pt", "state", "taxonomy", "npi", 6)
+    sp = _spend(spark, sf_dir)
+    m = _written_months(spark, sf_dir, sp)
+    discard(sp)
+    x = v.scored(m.where("entity_type = '1'"), "hours_pt", "state", "taxonomy", "npi", 6)
     return x.select("npi", "month_start", "baseline_level", r4(F.col("baseline_median")).alias("baseline_median"), r4(F.col("robust_z")).alias("robust_z"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens.operators import network as net
-from claimlens.operators import factors, fusion, graph, predict, serve, sets
+from claimlens.operators import factors, fusion, graph, predict, serve, sets, volume
 from claimlens.operators.blocking import _candidates, containing, pairs_in_blocks
 from claimlens.operators.graph import components
 from claimlens.operators.ranking import burst, framed_median, global_rank
@@ -290,3 +290,29 @@ def test_resolve_by_given_ids(spark):
     old = spark.createDataFrame([flag(1, "D2", 1.0), flag(2, "D3", 2.0)], "id long, detector string, dollars double, evidence string")
     new = spark.createDataFrame([flag(3, "D3", 5.0), flag(3, "D3", 7.0)], old.schema)
     assert sorted((r.id, r.dollars) for r in put_flags(old, new, "D3").collect()) == [(1, 1.0), (3, 7.0)]
+
+
+def test_volume_baseline_keeps_no_written_lines(spark):
+    from claimlens.plans import volume as plans
+
+    assert "Expand" not in volume.month_rollup(_implied(spark), ["npi", "month_start"])._jdf.queryExecution().toString()
+    left = _spend_files(spark)
+    assert plans.baseline(spark, "/root/testdata/sf0.001").count() and _spend_files(spark) == left
+
+
+def _implied(spark):
+    cols = "npi long, month_start date, hours_lb double, hours_pt double, hours_cons double, personal_service boolean, paid_c long, lines long, patients int, billing long, hcpcs string, high_vector boolean, cap_hours double"
+    return spark.createDataFrame([(1, date(2020, 1, 1), 1.0, 1.0, 1.0, True, 5, 1, 1, b, h, False, None) for b, h in ((7, "x"), (7, "y"), (8, "x"), (None, "x"))], cols)
+
+
+def _spend_files(spark):
+    from pathlib import Path
+
+    from claimlens.session import shared_dir
+
+    return set(Path(shared_dir(spark).removeprefix("file://")).glob("claimlens/*/spend-*"))
+
+
+def test_month_rollup_counts_distinct(spark):
+    r = volume.month_rollup(_implied(spark), ["npi", "month_start"]).first()
+    assert (r.n_billing, r.n_codes, r.lines, r.hours_lb) == (2, 2, 4, 4.0)
