@@ -116,8 +116,10 @@ FROM ind LEFT JOIN g ON g.state = ind.state AND g.taxonomy = ind.taxonomy LEFT J
 
 def top(spark, sf_dir):
     """The indicator score per provider, with its peak deviation and its growth from one year to another."""
-    sp = materialize(_with_states(spark, sf_dir, spend(spark, sf_dir)), "spend")
-    m = materialize(_months(spark, sf_dir, sp), "volume-months")
+    sp = _spend(spark, sf_dir)
+    m = _written_months(spark, sf_dir, sp)
+    by = materialize(sp.where("year in (1996, 1998)").groupBy("npi").pivot("year", [1996, 1998]).agg(F.sum("paid_c")), "volume-years")
+    discard(sp)
     hit = lambda *names: F.count_if(F.col("label").isin(*names))
     x = m.groupBy("npi", "entity_type").agg(
         F.count("*").alias("months"), hit("IMPOSSIBLE_BY_LINE_COUNT", "IMPOSSIBLE_CONSERVATIVE_RATE", "IMPOSSIBLE_PER_PATIENT").alias("impossible"), hit("EXCEEDS_DAILY_CAP").alias("over_cap"), hit("IMPLAUSIBLE_OVER_16H").alias("implausible"),
@@ -125,7 +127,6 @@ def top(spark, sf_dir):
         F.max("n_billing").alias("max_billing"), F.max("patients").alias("max_patients"),
     )
     peak = v.scored(m, "hours_pt", "state", "taxonomy", "npi", 6).groupBy("npi").agg(F.max("robust_z").alias("peak_z"))
-    by = sp.where("year in (1996, 1998)").groupBy("npi").pivot("year", [1996, 1998]).agg(F.sum("paid_c"))
     x = x.join(peak, "npi", "left").join(by.select("npi", F.try_divide(F.col("1998").cast("double"), F.col("1996")).alias("growth")), "npi", "left")
     # a year's change in these tables is small, so the score is given four times the change
     score = v.indicator_score(F.col("impossible"), F.col("over_cap"), F.col("implausible"), F.col("umbrella"), F.col("peak_z"), F.col("orgs"), 4 * F.col("growth"), F.col("paid_c") / 100)
