@@ -316,3 +316,19 @@ def _spend_files(spark):
 def test_month_rollup_counts_distinct(spark):
     r = volume.month_rollup(_implied(spark), ["npi", "month_start"]).first()
     assert (r.n_billing, r.n_codes, r.lines, r.hours_lb) == (2, 2, 4, 4.0)
+
+
+def test_volume_top_keeps_no_written_lines(spark):
+    from claimlens.plans import volume as plans
+
+    left = _spend_files(spark)
+    assert plans.top(spark, "/root/testdata/sf0.001").count() and _spend_files(spark) == left
+
+
+def test_risk_fusion_writes_narrow_lines(spark):
+    from claimlens.plans import procedures
+
+    left = _spend_files(spark)
+    procedures.fused(spark, "/root/testdata/sf0.001")
+    (new,) = _spend_files(spark) - left
+    assert not {"family", "enum_date"} & set(spark.read.parquet(str(new)).columns)
