@@ -26,6 +26,12 @@ def r4(c: Column) -> Column:
     return F.round(c, 4)
 
 
+def r4_scaled(c: Column) -> Column:
+    """Four digits as DuckDB rounds them: of the product with 10,000, in which a tie can become none, or arise. Spark's
+    own round goes by the shortest decimal that stands for the number."""
+    return F.round(c * 1e4) / 1e4
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """npi, state, nation, entity_type, name, taxonomy, enum_date of suppliers."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.operators import volume as v
-from claimlens.plans.data import SPEND, STATES, lines, r4, spend, states, table
+from claimlens.plans.data import SPEND, STATES, lines, r4, r4_scaled, spend, states, table
 from claimlens.session import counted, discard, materialize, sweep
 
 CROSSOVER = ("ECONOMY", "PROMO")
@@ -86,7 +86,7 @@ lab AS (SELECT *, CASE WHEN entity_type = '1' AND hours_lb_personal / days_in_mo
 
 
 def months(spark, sf_dir):
-    return _months(spark, sf_dir).select("npi", "month_start", "paid_c", "patients", "n_billing", "n_codes", "any_high", r4(F.col("hours_lb")).alias("hours_lb"), r4(F.col("hours_cons_personal")).alias("hours_cons_personal"), r4(F.col("cap_allowance")).alias("cap_allowance"), "label")
+    return _months(spark, sf_dir).select("npi", "month_start", "paid_c", "patients", "n_billing", "n_codes", "any_high", *(r4_scaled(F.col(c)).alias(c) for c in ("hours_lb", "hours_cons_personal", "cap_allowance")), "label")
 
 
 MONTHS = f"WITH {MONTHS_CTE} SELECT npi, month_start, paid_c, patients, n_billing, n_codes, any_high, round(hours_lb, 4) AS hours_lb, round(hours_cons_personal, 4) AS hours_cons_personal, round(cap_allowance, 4) AS cap_allowance, label FROM lab"

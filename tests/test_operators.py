@@ -313,6 +313,28 @@ def _spend_files(spark):
     return set(Path(shared_dir(spark).removeprefix("file://")).glob("claimlens/*/spend-*"))
 
 
+def test_volume_months_rounds_ties_as_its_sql(spark, tmp_path):
+    """Hours whose exact value ends in a 5 in the fifth digit: 719.77375 and 1733.80625."""
+    import duckdb
+
+    from claimlens.plans import volume as plans
+
+    c = duckdb.connect()
+    for name in ("nation", "region", "supplier", "orders"):
+        c.execute(f"create table {name} as from '/root/testdata/sf0.001/{name}.parquet'")
+    supplier, order = c.execute("select min(s_suppkey) from supplier").fetchone()[0], c.execute("select min(o_orderkey) from orders").fetchone()[0]
+    sizes = [7, 12, 30]
+    c.execute(f"create table part as select i as p_partkey, 'Brand#11' as p_brand, 'STANDARD' as p_type, {sizes}[i] as p_size, 960.0::DOUBLE as p_retailprice from range(1, 4) t(i)")
+    c.execute(f"""create table lineitem as select {order}::BIGINT as l_orderkey, part::BIGINT as l_partkey, {supplier}::BIGINT as l_suppkey, TIMESTAMP '1997-01-05' + to_months(month) as l_shipdate, 1.0::DOUBLE as l_quantity,
+        price::DOUBLE as l_extendedprice, 1 as l_linenumber, 0.0::DOUBLE as l_tax, 0.0::DOUBLE as l_discount from (values (2, 0, 51823.71), (3, 1, 49933.62)) t(part, month, price) union all
+        select {order}, 2, {supplier}, TIMESTAMP '1997-05-05', 1, 1000, 1, 0, 0 from range(30)""")
+    for name in ("nation", "region", "supplier", "orders", "part", "lineitem"):
+        c.execute(f"copy {name} to '{tmp_path}/{name}.parquet'")
+    df = plans.months(spark, str(tmp_path))
+    got, want = df.collect(), c.execute(f"select {', '.join(df.columns)} from ({plans.MONTHS})").fetchall()
+    assert len(want) == 3 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_month_rollup_counts_distinct(spark):
     r = volume.month_rollup(_implied(spark), ["npi", "month_start"]).first()
     assert (r.n_billing, r.n_codes, r.lines, r.hours_lb) == (2, 2, 4, 4.0)
