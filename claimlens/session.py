@@ -113,5 +113,12 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the executors collect their garbage and give back the memory that their heaps grew to: G1 does so in a full
+    collection only, and what stays touched adds to the memory of the Python workers of what runs next."""
+    tasks = 2 * spark.sparkContext.defaultParallelism  # so many that each executor gets some
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc') as done").write.format("noop").mode("overwrite").save()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

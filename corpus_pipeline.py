@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, exact copies, near copies, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs; all but the last return the columns of documents."""
+one's docs; all but the last return the columns of documents. A stage whose work is done by Python first lets the
+executors give back what the stages before it left in their heaps."""
 
 from __future__ import annotations
 
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm import exact_dup, mixing, near_dup, pieces, quality
-from claimlens.session import materialize
+from claimlens.session import materialize, settle
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    settle(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,6 +29,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group that near-duplicate links connect."""
+    settle(spark)
     return near_dup.keep_one(docs)
 
 
@@ -39,6 +42,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, n_tokens, ids and position of every document; position counts from 0 in the order of the mix. Spark
     reads the mixing stage's files in any order, so the position is that of the row in its file, after all rows of
     the files before."""
+    settle(spark)
     return pieces.encode(_in_order(docs), position="__position")
 
 

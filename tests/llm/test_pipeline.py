@@ -1,3 +1,5 @@
+import gc
+
 import corpus_pipeline
 from claimlens.llm import mixing, quality
 
@@ -51,3 +53,10 @@ def test_encoded_rows_follow_the_mix(spark, docs, tmp_path):
     got = {r.position: r.doc_id for r in corpus_pipeline.encode_stage(spark, stored, "").collect()}
     want = [r.doc_id for r in sorted(mixing.schedule(docs).collect(), key=lambda r: r.position)]
     assert sorted(got) == list(range(len(want))) and [got[i] for i in range(len(want))] == want
+
+
+def test_executors_settle_before_encoding(spark, docs):
+    left = spark.sparkContext._jvm.java.lang.ref.WeakReference(spark.sparkContext._jvm.java.lang.Object())
+    gc.collect()  # the object's own reference, which Python's side holds
+    assert corpus_pipeline.encode_stage(spark, docs, "").columns == ["doc_id", "n_tokens", "ids", "position"]
+    assert left.get() is None
