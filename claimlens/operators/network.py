@@ -8,12 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.operators.graph import components
 from claimlens.operators.robust import median_mad
-from claimlens.session import materialize
+from claimlens.session import discard, materialize
 
 # How much a kind of link says.
 WEIGHTS = {"owner": 1.0, "managing": 0.8, "governance": 0.6, "addr": 0.6, "unit": 1.0, "mail": 0.5, "phone": 0.8, "fax": 0.6, "ao": 0.9, "ein": 1.0, "secondary": 0.4, "chow": 0.7, "owner_addr": 0.5}
@@ -118,7 +119,7 @@ def _local_moving(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: i
 
 def _moved(links: DataFrame, rounds: int) -> DataFrame:
     """(node, community) by rounds of local moves over all tasks: each round, a third of the nodes go to the community
-    of a neighbour with the best gain in modularity. The labels of the round with the best modularity are returned."""
+    of a neighbour with the best gain in modularity. The labels of the round with the best modularity are returned. For more nodes than an array of all may have; else see _moved_arrays."""
     both = links.where("src != dst").select("src", "dst", "weight")
     both = materialize(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.sum("weight").alias("w")), "net-both")
     ends = links.select("component", F.explode(F.array("src", "dst")).alias("node"), "weight")
@@ -146,9 +147,202 @@ def _moved(links: DataFrame, rounds: int) -> DataFrame:
     return best.select("component", "node", "community")
 
 
-def _coarser(links: DataFrame, most_edges: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+#: Nodes of wide components up to which the communities of all are arrays that every task has (about 30 bytes a node);
+#: with more, rounds of local moves join them.
+MOST_NODES = 10_000_000
+#: Ends of links in a packed row; a node with more has several rows.
+PACKED = 1 << 19
+PACKED_SQL = "s binary, d binary, w binary, part boolean"
+ENDS = (np.int32, np.int32, np.float64)
+
+
+def _packed(batches, size: int):
+    """Rows (s, d, w) sorted by s, as rows of arrays. No row ends within a node, but for one with more than size ends: its
+    rows are parts, which hold nothing else."""
+    schema = pa.schema([("s", pa.binary()), ("d", pa.binary()), ("w", pa.binary()), ("part", pa.bool_())])
+    row = lambda x, part: pa.record_batch([*(pa.array([c.tobytes()], pa.binary()) for c in x), pa.array([part])], schema=schema)
+    kept, split = [np.zeros(0, t) for t in ENDS], None
+    for x in batches:
+        kept = [np.concatenate([a, c.to_numpy(zero_copy_only=False).astype(t)]) for a, c, t in zip(kept, x.columns, ENDS, strict=True)]
+        while len(kept[0]) >= size:
+            if split == kept[0][0]:
+                at = min(size, int(np.searchsorted(kept[0], split, "right")))
+            else:
+                at = int(np.searchsorted(kept[0][:size], kept[0][size - 1]))
+                split = None if at else kept[0][0]
+                at = at or size
+            yield row([c[:at] for c in kept], split is not None)
+            kept = [c[at:] for c in kept]
+            if split is not None and len(kept[0]) and kept[0][0] != split:
+                split = None
+    if split is not None and (at := int(np.searchsorted(kept[0], split, "right"))):
+        yield row([c[:at] for c in kept], True)
+        kept = [c[at:] for c in kept]
+    if len(kept[0]):
+        yield row(kept, False)
+
+
+def _unpacked(batches):
+    for x in batches:
+        for s, d, w, part in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            yield *(np.frombuffer(c, t) for c, t in zip((s, d, w), ENDS, strict=True)), part
+
+
+def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, each with the sum of its weights."""
+    key = a.astype(np.int64) << 32 | b
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32), np.add.reduceat(w[order], first) if len(first) else w[:0]
+
+
+def _best_moves(s: np.ndarray, c: np.ndarray, w: np.ndarray, com: np.ndarray, size: np.ndarray, k: np.ndarray, total: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of distinct pairs (node, community near it) in order: the weight inside communities, the nodes with a better one than
+    their own, and that one."""
+    if not len(s):
+        return 0.0, s, c
+    own = c == com[s]
+    gain = w - k[s] * (size[c] - np.where(own, k[s], 0.0)) / (2 * total[s])
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    node = s[first]
+    stay = np.add.reduceat(np.where(own, w, 0.0), first) - k[node] * (size[com[node]] - k[node]) / (2 * total[node])
+    most = np.maximum.reduceat(gain, first)
+    at = np.flatnonzero(gain == np.repeat(most, np.diff(np.append(first, len(s)))))
+    go = c[at[np.searchsorted(at, first)]]
+    better = most > stay + 1e-12
+    return float((w[own] / (2 * total[s[own]])).sum()), node[better], go[better]
+
+
+def _moved_arrays(packed: DataFrame, k: np.ndarray, total: np.ndarray, rounds: int) -> np.ndarray:
+    """The community of each node (see _moved). Tasks read the links, the driver holds one number for each node."""
+    sc, n = packed.sparkSession.sparkContext, len(k)
+    fixed = sc.broadcast((k, total))
+    com, best, most = np.arange(n, dtype=np.int32), None, None
+    for r in range(rounds + 1):
+        size = np.bincount(com, k, n)
+        now = sc.broadcast((com, size))
+
+        def moves(batches, now=now):
+            com, size = now.value
+            inside, nodes, to = 0.0, [], []
+            for s, d, w, part in _unpacked(batches):
+                s, c, w = _summed(s, com[d], w)
+                if part:  # the driver adds up the parts of the node
+                    yield pa.record_batch([pa.array([0.0]), pa.array([c.tobytes()]), pa.array([w.tobytes()]), pa.array([int(s[0])], pa.int32())], names=["inside", "a", "b", "node"])
+                    continue
+                x, node, go = _best_moves(s, c, w, com, size, *fixed.value)
+                inside, nodes, to = inside + x, [*nodes, node], [*to, go]
+            if nodes:
+                yield pa.record_batch([pa.array([inside]), pa.array([np.concatenate(nodes).tobytes()]), pa.array([np.concatenate(to).tobytes()]), pa.array([None], pa.int32())], names=["inside", "a", "b", "node"])
+
+        inside, nodes, to, parts = 0.0, [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
+        for x in packed.mapInArrow(moves, "inside double, a binary, b binary, node int").collect():
+            if x.node is None:
+                inside += x.inside
+                nodes.append(np.frombuffer(x.a, np.int32))
+                to.append(np.frombuffer(x.b, np.int32))
+            else:
+                c = np.frombuffer(x.a, np.int32)
+                parts.append((np.full(len(c), x.node, np.int32), c, np.frombuffer(x.b, np.float64)))
+        if parts:
+            x, node, go = _best_moves(*_summed(*map(np.concatenate, zip(*parts, strict=True))), com, size, k, total)
+            inside, nodes, to = inside + x, [*nodes, node], [*to, go]
+        now.unpersist()
+        value = inside - float(((size / (2 * total)) ** 2).sum())
+        if most is None or value > most + 1e-12:
+            best, most = com, value
+        nodes, to = np.concatenate(nodes), np.concatenate(to)
+        if r == rounds or not len(nodes):
+            break
+        turn = ((nodes.astype(np.int64) * 2654435761 >> 16) + r) % 3 == 0
+        com = com.copy()
+        com[nodes[turn]] = to[turn]
+    fixed.unpersist()
+    return best
+
+
+def _pack(pairs: DataFrame) -> DataFrame:
+    """Links (s, d, w) between numbers, both ways, packed."""
+    both = pairs.where("s != d").select("s", "d", "w").unionByName(pairs.where("s != d").select(F.col("d").alias("s"), F.col("s").alias("d"), "w"))
+    size = PACKED
+    return materialize(both.repartition("s").sortWithinPartitions("s").mapInArrow(lambda it: _packed(it, size), PACKED_SQL), "net-packed")
+
+
+def _numbered(links: DataFrame) -> DataFrame:
+    """component, node, k (the weight of its ends), id (from 0 without gaps)."""
+    ends = links.select("component", F.explode(F.array("src", "dst")).alias("node"), "weight")
+    nodes = materialize(ends.groupBy("component", "node").agg(F.sum("weight").alias("k")), "net-nodes").withColumn("m", F.monotonically_increasing_id())
+    nodes = materialize(nodes, "net-marked")
+    part = F.shiftright("m", 33)
+    starts, at = [], 0
+    for p, n in sorted(nodes.groupBy(part.alias("p")).count().collect()):
+        starts.append((p, at))
+        at += n
+    starts = F.broadcast(links.sparkSession.createDataFrame(starts, "p long, start long"))
+    return materialize(nodes.withColumn("p", part).join(starts, "p").select("component", "node", "k", (F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).cast("int").alias("id")), "net-ids")
+
+
+def _coarser_arrays(links: DataFrame, nodes: DataFrame, most_edges: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """See _coarser. nodes: see _numbered."""
+    spark = links.sparkSession
+    names = sorted(r[0] for r in nodes.select("component").distinct().collect())  # few: each has more links than a task takes
+    which = F.broadcast(spark.createDataFrame(list(enumerate(names)), "c int, component string"))
+    x = nodes.join(which, "component").select("id", "k", "c").toArrow()
+    order = np.argsort(x.column(0).to_numpy())
+    k, comp = x.column(1).to_numpy()[order], x.column(2).to_numpy()[order]
+    total = np.bincount(comp, k, len(names)) / 2
+    ids = [nodes.select(F.col("node").alias(c), F.col("id").alias(i)) for c, i in (("src", "s"), ("dst", "d"))]
+    pairs = materialize(links.join(ids[0], "src").join(ids[1], "dst").select("s", "d", F.col("weight").alias("w")), "net-pairs")
+    found, size = np.arange(len(k), dtype=np.int32), None
+    while True:
+        packed = _pack(pairs)
+        of = np.maximum(total[comp], 1e-300)  # nodes without weight stay where they are
+        left, com = np.unique(_moved_arrays(packed, k, of, rounds), return_inverse=True)
+        com = com.astype(np.int32).reshape(-1)
+        found, k, comp = com[found], np.bincount(com, k, len(left)), comp[left]
+        shared = spark.sparkContext.broadcast(com)
+
+        def merged(batches, shared=shared):
+            com = shared.value
+            for b in batches:
+                s, d = com[b.column(0).to_numpy()], com[b.column(1).to_numpy()]
+                out = _summed(np.minimum(s, d), np.maximum(s, d), b.column(2).to_numpy())
+                yield pa.record_batch([pa.array(c) for c in out], names=["s", "d", "w"])
+
+        nxt = materialize(pairs.mapInArrow(merged, "s int, d int, w double").groupBy("s", "d").agg(F.sum("w").alias("w")), "net-merged")
+        discard(pairs, packed)
+        pairs = nxt
+        shared_comp = spark.sparkContext.broadcast(comp)
+
+        def placed(batches, shared=shared_comp):
+            for b in batches:
+                yield pa.record_batch([*b.columns, pa.array(shared.value[b.column(0).to_numpy()], pa.int32())], names=["s", "d", "w", "c"])
+
+        placed_ = pairs.mapInArrow(placed, "s int, d int, w double, c int")
+        counts = [r["count"] for r in placed_.groupBy("c").count().collect()]
+        if sum(counts) == size or max(counts, default=0) <= most_edges:
+            break
+        size = sum(counts)
+    text = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
+    coarse = materialize(placed_.join(which, "c").select("component", text("s").alias("src"), text("d").alias("dst"), F.col("w").alias("weight")), "net-coarse")
+    last = spark.sparkContext.broadcast(found)
+
+    def named(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(last.value[b.column(2).to_numpy()], pa.int32())], names=["component", "node", "name"])
+
+    of = nodes.select("component", "node", "id").mapInArrow(named, "component string, node string, name int")
+    return materialize(of.select("component", "node", text("name").alias("name")), "net-names"), coarse
+
+
+def _coarser(links: DataFrame, most_edges: int, rounds: int, most_nodes: int = MOST_NODES) -> tuple[DataFrame, DataFrame]:
     """(names, links): local moves and aggregation until every component has at most most_edges links between the
-    aggregated nodes, or no move helps. names: node, component and the aggregated node it stands in."""
+    aggregated nodes, or no move helps. names: node, component and the aggregated node it stands in. Up to most_nodes
+    nodes are numbered, and their communities are arrays; more are joined."""
+    nodes = _numbered(links)
+    if nodes.count() <= most_nodes:
+        return _coarser_arrays(links, nodes, most_edges, rounds)
     names, size = None, None
     while True:
         step = materialize(_moved(links, rounds), "net-step")
@@ -168,7 +362,7 @@ def communities(e: DataFrame, members: DataFrame, split_over: int = 120, most_ed
     whole. A component of up to `most_edges` links is split in one task; a larger one is first made smaller by rounds of
     local moves over all tasks. The objective is the usual one; no particular partition is promised beyond it."""
     p = members.groupBy("component").agg(F.count_if(kind_of("node") == "provider").alias("p"))
-    links = e.join(members.select(F.col("node").alias("src"), "component"), "src")
+    links = materialize(e.join(members.select(F.col("node").alias("src"), "component"), "src").select("component", "src", "dst", F.col("weight").cast("double").alias("weight")), "net-links")
     many = links.groupBy("component").agg(F.count("*").alias("n"))
     large = materialize(p.join(many, "component").where(F.col("p") > split_over).select("component", "n"), "net-large")
 
@@ -180,7 +374,6 @@ def communities(e: DataFrame, members: DataFrame, split_over: int = 120, most_ed
         first = {c: nodes[label == c][0] for c in np.unique(label)}
         return pd.DataFrame({"node": nodes, "community": [first[c] for c in label]})
 
-    links = links.select("component", "src", "dst", F.col("weight").cast("double").alias("weight"))
     cut = links.join(large.where(F.col("n") <= most_edges), "component", "left_semi").groupBy("component").applyInPandas(split, "node string, community string")
     whole = members.join(large, "component", "left_anti").select("node", F.col("component").alias("community"))
     out = whole.unionByName(cut)

@@ -10,7 +10,7 @@ from claimlens.operators.graph import components
 from claimlens.operators.resolve import resolve
 from claimlens.operators.robust import robust_z_filled
 from claimlens.plans.data import r4, table
-from claimlens.session import materialize
+from claimlens.session import materialize, sweep
 
 
 def _edges(spark, sf_dir):
@@ -175,8 +175,9 @@ SELECT service, place, round(rate, 4) AS rate, round(0.6745::DOUBLE * (ln(1 + ra
 
 def communities(spark, sf_dir):
     """Networks of many providers split by modularity. No SQL: the partition is only held to refine the components."""
-    e = _edges(spark, sf_dir)
-    return net.communities(e, net.provider_components(e), split_over=20)
+    e = materialize(_edges(spark, sf_dir), "net-edges")
+    sweep(spark)
+    return net.communities(e, materialize(net.provider_components(e), "net-members"), split_over=20)
 
 
 def resolved(spark, sf_dir):

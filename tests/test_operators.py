@@ -2,6 +2,7 @@ import random
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,25 @@ def test_communities_split_components_beyond_one_task(spark):
         assert {c[x] for x in nodes} == {f"provider:{x}0" for x in "abc"} and all(c[x][9] == x[9] for x in nodes)
 
 
+def test_wide_components_are_numbered_and_packed(spark, monkeypatch):
+    """Arrays and joins find the cliques alike; nodes with more ends than a packed row holds have several."""
+    links = [("c", f"{c}{i}", f"{c}{j}", 1.0) for c in "abc" for i in range(8) for j in range(i)] + [("c", "a0", "b1", 1.0), ("c", "b0", "c1", 1.0), ("c", "c0", "a1", 1.0)]
+    df = spark.createDataFrame(links, "component string, src string, dst string, weight double")
+    for size, most_nodes in ((1 << 19, 100), (3, 100), (1, 100), (3, 0)):
+        monkeypatch.setattr(net, "PACKED", size)
+        names, coarse = net._coarser(df, 50, 30, most_nodes)
+        parts = {r.node: r.name for r in names.collect()}
+        assert len(parts) == 24 and all(parts[x] == parts[y] for x in parts for y in parts if x[0] == y[0]) and len(set(parts.values())) == 3
+        assert sum(r.weight for r in coarse.collect()) == len(links)
+    rows = [(0, 1), (1, 0), (1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (3, 1)]
+    for size in range(1, 10):
+        batch = pa.record_batch([pa.array([a for a, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.int32()), pa.array([1.0] * len(rows))], names=["s", "d", "w"])
+        got = list(net._unpacked(net._packed([batch.slice(0, 4), batch.slice(4)], size)))
+        assert [x for s, d, _, _ in got for x in zip(s.tolist(), d.tolist(), strict=True)] == rows
+        whole = [set(s.tolist()) for s, _, _, part in got if not part]
+        assert sum(map(len, whole)) == len(set().union(*whole)) and all(len(set(s.tolist())) == 1 for s, _, _, part in got if part)
+        assert not {int(s[0]) for s, _, _, part in got if part} & set().union(*whole)
+
 
 def test_sets(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
